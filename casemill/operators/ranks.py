@@ -151,10 +151,9 @@ def prefix_sums(
     inside = Window.partitionBy(*by, "_bucket").orderBy(direction(key)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    running = binned
-    for c in sums:
-        running = running.withColumn(f"_r_{c}", F.sum(c).over(inside))
+    running = binned.withColumns({f"_r_{c}": F.sum(c).over(inside) for c in sums})
     joined = running.join(offsets, [*by, "_bucket"])
-    for c in sums:
-        joined = joined.withColumn(f"cum_{c}", F.col(f"_r_{c}") + F.col(f"_o_{c}"))
-    return joined.drop("_bucket", *[f"_r_{c}" for c in sums], *[f"_o_{c}" for c in sums])
+    kept = [c for c in df.columns if c not in by]
+    return joined.select(
+        *by, *kept, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums]
+    )
