@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from casemill.plans import comparison, detector, experiments, streams, texts  # noqa: F401
+from casemill.plans import comparison, detector, experiments, models, streams, texts  # noqa: F401
 from casemill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
