@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from casemill.plans import comparison, detector, experiments, models, streams, texts  # noqa: F401
+from casemill.plans import (  # noqa: F401
+    comparison,
+    detector,
+    experiments,
+    files,
+    models,
+    streams,
+    texts,
+)
 from casemill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

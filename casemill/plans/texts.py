@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from casemill import constants as K
 from casemill.functions import scalar as S
 from casemill.functions import text as T
-from casemill.operators import audit, dossiers, explain, selection, splits, system
-from casemill.operators.ranks import before
+from casemill.operators import audit, dossiers, explain, selection, system
+from casemill.plans import triage
 from casemill.plans.registry import TX, query
 from casemill.plans.reviews import (
     ALL_TEXTS_SQL,
@@ -675,3 +675,73 @@ def e6_destroyed_share(spark, d):
     return system.destroyed_share(_measured(spark, d)).select(
         "run_id", "mode", R("destroyed_share", 9).alias("destroyed_share")
     )
+
+
+# ---- the review desk over one shift ------------------------------------------------
+
+_DESK_SQL = f"""{TX}, o AS (SELECT *, row_number() OVER (ORDER BY t_sec, tx_id) - 1 AS rk, count(*) OVER () AS n FROM tx),
+st AS (SELECT t_sec AS s FROM o WHERE rk = CAST(floor(n * 0.8e0) AS BIGINT)),
+sh AS (SELECT o.* FROM o, st WHERE t_sec >= s AND t_sec < s + 86400e0),
+f AS (SELECT *, row_number() OVER (ORDER BY prob DESC, tx_id) AS case_no, (SELECT count(*) FROM sh WHERE prob >= 0.7e0) >= 3 AS enough FROM sh)"""
+
+
+def _desk(spark, d):
+    return triage.triage_shift(_explained(spark, d), hours=24.0, threshold=0.7)
+
+
+@query(
+    "z2_shift_request",
+    f"""WITH {_DESK_SQL} SELECT case_no, tx_id, label, tier, CASE WHEN enough THEN 'threshold' ELSE 'fallback' END AS branch FROM f
+      WHERE CASE WHEN enough THEN prob >= 0.7e0 AND case_no <= 10 ELSE case_no <= 10 END""",
+)
+def z2_shift_request(spark, d):
+    return _desk(spark, d).cases.select("case_no", "tx_id", "label", "tier", "branch")
+
+
+@query(
+    "z1_tool_statistics",
+    f"""WITH {_DESK_SQL} SELECT count(*) AS n_rows, count(*) FILTER (tier = 'ALTO') AS n_high, count(*) FILTER (tier = 'MEDIO') AS n_medium, count(*) FILTER (tier = 'BAJO') AS n_low,
+      max(prob) AS prob_max, round(avg(prob), 9) AS prob_mean, round(sum(amount), 6) AS amount_total, round(avg(amount), 6) AS amount_mean, min(hour) AS hour_min, max(hour) AS hour_max, 'completo' AS level FROM sh""",
+)
+def z1_tool_statistics(spark, d):
+    s = _desk(spark, d).statistics()
+    return s.withColumns(
+        {"prob_mean": R("prob_mean", 9), "amount_total": R("amount_total", 6), "amount_mean": R("amount_mean", 6)}
+    )
+
+
+@query(
+    "z4_report_bundle",
+    f"""WITH {_DESK_SQL}, c AS (SELECT * FROM f WHERE CASE WHEN enough THEN prob >= 0.7e0 AND case_no <= 10 ELSE case_no <= 10 END),
+      g AS (SELECT count(*) AS n_cases, CAST(sum(label) AS BIGINT) AS positives_raised, count(*) FILTER (amount + k >= 150) AS n_confirmed, count(*) FILTER (amount + k < 150) AS n_discarded,
+        count(*) FILTER (amount + k < 150 AND label = 1) AS n_destroyed FROM c)
+      SELECT '{K.AUDIT_RELIABLE}' AS audit, n_cases, positives_raised, n_confirmed, n_discarded, n_destroyed, 0 AS n_without_verdict FROM g""",
+)
+def z4_report_bundle(spark, d):
+    desk = _desk(spark, d)
+    # The report under evaluation: one line and one verdict per case of the file.
+    line = F.concat(
+        F.lit("CASO "), F.col("case_no").cast("string"), F.lit("\nImporte revisado.\nVEREDICTO: "),
+        F.when(F.col("amount") + F.col("k") >= 150, K.CONFIRMED).otherwise(K.DISMISSED),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("case_no", line.alias("line"))))
+    report = desk.cases.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    return desk.evaluate_report(report).select(
+        "audit", "n_cases", "positives_raised", "n_confirmed", "n_discarded", "n_destroyed", "n_without_verdict"
+    )
+
+
+@query(
+    "z5_experiment_grid",
+    """SELECT m AS model, o AS mode, s AS seed, r AS repetition, coalesce(n, 0) AS n_rows FROM (VALUES ('m_a'), ('m_b')) a(m), (VALUES ('interpreta'), ('revisa')) b(o), range(1, 4) c(s), range(1, 3) e(r)
+      LEFT JOIN (SELECT CASE WHEN user_id % 2 = 0 THEN 'm_a' ELSE 'm_b' END AS mm, event_id % 3 + 1 AS ss, count(*) AS n FROM events GROUP BY 1, 2) ON mm = m AND ss = s""",
+)
+def z5_experiment_grid(spark, d):
+    grid = triage.experiment_grid(spark, ["m_a", "m_b"], [K.MODE_INTERPRET, K.MODE_REVIEW], [1, 2, 3], 2)
+    tx = transactions(spark, d)
+    outputs = tx.groupBy(
+        F.when(F.col("card") % 2 == 0, "m_a").otherwise("m_b").alias("model"), (F.col("tx_id") % 3 + 1).cast("int").alias("seed")
+    ).agg(F.count("*").alias("n_rows"))
+    return grid.join(outputs, ["model", "seed"], "left").na.fill(0, ["n_rows"]).select(
+        "model", "mode", "seed", "repetition", "n_rows"
+    )
