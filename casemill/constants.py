@@ -62,6 +62,9 @@ ID_PATTERNS = [
     r"^\s*\|\s*\**\s*(\d{1,6})\s*\**\s*\|",
 ]
 
+# Literal parts without which the pattern at the same place cannot match.
+ID_STEMS = ["CASO", "CASE", "ransacci", "ransaction", "ID", "|"]
+
 # Case header up to its first verdict: group 1 is the case, group 3 the word.
 VERDICT_PATTERN = (
     r"CAS[OE]\s+(\d+)(.*?)(?:VEREDICTO|VERDICT):\s*"
@@ -126,15 +129,36 @@ CONCEPT_RULES = [
     (r"within (a few|minutes|seconds)|short (time )?(period|window)", "frequency"),
 ]
 
+# Literal parts of the rules above, in their order: a match holds one of its rule's parts,
+# so a text without any of them needs no pattern search.
+CONCEPT_STEMS = [
+    ("pais", "país"),
+    ("ubicaci", "geolocalizaci"),
+    ("comercio", "establecimiento", "comerciante"),
+    ("titular",),
+    ("mero de", "cuenta "),
+    ("historial ",),
+    ("transacciones ",),
+    ("corto per", "pocos minutos", "en cuesti"),
+    ("countr",),
+    ("location",),
+    ("merchant", "store", "vendor"),
+    ("holder", "customer"),
+    ("card number", "account number", "bank account"),
+    ("history",),
+    ("transactions",),
+    ("within ", "short "),
+]
+
 # Language drift markers.
-SPANISH_MARKERS = (
-    r"\b(que|de|la|el|los|las|una|por|con|para|como|este|esta|se|es|son|"
-    r"transacci[óo]n|importe|riesgo|fraude|caso)\b"
-)
-ENGLISH_MARKERS = (
-    r"\b(the|and|is|are|of|to|with|for|this|that|was|were|amount|"
-    r"transaction|risk|fraud|case|suspicious)\b"
-)
+SPANISH_WORDS = (
+    "que de la el los las una por con para como este esta se es son "
+    "transacción transaccion importe riesgo fraude caso"
+).split()
+ENGLISH_WORDS = (
+    "the and is are of to with for this that was were amount "
+    "transaction risk fraud case suspicious"
+).split()
 
 # The two families of the "test charge, then a larger one" pattern.
 PROBE_PATTERN = (

@@ -7,6 +7,8 @@ the newline as the only line end, as the patterns expect.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,7 +68,11 @@ def prose_of(text: Column) -> Column:
 
 def cited_ids(text: Column) -> Column:
     """Sorted distinct ids cited in an id context; bare numbers do not count."""
-    found = [_all(text, "(?mUd)" + p, 1) for p in K.ID_PATTERNS]
+    none = F.array().cast("array<string>")
+    found = [
+        F.when(text.contains(stem), _all(text, "(?mUd)" + p, 1)).otherwise(none)
+        for p, stem in zip(K.ID_PATTERNS, K.ID_STEMS)
+    ]
     ids = F.transform(F.flatten(F.array(*found)), lambda s: s.try_cast("long"))
     return F.sort_array(F.array_distinct(F.array_compact(ids)))
 
@@ -78,8 +84,10 @@ def mentions_test_charge(text: Column) -> Column:
 
 
 def marker_counts(text: Column) -> tuple[Column, Column]:
-    es = F.size(_all(text, "(?iU)" + K.SPANISH_MARKERS, 1))
-    en = F.size(_all(text, "(?iU)" + K.ENGLISH_MARKERS, 1))
+    """Spanish and English marker words, counted over the words of the lowered text."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    es = F.size(F.filter(words, lambda w: w.isin(K.SPANISH_WORDS)))
+    en = F.size(F.filter(words, lambda w: w.isin(K.ENGLISH_WORDS)))
     return es, en
 
 
@@ -121,15 +129,24 @@ def first_affirmative_hit(
 
 
 def invented_concepts(
-    lowered: Column, rules: Sequence[tuple[str, str]] = tuple(K.CONCEPT_RULES)
+    lowered: Column,
+    rules: Sequence[tuple[str, str]] = tuple(K.CONCEPT_RULES),
+    stems: Sequence[Sequence[str]] | None = tuple(K.CONCEPT_STEMS),
 ) -> Column:
-    """Array of (rule, term, topic): the first undenied hit of every rule that has one."""
+    """Array of (rule, term, topic): the first undenied hit of every rule that has one.
+
+    ``stems`` gives literal parts of each rule; the pattern runs only on texts that hold
+    one.  Pass None with rules of your own that have no such parts.
+    """
+
+    def term(i: int, pattern: str) -> Column:
+        hit = first_affirmative_hit(lowered, pattern)
+        if stems is None:
+            return hit
+        return F.when(reduce(or_, [lowered.contains(s) for s in stems[i]]), hit)
+
     hits = [
-        F.struct(
-            F.lit(i).alias("rule"),
-            first_affirmative_hit(lowered, pattern).alias("term"),
-            F.lit(topic).alias("topic"),
-        )
+        F.struct(F.lit(i).alias("rule"), term(i, pattern).alias("term"), F.lit(topic).alias("topic"))
         for i, (pattern, topic) in enumerate(rules)
     ]
     return F.filter(F.array(*hits), lambda h: h["term"].isNotNull())

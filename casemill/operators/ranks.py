@@ -30,18 +30,28 @@ def order_statistics(
     conds = [c if c is not None else F.lit(True) for c, _ in targets]
     ranks = [int(r) for _, r in targets]
     found: list[list] = [[] for _ in targets]
-    for key in keys:
-        values, below = _values_at(df, key, conds, ranks)
-        for i, v in enumerate(values):
+    open_ = list(range(len(targets)))
+    for at, key in enumerate(keys):
+        rest = keys[at + 1 :]
+        values, below, single = _values_at(df, key, rest, [conds[i] for i in open_], [ranks[i] for i in open_])
+        for i, v, b in zip(open_, values, below):
             found[i].append(v)
             conds[i] = conds[i] & (F.col(key) == F.lit(v))
-            ranks[i] -= below[i]
+            ranks[i] -= b
+        # A value held by one row needs no further pass: that row has the other keys.
+        for i, s in zip(open_, single):
+            if s is not None:
+                found[i].extend(s)
+        open_ = [i for i, s in zip(open_, single) if s is None]
+        if not open_:
+            break
     return [tuple(f) for f in found]
 
 
-def _values_at(df: DataFrame, key: str, conds: list[Column], ranks: list[int]):
+def _values_at(df: DataFrame, key: str, rest: Sequence[str], conds: list[Column], ranks: list[int]):
     x = F.col(key)
     n = len(conds)
+    single: list[tuple | None] = [None] * n
     spans: list[tuple | None] = [None] * n
     below = [0] * n
     values: list = [None] * n
@@ -64,21 +74,25 @@ def _values_at(df: DataFrame, key: str, conds: list[Column], ranks: list[int]):
             parts.append(F.when(hit, F.struct(F.lit(i).alias("t"), bucket.alias("b"))))
         hist = (
             df.select(
-                x.alias("x"), F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")
+                x.alias("x"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(rest)], F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")
             )
             .groupBy("s.t", "s.b")
-            .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .agg(
+                F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                *[F.min(f"k{j}").alias(f"k{j}") for j in range(len(rest))],
+            )
             .collect()
         )
         rows: dict[int, list] = {i: [] for i in open_}
         for r in hist:
-            rows[r["t"]].append((r["lo"], r["hi"], r["n"]))
+            rows[r["t"]].append((r["lo"], r["hi"], r["n"], tuple(r[f"k{j}"] for j in range(len(rest)))))
         for i in list(open_):
-            for lo, hi, count in sorted(rows[i]):
+            for lo, hi, count, others in sorted(rows[i]):
                 if ranks[i] < below[i] + count:
                     spans[i] = (lo, hi)
                     if lo == hi:
                         values[i] = lo
+                        single[i] = others if count == 1 else None
                         open_.discard(i)
                     elif count <= _FINISH:
                         small.add(i)
@@ -86,7 +100,7 @@ def _values_at(df: DataFrame, key: str, conds: list[Column], ranks: list[int]):
                 below[i] += count
             else:
                 raise ValueError(f"rank {ranks[i]} is outside the data")
-    return values, below
+    return values, below, single
 
 
 def before(keys: Sequence[str], cut: tuple) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators.selection import select_cases_by
 from casemill.plans.registry import TX
-from casemill.sources.tables import load, transactions
+from casemill.sources.tables import load_texts, transactions
 
 RUN_SECONDS = 21600  # one review run per six hours
 
@@ -100,10 +100,10 @@ def all_texts(spark, d) -> DataFrame:
     reports = run_texts(spark, d).select(
         F.concat(F.lit("run:"), F.col("run_id")).alias("text_id"), "text", "case_ids"
     )
-    docs = load(spark, d, "documents").select(
+    docs = load_texts(spark, d, "documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("text_id"), "text", none.alias("case_ids")
     )
-    turns = load(spark, d, "conversations").select(
+    turns = load_texts(spark, d, "conversations").select(
         F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("text_id"), "text", none.alias("case_ids")
     )
     return reports.unionByName(docs).unionByName(turns)

@@ -33,6 +33,10 @@ def _lit(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _words(words: list[str]) -> str:
+    return r"\b(" + "|".join(words) + r")\b"
+
+
 def _ids(col: str):
     return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), ",").alias(col)
 
@@ -333,7 +337,7 @@ _MARKERS = "{0}, len(regexp_extract_all({1}, '(?i){2}')) AS es, len(regexp_extra
 
 @query(
     "t11_language_drift",
-    f"""WITH {ALL_TEXTS_SQL}, c AS (SELECT {_MARKERS.format('text_id', folded('text'), K.SPANISH_MARKERS, K.ENGLISH_MARKERS)} FROM corpus)
+    f"""WITH {ALL_TEXTS_SQL}, c AS (SELECT {_MARKERS.format('text_id', folded('text'), _words(K.SPANISH_WORDS), _words(K.ENGLISH_WORDS))} FROM corpus)
       SELECT text_id, es, en, en > es AS drift FROM c""",
 )
 def t11_language_drift(spark, d):
@@ -355,7 +359,7 @@ UNIVERSE = 20
       m AS (SELECT a.*, coalesce(terms, '') AS terms, [x for x in cited if NOT list_contains(universe, x)] AS inv,
         [x for x in cited if list_contains(universe, x) AND NOT list_contains(case_ids, x)] AS outs,
         [x for x in case_ids if list_contains(cited, x)] AS cov,
-        len(regexp_extract_all({folded('text')}, '(?i){K.ENGLISH_MARKERS}')) > len(regexp_extract_all({folded('text')}, '(?i){K.SPANISH_MARKERS}')) AS en
+        len(regexp_extract_all({folded('text')}, '(?i){_words(K.ENGLISH_WORDS)}')) > len(regexp_extract_all({folded('text')}, '(?i){_words(K.SPANISH_WORDS)}')) AS en
         FROM a LEFT JOIN k USING (text_id))
       SELECT text_id, CASE WHEN len(inv) > 0 THEN '{K.AUDIT_INVENTED_IDS}' WHEN terms <> '' THEN '{K.AUDIT_INVENTED_CONCEPTS}'
         WHEN len(cov) < len(case_ids) THEN '{K.AUDIT_INCOMPLETE}' ELSE '{K.AUDIT_RELIABLE}' END AS audit,
@@ -543,7 +547,7 @@ def j3_missed_positives(spark, d):
 
 @query(
     "j4_missed_digest",
-    f"""WITH {CASES_SQL}, top AS (SELECT run_id / 40 AS g0, * FROM runs), file AS (SELECT * FROM cases WHERE case_no <= 1),
+    f"""WITH {CASES_SQL}, file AS (SELECT * FROM cases WHERE case_no <= 1),
       missed AS (SELECT CAST(floor(run_id / 40e0) AS BIGINT) AS block, * FROM runs WHERE label = 1 AND NOT EXISTS
         (SELECT 1 FROM file c WHERE c.run_id = runs.run_id AND c.tx_id = runs.tx_id)),
       r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY amount DESC, tx_id) AS rk FROM missed)

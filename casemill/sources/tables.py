@@ -12,6 +12,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, whose rows are costly: spread over the cores when it has few splits.
+
+    A table with as many splits as cores is read as it is.
+    """
+    df = load(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_transactions(events: DataFrame) -> DataFrame:
     """Events as labelled, rule-scored card transactions."""
     micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts"))
