@@ -166,7 +166,8 @@ def prefix_sums(
         Window.unboundedPreceding, Window.currentRow
     )
     running = binned.withColumns({f"_r_{c}": F.sum(c).over(inside) for c in sums})
-    joined = running.join(offsets, [*by, "_bucket"])
+    # Without groups the offsets are one row per bucket, a few thousand at most.
+    joined = running.join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
     kept = [c for c in df.columns if c not in by]
     return joined.select(
         *by, *kept, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums]

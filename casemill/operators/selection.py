@@ -66,6 +66,8 @@ def select_cases_by(
     ranked = source.withColumn(
         "case_no", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(prob), row_id))
     ).filter(F.col("case_no") <= max(capacity, minimum))
+    if minimum == 0:
+        return ranked.withColumn("branch", F.lit("threshold"))
     return _keep(ranked, cond, Window.partitionBy(*group), capacity, minimum, fallback)
 
 

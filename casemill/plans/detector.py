@@ -302,7 +302,8 @@ _START = f"{_TRAIN_CUT}, st AS (SELECT t_sec AS s FROM o WHERE rk = CAST(floor(n
 def d6_shift(spark, d):
     tx = transactions(spark, d)
     start = splits.time_cut(tx, "t_sec", "tx_id")[0]
-    return splits.shift(tx, "t_sec", start, hours=4.0, offset_h=2.0).select("tx_id", "t_sec", "prob", "label")
+    near = transactions(spark, d, (start + 2 * 3600, start + 6 * 3600))
+    return splits.shift(near, "t_sec", start, hours=4.0, offset_h=2.0).select("tx_id", "t_sec", "prob", "label")
 
 
 @query(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from math import floor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions.scalar import hour_of_day, risk_tier
 
+_BASE = datetime(2024, 1, 1)
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,7 +29,14 @@ def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def event_transactions(events: DataFrame) -> DataFrame:
     """Events as labelled, rule-scored card transactions."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts"))
+    # Calendar parts of a zoneless timestamp do not depend on the session time zone.
+    ts = F.col("ts")
+    micros = (
+        F.datediff(ts, F.lit("2024-01-01").cast("date")).cast("long") * 86_400_000_000
+        + F.hour(ts).cast("long") * 3_600_000_000
+        + F.minute(ts).cast("long") * 60_000_000
+        + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    )
     amount = F.col("value")
     k = F.get_json_object("props", "$.k").cast("long")
     return events.select(
@@ -39,8 +51,20 @@ def event_transactions(events: DataFrame) -> DataFrame:
     ).withColumn("hour", hour_of_day(F.col("t_sec")))
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return event_transactions(load(spark, folder, "events"))
+def transactions(
+    spark: SparkSession, folder: str, seconds: tuple[float, float] | None = None
+) -> DataFrame:
+    """The transaction view; ``seconds`` limits the scan to a half-open range of whole seconds
+    around it, as a filter on the stored timestamp that reaches the files."""
+    events = load(spark, folder, "events")
+    if seconds is not None:
+        lo = _BASE + timedelta(seconds=floor(seconds[0]))
+        hi = _BASE + timedelta(seconds=floor(seconds[1]) + 1)
+        at = "timestamp_ntz'{:%Y-%m-%d %H:%M:%S}'"
+        events = events.filter(
+            (F.col("ts") >= F.expr(at.format(lo))) & (F.col("ts") < F.expr(at.format(hi)))
+        )
+    return event_transactions(events)
 
 
 def scored_transactions(spark: SparkSession, folder: str) -> DataFrame:

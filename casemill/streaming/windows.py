@@ -78,14 +78,16 @@ def stream_cases(
     capacity: int = 60,
     threshold: float = K.HIGH_FROM,
     late: str = "10 minutes",
-    lanes: int = 8,
+    lanes: int | None = None,
 ) -> DataFrame:
     """Best rows of every (window, lane) so far.
 
     Rows under the threshold never reach the state.  A busy window is spread over
-    ``lanes`` keys, each keeping at most ``capacity`` rows; ``merge_lanes`` then picks
-    the case file of the window.
+    ``lanes`` keys (by default a quarter of the cores), each keeping at most ``capacity``
+    rows; ``merge_lanes`` then picks the case file of the window.
     """
+    if lanes is None:
+        lanes = max(1, stream.sparkSession.sparkContext.defaultParallelism // 4)
     raised = _windowed(stream.filter(F.col("prob") >= threshold), minutes, late, "0 seconds")
     keyed = raised.select(
         F.col("_w.start").alias("window_start"),
