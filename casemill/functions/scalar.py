@@ -67,5 +67,15 @@ def verdict_label(verdict: Column) -> Column:
 
 
 def fixed(x: Column, digits: int, signed: bool = False) -> Column:
-    """Fixed-point text of a number, with a leading plus when ``signed``."""
-    return F.format_string(f"%{'+' if signed else ''}.{digits}f", x.cast("double"))
+    """Fixed-point text, with a leading plus when ``signed``.
+
+    Ties are decided on the exact binary value, as C and Python do; ``format_string``
+    would round the shortest decimal form instead.
+    """
+    form = "0." + "0" * digits
+    pattern = f"+{form};-{form}" if signed else form
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
+def right_aligned(text: Column, width: int) -> Column:
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))

@@ -126,7 +126,7 @@ def fit_isolation_forest(
         dealt = every.withColumn("_r", rank).filter(F.col("_r") <= sample)
     limit = max(ceil(log2(max(sample, 2))), 1)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = pdf.sort_values(row_id)[cols].to_numpy(dtype=float)
         nodes = grow(x, np.random.default_rng([seed, tree]), limit)

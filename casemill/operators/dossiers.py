@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill import constants as K
-from casemill.functions.scalar import action_for, direction, fixed, verdict_label
+from casemill.functions.scalar import action_for, direction, fixed, right_aligned, verdict_label
 from casemill.operators.explain import masked_names, ranked
 
 # Fixed line formats of the dossier.
@@ -68,8 +68,8 @@ def narrative(level: str = "completo", top: int = 6) -> Column:
     lines = F.transform(
         ranked(F.col("contributions"), top),
         lambda c: F.concat(
-            F.lit("    "), F.lpad(c["var"], 8, " "), F.lit(" = "),
-            F.format_string("%10.3f", c["value"]), F.lit("  ->  aporte "),
+            F.lit("    "), right_aligned(c["var"], 8), F.lit(" = "),
+            right_aligned(fixed(c["value"], 3), 10), F.lit("  ->  aporte "),
             fixed(c["contrib"], 3, signed=True), F.lit(" ("), direction(c["contrib"]), F.lit(")"),
         ),
     )

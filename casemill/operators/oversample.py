@@ -79,7 +79,7 @@ def nearest_neighbours(
         "id", "x", F.col("o_cell").alias("c"), F.col("o_block").alias("b"), "cell", "block", F.lit(1).alias("side"),
     )
 
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if mine.empty or theirs.empty:
             return pd.DataFrame({"id": [], "nb": [], "d": []})

@@ -223,7 +223,7 @@ def a15_cost_per_case(spark, d):
     "a16_level_ablation",
     f"""WITH {RUNLOG_SQL}, r AS (SELECT * FROM runlog WHERE mode = 'revisa'), p AS (SELECT level, avg(n_discarded) AS m, sum(n_right_discards) / nullif(CAST(sum(n_discarded) AS DOUBLE), 0) AS rs FROM r GROUP BY level),
       s AS (SELECT level, model, seed, min(n_discarded) = max(n_discarded) AS same FROM r GROUP BY 1, 2, 3), i AS (SELECT level, count(*) FILTER (same) AS n_identical, count(*) AS n_batches FROM s GROUP BY level)
-      SELECT level, round(m, 9) AS mean_discards, round(rs, 9) AS right_share, n_identical, n_batches, round(100 * m / (SELECT m FROM p WHERE level = 'completo'), 6) AS volume_pct FROM p JOIN i USING (level)""",
+      SELECT level, round(m, 9) AS mean_discards, round(rs, 9) AS right_share, n_identical, n_batches, round(100 * m / nullif((SELECT m FROM p WHERE level = 'completo'), 0), 6) AS volume_pct FROM p JOIN i USING (level)""",
 )
 def a16_level_ablation(spark, d):
     out = runs.level_ablation(run_log(spark, d), ["model", "seed"])
