@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from casemill import constants as K
 from casemill.functions.hashing import hash32
 from casemill.operators.profile import minmax_by_batch
+from casemill.operators.ranks import before, order_statistics
 
 _NODE = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
@@ -109,18 +110,16 @@ def fit_isolation_forest(
     cols = list(cols)
     scale = population_scale(df, cols)
     scaled = [((F.col(c) - scale[c][0]) / scale[c][1]).cast("double").alias(c) for c in cols]
-    pool = (
-        df.select(row_id, *scaled)
-        .withColumn("_h", hash32(seed, F.col(row_id)))
-        .orderBy("_h", row_id)
-        .limit(n_trees * sample)
-    )
-    if pool.count() == n_trees * sample:
+    keyed = df.select(row_id, *scaled).withColumn("_h", hash32(seed, F.col(row_id)))
+    n, want = df.count(), n_trees * sample
+    if n > want:
+        # A hash cut keeps exactly the pool; no task gathers candidates from all partitions.
+        pool = keyed.filter(before(["_h", row_id], order_statistics(keyed, ["_h", row_id], [(None, want)])[0]))
         # The pool has a fixed size whatever the table's, so numbering it is bounded.
         slot = F.row_number().over(Window.orderBy("_h", row_id)) - 1
         dealt = pool.withColumn("tree", (slot % n_trees).cast("int"))
     else:
-        every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+        every = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
         order = hash32(seed, F.col("tree"), F.col(row_id))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(order, row_id))
         dealt = every.withColumn("_r", rank).filter(F.col("_r") <= sample)
@@ -140,4 +139,4 @@ def fit_isolation_forest(
         tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
         for _, g in table.groupby("tree")
     ]
-    return IsolationForest(trees, cols, scale, min(sample, df.limit(sample).count()))
+    return IsolationForest(trees, cols, scale, min(sample, n))

@@ -17,6 +17,7 @@ from casemill import constants as K
 from casemill.functions.scalar import risk_tier
 from casemill.operators import metrics
 from casemill.operators.splits import class_counts
+from casemill.session import ensure_checkpoints
 
 
 def _features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -50,6 +51,7 @@ def train_boosted(
 
     Columns are subsampled per node, not per tree, which is what MLlib offers.
     """
+    ensure_checkpoints(train.sparkSession)
     ratio = positive_weight(train, label) if pos_weight is None else pos_weight
     gbt = GBTClassifier(
         labelCol=label,

@@ -22,6 +22,7 @@ from casemill import constants as K
 from casemill.functions.hashing import hash32, uniform
 from casemill.operators.ranks import before, order_statistics
 from casemill.operators.splits import class_counts
+from casemill.session import durable
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
@@ -59,7 +60,8 @@ def nearest_neighbours(
             cell = d.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
 
-    placed = first.mapInPandas(assign, "id bigint, x array<double>, cell int, reach double")
+    # Read three times below; the checkpoint saves the work and outlives lost executors.
+    placed = durable(first.mapInPandas(assign, "id bigint, x array<double>, cell int, reach double"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).collect()
     meets = _meeting_cells(cells, pivots, k)
     blocks = {c["cell"]: ceil(c["n"] / block_rows) for c in cells}

@@ -37,9 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let iterative jobs and ``durable`` write their checkpoints to the shared folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(spark))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint that outlives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
