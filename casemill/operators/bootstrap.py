@@ -4,7 +4,7 @@ Every row gets a Poisson(1) weight per replicate, derived from its id, so both
 detectors see the same resample and no row is copied.  Stratum totals are scaled
 back to their observed sizes.
 
-Rows are range-partitioned once on (score, hash): the hash splits scores shared by
+Rows are range-partitioned once on (detector, score, hash): the hash splits scores shared by
 many rows over several tasks.  In each sorted Arrow batch the negatives between two
 neighbouring positive scores collapse into one step, because precision is only read
 at positive scores; what leaves Python is about one weight vector per positive.
@@ -14,7 +14,7 @@ The curves of all replicates then run over these steps.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from math import exp, factorial
 
 import numpy as np
@@ -45,34 +45,44 @@ def _weights(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(STEPS), u.ravel(), side="right").reshape(u.shape)
 
 
-def batch_steps(score: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """First row of every step of a batch sorted by falling score.
+def batch_steps(model: np.ndarray, score: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """First row of every step of a batch sorted by model and falling score.
 
-    A step ends at the last row of each score that has a positive, and after the
-    highest score, which an earlier batch may share.
+    A step ends at the last row of each score that has a positive, after the highest
+    score of the batch, which an earlier batch may share, and where the model changes.
     """
     n = len(score)
-    last = np.append(score[1:] != score[:-1], True)
+    new_model = np.append(model[1:] != model[:-1], True)
+    last = np.append(score[1:] != score[:-1], True) | new_model
     group = np.cumsum(np.append(True, last[:-1])) - 1
     has_positive = np.bincount(group, weights=positive) > 0
     has_positive[0] = True
-    ends = np.flatnonzero(last & has_positive[group])
+    ends = np.flatnonzero(last & (has_positive[group] | new_model))
     return np.unique(np.append(0, ends[ends < n - 1] + 1))
 
 
-def weighted_steps(
-    df: DataFrame, score: str, label: str, row_id: str, b: int, seed: int = K.SEED
-) -> DataFrame:
-    """Long table (rep, score, pos, neg) of resampled weights per step."""
+def _long(df: DataFrame, scores: Mapping[str, str], label: str, row_id: str, seed: int) -> DataFrame:
+    """One row per (row, detector): model, score, label, row hash."""
+    each = F.array(
+        *[F.struct(F.lit(name).alias("m"), F.col(c).cast("double").alias("s")) for name, c in scores.items()]
+    )
+    h = hash32(seed, F.col(row_id)) % F.lit(PRIME)
+    return df.select(F.col(label).cast("int").alias("y"), h.alias("h"), each.alias("_e")).select(
+        F.inline("_e"), "y", "h"
+    )
+
+
+def weighted_steps(long: DataFrame, b: int, seed: int = K.SEED) -> DataFrame:
+    """Long table (m, rep, s, pos, neg) of resampled weights per step."""
     pairs = np.array(multipliers(b, seed), dtype=np.int64)
 
     def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            s, y = pdf["s"].to_numpy(), pdf["y"].to_numpy()
-            starts = batch_steps(s, y)
-            lowest = s[np.append(starts[1:], len(s)) - 1]
+            m, s, y = (pdf[c].to_numpy() for c in ("m", "s", "y"))
+            starts = batch_steps(m, s, y)
+            ends = np.append(starts[1:], len(s)) - 1
             parts = []
             for i in range(0, b, 128):
                 w = _weights(pdf["h"].to_numpy(), pairs[i : i + 128, 0], pairs[i : i + 128, 1])
@@ -80,44 +90,49 @@ def weighted_steps(
                 parts.append((p, np.add.reduceat(w, starts, axis=0) - p))
             pos = np.concatenate([p for p, _ in parts], axis=1)
             neg = np.concatenate([q for _, q in parts], axis=1)
-            yield pd.DataFrame({"s": lowest, "pos": list(pos), "neg": list(neg)})
+            yield pd.DataFrame({"m": m[ends], "s": s[ends], "pos": list(pos), "neg": list(neg)})
 
-    rows = df.select(
-        F.col(score).cast("double").alias("s"),
-        F.col(label).cast("int").alias("y"),
-        (hash32(seed, F.col(row_id)) % F.lit(PRIME)).alias("h"),
-    )
-    ordered = rows.repartitionByRange(F.desc("s"), F.asc("h")).sortWithinPartitions(F.desc("s"), F.asc("h"))
-    steps = ordered.mapInPandas(collapse, "s double, pos array<bigint>, neg array<bigint>")
-    each = steps.select("s", F.posexplode(F.arrays_zip("pos", "neg")).alias("rep", "w"))
-    return each.groupBy("rep", "s").agg(F.sum("w.pos").alias("pos"), F.sum("w.neg").alias("neg"))
+    order = [F.asc("m"), F.desc("s"), F.asc("h")]
+    ordered = long.repartitionByRange(*order).sortWithinPartitions(*order)
+    steps = ordered.mapInPandas(collapse, "m string, s double, pos array<bigint>, neg array<bigint>")
+    each = steps.select("m", "s", F.posexplode(F.arrays_zip("pos", "neg")).alias("rep", "w"))
+    return each.groupBy("m", "rep", "s").agg(F.sum("w.pos").alias("pos"), F.sum("w.neg").alias("neg"))
 
 
 def replicate_precision(
-    df: DataFrame, score: str, label: str, row_id: str, b: int, seed: int = K.SEED
+    df: DataFrame, scores: Mapping[str, str], label: str, row_id: str, b: int, seed: int = K.SEED
 ) -> DataFrame:
-    """Average precision of every replicate: (rep, auc_pr)."""
-    steps = weighted_steps(df, score, label, row_id, b, seed)
+    """Average precision of every replicate of every detector: (m, rep, auc_pr).
+
+    ``scores`` names the score column of each detector.
+    """
+    long = _long(df, scores, label, row_id, seed)
+    steps = weighted_steps(long, b, seed)
     # Nearly all steps lie at positive scores, so these set the buckets.
-    bounds = quantile_bounds(df.filter(F.col(label) == 1), score)
-    run = prefix_sums(steps, "s", ["pos", "neg"], ["rep"], descending=True, bounds=bounds)
-    totals = steps.groupBy("rep").agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
+    bounds = quantile_bounds(long.filter(F.col("y") == 1), "s")
+    run = prefix_sums(steps, "s", ["pos", "neg"], ["m", "rep"], descending=True, bounds=bounds)
+    totals = steps.groupBy("m", "rep").agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
     size = df.agg(
         F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     ).scalar()
-    joined = run.join(totals, "rep").filter(F.col("pos") > 0).withColumn("_size", size)
+    joined = run.join(totals, ["m", "rep"]).filter(F.col("pos") > 0).withColumn("_size", size)
     cp = F.col("cum_pos") * (F.col("_size.p") / F.col("_tp"))
     cn = F.col("cum_neg") * F.coalesce(F.try_divide(F.col("_size.n"), F.col("_tn")), F.lit(0.0))
-    return joined.groupBy("rep").agg(F.sum(F.col("pos") / F.col("_tp") * (cp / (cp + cn))).alias("auc_pr"))
+    return joined.groupBy("m", "rep").agg(
+        F.sum(F.col("pos") / F.col("_tp") * (cp / (cp + cn))).alias("auc_pr")
+    )
 
 
 def paired_difference(
     df: DataFrame, score_a: str, score_b: str, label: str, row_id: str, b: int = 2000, seed: int = K.SEED
 ) -> DataFrame:
     """(rep, diff): average precision of ``score_b`` minus that of ``score_a``."""
-    a = replicate_precision(df, score_a, label, row_id, b, seed).withColumnRenamed("auc_pr", "_a")
-    other = replicate_precision(df, score_b, label, row_id, b, seed).withColumnRenamed("auc_pr", "_b")
-    return a.join(other, "rep").select("rep", (F.col("_b") - F.col("_a")).alias("diff"))
+    both = replicate_precision(df, {"a": score_a, "b": score_b}, label, row_id, b, seed)
+
+    def of(name: str):
+        return F.max(F.when(F.col("m") == name, F.col("auc_pr")))
+
+    return both.groupBy("rep").agg((of("b") - of("a")).alias("diff"))
 
 
 def summarise(diffs: DataFrame) -> DataFrame:

@@ -17,16 +17,19 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of texts, whose rows are costly: spread over the cores when it has few splits.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that are costly to work on, spread over the cores when the input has few splits.
 
-    A table with as many splits as cores is read as it is.
+    An input with as many splits as cores, as any large table has, is left as it is.
     """
-    df = load(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def load_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(load(spark, folder, name))
+
+
 def event_transactions(events: DataFrame) -> DataFrame:
     """Events as labelled, rule-scored card transactions."""
     # Calendar parts of a zoneless timestamp do not depend on the session time zone.

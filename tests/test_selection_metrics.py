@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,22 +93,22 @@ def test_bootstrap_equals_weighted_brute_force(spark):
     rng = np.random.default_rng(5)
     n, b = 400, 6
     s, y = np.round(rng.random(n), 1), (rng.random(n) < 0.2).astype(int)
-    df = _scores(spark, [float(x) for x in s], [int(v) for v in y])
+    df = _scores(spark, [float(x) for x in s], [int(v) for v in y]).withColumn("other", 1 - F.col("prob"))
     # A small Arrow batch and few partitions force ties across batch and task borders.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = {r.rep: r.auc_pr for r in bootstrap.replicate_precision(df, "prob", "label", "tx_id", b).collect()}
+        rows = bootstrap.replicate_precision(df, {"a": "prob", "b": "other"}, "label", "tx_id", b).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    import hashlib
-
+    got = {(r.m, r.rep): r.auc_pr for r in rows}
     h = np.array([int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) % bootstrap.PRIME for i in range(n)])
     for rep, (mul, add) in enumerate(bootstrap.multipliers(b)):
         u = (h * mul + add) % bootstrap.PRIME
         w = np.searchsorted(np.array(bootstrap.STEPS), u, side="right").astype(float)
         w[y == 1] *= y.sum() / w[y == 1].sum()
         w[y == 0] *= (y == 0).sum() / w[y == 0].sum()
-        assert got[rep] == pytest.approx(_average_precision(s, y, w), abs=1e-12)
+        assert got["a", rep] == pytest.approx(_average_precision(s, y, w), abs=1e-12)
+        assert got["b", rep] == pytest.approx(_average_precision(1 - s, y, w), abs=1e-12)
 
 
 def test_recall_is_monotone_in_threshold(spark, folder):
