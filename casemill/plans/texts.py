@@ -157,9 +157,10 @@ def p15_masked_names(spark, d):
 
 
 def _run_file(spark, d):
-    """Case files with their explanations; contributions are against all rows."""
-    tx = with_run(_explained(spark, d))
-    return selection.select_cases_by(tx, ["run_id"], "prob", "tx_id", 10, 0.4)
+    """Case files with their explanations; only cases are explained, against the means of all rows."""
+    tx = with_run(scored_transactions(spark, d))
+    cases = selection.select_cases_by(tx, ["run_id"], "prob", "tx_id", 10, 0.4)
+    return explain.linear_contributions(cases, WEIGHTS, base=tx)
 
 
 def _run_means(spark, d):

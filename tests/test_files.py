@@ -55,11 +55,11 @@ def test_documents(spark, tmp_path):
 
 def test_report_scan(spark, tmp_path):
     body = "# x\n\n## Informe final\nCASO 1\nfin\n---\n\n## Salida del Investigador\nz"
-    _write(tmp_path / "llama3.1_8b_revisa_s42_r2.md", body)
-    _write(tmp_path / "llama3.1_8b_revisa_s42_r3.md", "sin partes")
+    _write(tmp_path / "modelo_8b_revisa_s42_r2.md", body)
+    _write(tmp_path / "modelo_8b_revisa_s42_r3.md", "sin partes")
     _write(tmp_path / "otro.md", body)
     (r,) = files.read_reports(spark, str(tmp_path)).collect()
-    assert tuple(r) == ("llama3.1_8b", "revisa", 42, 2, "CASO 1\nfin")
+    assert tuple(r) == ("modelo_8b", "revisa", 42, 2, "CASO 1\nfin")
 
 
 def test_append_is_idempotent(spark, tmp_path):

@@ -5,8 +5,8 @@ from casemill import constants as K
 from casemill.functions import text as T
 from casemill.operators import audit, system
 
-CASES, UNIVERSE = [34, 156, 352, 420], list(range(500))
-TABLE = "| 156 | 1.0 |\n| 34 | 0.9 |\n| 420 | 0.8 |\n| 352 | 0.7 |\n"
+CASES, UNIVERSE = [11, 205, 318, 477], list(range(500))
+TABLE = "| 205 | 1.0 |\n| 11 | 0.9 |\n| 477 | 0.8 |\n| 318 | 0.7 |\n"
 
 
 def _one(spark, text, expr):
@@ -26,7 +26,7 @@ def _one(spark, text, expr):
         ("Hubo varios cargos en un corto período.", K.AUDIT_INVENTED_CONCEPTS),
         ("Procede de un país lejano.", K.AUDIT_INVENTED_CONCEPTS),
         ("It comes from a distant country.", K.AUDIT_INVENTED_CONCEPTS),
-        ("Transacción ID: **15854** aparece en la lista de otro país.", K.AUDIT_INVENTED_IDS),
+        ("Transacción ID: **31877** aparece en la lista de otro país.", K.AUDIT_INVENTED_IDS),
     ],
 )
 def test_report_audit(spark, body, expected):
@@ -38,9 +38,9 @@ def test_report_audit(spark, body, expected):
 
 
 def test_incomplete_and_outside(spark):
-    df = spark.createDataFrame([("CASO 34 y CASO 7", CASES, UNIVERSE)], "text string, c array<bigint>, u array<bigint>")
+    df = spark.createDataFrame([("CASO 11 y CASO 7", CASES, UNIVERSE)], "text string, c array<bigint>, u array<bigint>")
     r = audit.audit_reports(df, "text", "c", "u").first()
-    assert (r.audit, r.outside_ids, r.covered_ids, r.coverage) == (K.AUDIT_INCOMPLETE, [7], [34], 0.25)
+    assert (r.audit, r.outside_ids, r.covered_ids, r.coverage) == (K.AUDIT_INCOMPLETE, [7], [11], 0.25)
 
 
 def test_negation_window_has_an_end(spark):
@@ -76,8 +76,8 @@ def test_stems_never_hide_a_hit(spark):
     "text, ids",
     [
         ("CASO 3, CASO #4 y CASO **5**", [3, 4, 5]),
-        ("Transacción 0 y Transaction ID: **15854**", [0, 15854]),
-        ("ID: 156 frente a 99 casos", [156]),
+        ("Transacción 0 y Transaction ID: **31877**", [0, 31877]),
+        ("ID: 205 frente a 99 casos", [205]),
         ("| **7** | 3 |\n  | 8 | 9 |", [7, 8]),
         ("se han visto 4 casos al 100%", []),
         ("CASE 12 or case 13", [12]),
