@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from casemill import constants as K
 from casemill.functions import scalar as S
-from casemill.functions.hashing import hash32
 from casemill.operators import metrics, profile, sampling, selection, splits
 from casemill.operators.ranks import before
 from casemill.plans.registry import TX, hash32_sql, query

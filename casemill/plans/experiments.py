@@ -8,8 +8,8 @@ from casemill import constants as K
 from casemill.operators import audit, metrics, profile, runs, stats, summaries, system, windows
 from casemill.plans import detector, texts
 from casemill.plans.registry import SQL, TX, query
-from casemill.plans.reviews import CASES_SQL, TEXTS_SQL, case_texts, run_cases
-from casemill.sources.tables import load, scored_transactions, transactions
+from casemill.plans.reviews import TEXTS_SQL, case_texts, run_cases
+from casemill.sources.tables import scored_transactions, transactions
 
 R = F.round
 

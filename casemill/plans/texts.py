@@ -22,7 +22,7 @@ from casemill.plans.reviews import (
     run_texts,
     with_run,
 )
-from casemill.sources.tables import load, scored_transactions, transactions
+from casemill.sources.tables import scored_transactions, transactions
 
 R = F.round
 WEIGHTS = {"amount": 0.02, "hour": -0.05, "k": 0.01, "card": -0.003}
