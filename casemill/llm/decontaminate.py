@@ -9,7 +9,7 @@ the same codes, which answers with those it holds.  A hit counts only if its wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from casemill.llm import packing, tokens
 
 BROADCAST_WINDOWS = 1_000_000
 _GRAM = "code long, width int, words binary, items array<long>"
-_FOUND = "id long, n_words long, n_hit long, items array<long>, starts array<long>, ends array<long>"
+_FOUND = "n_words long, n_hit long, items array<long>, starts array<long>, ends array<long>"
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -112,16 +112,17 @@ def _scan(batch: pa.RecordBatch, grams: _Grams) -> pa.RecordBatch:
     starts, ends = np.flatnonzero(edge), np.flatnonzero(stop) + 1
     lists = np.searchsorted(starts, w.first).astype(np.int32)
     base = np.repeat(w.first[:-1], np.diff(lists))
+    rest = [n for n in batch.schema.names if n not in ("text", "g")]
     return pa.record_batch(
         [
-            batch.column("id"),
+            *[batch.column(n) for n in rest],
             pa.array(np.diff(w.first), pa.int64()),
             pa.array(np.diff(total[w.first]), pa.int64()),
             pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.int64())),
             pa.ListArray.from_arrays(pa.array(lists), pa.array(starts - base, pa.int64())),
             pa.ListArray.from_arrays(pa.array(lists), pa.array(ends - base, pa.int64())),
         ],
-        names=["id", "n_words", "n_hit", "items", "starts", "ends"],
+        names=[*rest, "n_words", "n_hit", "items", "starts", "ends"],
     )
 
 
@@ -185,8 +186,10 @@ def find_benchmark(
     item_text: str = "text",
     width: int = 10,
     broadcast_windows: int = BROADCAST_WINDOWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, n_words, n_hit, items, starts, ends) for each document.
+    """(id, n_words, n_hit, items, starts, ends) for each document, with the columns ``carry``
+    (a result whose name they hold gets an underscore in front).
 
     Words are runs of letters and digits, A-Z lower-cased; every other ASCII character
     separates.  An item of fewer than ``width`` words, but not none, is one window.  A word
@@ -198,12 +201,13 @@ def find_benchmark(
     or no hits.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    source = tokens.carried(docs, carry, id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
+    found = tokens.schema_of(source, ["text"], _FOUND)
     grams = benchmark_windows(benchmark, item_id, item_text, width)
     rows = grams.limit(broadcast_windows + 1).collect()
     if len(rows) <= broadcast_windows:
         shared = spark.sparkContext.broadcast(tuple([r[c] for r in rows] for c in ("code", "width", "words", "items")))
-        return source.mapInArrow(_scan_all(shared), _FOUND)
+        return tokens.restored(source.mapInArrow(_scan_all(shared), found), carry)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = 3 * shuffles
     dealt = source.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition(shuffles, "g")
@@ -213,4 +217,4 @@ def find_benchmark(
         dealt.groupBy("g").applyInArrow(_send(widths, groups), "bucket int, g int, code binary")
         .groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answer, f"g int, {_GRAM}")
     )
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_mark, _FOUND)
+    return tokens.restored(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_mark, found), carry)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.hashing import uniform
+from casemill.llm.tokens import free_name
 from casemill.session import durable
 
 
@@ -112,7 +113,8 @@ def with_copies(
     docs: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     preference: str | None = None, seed: int = 17,
 ) -> DataFrame:
-    """Add ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words) to every row.
+    """Add ``_size``, ``_source_size``, ``_target``, ``_copies`` and ``_taken`` (words) to every row,
+    behind one more underscore where ``docs`` has such a column.
 
     The cuts have one row per source; texts are not shuffled unless there are very many
     sources.  Null text: size 0.  Null source: a source of its own, the last.  Repeated rows
@@ -130,7 +132,5 @@ def with_copies(
     size = word_count(F.col(f"d.{text}"))
     copies = F.when(F.col("c.source_size") > 0, F.col("c.copies") + more).otherwise(0)
     joined = docs.alias("d").join(cuts.alias("c"), F.col(f"d.{source}").eqNullSafe(F.col("c.source")))
-    return joined.select(
-        "d.*", size.alias("_size"), F.col("c.source_size").alias("_source_size"), F.col("c.target").alias("_target"),
-        copies.alias("_copies"), (copies * size).alias("_taken"),
-    )
+    added = {"_size": size, "_source_size": F.col("c.source_size"), "_target": F.col("c.target"), "_copies": copies, "_taken": copies * size}
+    return joined.select("d.*", *[c.alias(free_name(n, docs.columns)) for n, c in added.items()])

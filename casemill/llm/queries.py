@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.llm.ann import nearest
 from casemill.llm.decontaminate import find_benchmark
+from casemill.llm.jaccard import near_duplicates
+from casemill.llm.language import learn_dictionaries, predict_language
 from casemill.llm.mixing import mixing_cuts, with_copies
+from casemill.llm.quality import score_quality
 from casemill.llm.registry import query
 from casemill.llm.sharding import shard_table
 from casemill.llm.substrings import remove_repeats
@@ -234,3 +238,46 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
         page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_number("refers_to").alias("refers_to"),
     )
+
+
+def _fold(doc_id: str, folds: int):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    learn = _fold("doc_id", 5) != 0
+    scored = score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), learn)
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(_fold("id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def languages(docs: DataFrame) -> DataFrame:
+    learned = learn_dictionaries(docs.filter(F.col("doc_id").isNotNull() & (_fold("doc_id", 4) != 2)))
+    return predict_language(docs, learned)
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(_table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.coalesce(_fold("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query("op4_ann_search")
+def op4_ann_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top; its stages use the operators above
+
+    return corpus_pipeline.run(spark, folder)

@@ -9,10 +9,12 @@ and by eight bytes a word for what is kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -93,8 +95,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """Cut the texts ``data[offsets[i]:offsets[i + 1]]`` into words and fingerprint them."""
+#: Runs of letters and digits (1), runs of punctuation (2); white space and control separate (0).
+KINDS = np.where(FOLDED > 0, 1, 2).astype(np.uint8)
+KINDS[:0x21] = KINDS[0x7F] = 0
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, kinds: np.ndarray | None = None) -> Words:
+    """Cut the texts ``data[offsets[i]:offsets[i + 1]]`` into words and fingerprint them.
+
+    With ``kinds`` a word also ends where the kind of its bytes changes.
+    """
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     codes, starts, ends = [], [], []
     at = 0
@@ -106,7 +116,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
                 to += int(stop[0])
                 break
             to = min(to + PIECE, len(data))
-        c, s, e = _piece(data[at:to], edge[(edge > at) & (edge < to)] - at, table)
+        c, s, e = _piece(data[at:to], edge[(edge > at) & (edge < to)] - at, table, kinds)
         codes.append(c)
         starts.append(s + at)
         ends.append(e + at)
@@ -123,12 +133,13 @@ def _is_sep(part: np.ndarray, table: np.ndarray) -> np.ndarray:
     return sep & (part != 0) if table is PLAIN else sep
 
 
-def _piece(part: np.ndarray, edge: np.ndarray, table: np.ndarray):
+def _piece(part: np.ndarray, edge: np.ndarray, table: np.ndarray, kinds: np.ndarray | None):
     word = ~_is_sep(part, table)
+    kind = word if kinds is None else kinds[part]
     n = len(part)
     left = np.zeros(n + 1, bool)  # a word may start here / end before here
     left[0] = left[n] = True
-    left[1:n] = word[1:] != word[:-1]
+    left[1:n] = kind[1:] != kind[:-1]
     left[edge] = True
     start = np.flatnonzero(left[:n] & word)
     end = np.flatnonzero(left[1:] & word) + 1
@@ -185,3 +196,26 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def carried(docs: DataFrame, carry: Sequence[str], **columns: Column) -> DataFrame:
+    """The named columns, and those to carry through under names that clash with nothing."""
+    return docs.select(*[c.alias(n) for n, c in columns.items()], *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(carry)])
+
+
+def schema_of(df: DataFrame, drop: Sequence[str], more: str) -> str:
+    """Schema text of ``df`` without some columns, and with more."""
+    return ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop], more])
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, behind as many underscores as it takes to clash with none of ``taken``."""
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def restored(df: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Give carried columns their names back; a result of the same name gets an underscore."""
+    names = {f"_k{i}": c for i, c in enumerate(carry)}
+    return df.select(*[F.col(c).alias(names[c] if c in names else free_name(c, carry)) for c in df.columns])
