@@ -313,22 +313,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that share an id never remove from one another.  A null id counts as the greatest
     and stays null.  An empty table gives no rows.  Other columns are not looked at.
 
-    ``groups`` (by default three for each shuffle partition) sets how finely documents and
-    buckets are dealt; a task holds one group of texts, or one bucket, at a time.
+    ``groups`` (by default two for each shuffle partition) sets how finely documents are
+    dealt, buckets are as many as shuffle partitions; a task holds one group of texts, or one
+    bucket, at a time.  A group sends one row to a bucket, so more of both mean more, smaller rows.
     """
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups or 3 * shuffles
+    groups = groups or 2 * shuffles
     key = F.col(doc_id).cast("long")
     dealt = docs.select(
         F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"), key.alias("id"), F.col(text).cast("string").alias("text")
     ).repartition(shuffles, "g")
     symbols = (
-        dealt.groupBy("g").applyInArrow(_send_symbols(width, groups), "bucket int, g int, low binary")
+        dealt.groupBy("g").applyInArrow(_send_symbols(width, shuffles), "bucket int, g int, low binary")
         .groupBy("bucket").applyInArrow(_answer_symbols, "g int, bucket int, low binary")
     )
     windows = (
         dealt.groupBy("g").cogroup(symbols.repartition(shuffles, "g").groupBy("g"))
-        .applyInArrow(_send_windows(width, groups), "bucket int, g int, code binary, check binary, own binary, several binary")
+        .applyInArrow(_send_windows(width, shuffles), "bucket int, g int, code binary, check binary, own binary, several binary")
         .groupBy("bucket").applyInArrow(_answer_windows, "g int, code binary, check binary, least binary")
     )
     return (
