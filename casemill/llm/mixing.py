@@ -11,6 +11,9 @@ from casemill.functions.hashing import uniform
 from casemill.llm.tokens import free_name
 from casemill.session import durable
 
+#: Sources up to which their table is sent to all tasks; beyond, Spark joins by source and splits hot ones.
+BROADCAST_SOURCES = 10_000
+
 
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
@@ -103,10 +106,10 @@ def mixing_cuts(
     # Words before a row only grow, so the rows taken come first; the last of them is the cut.
     cut = taken.filter("_in").groupBy("source").agg(F.max(F.struct("_rank", "_id")).alias("c"))
     c = cut.alias("c")
-    return edge.alias("e").join(c, F.col("e.source").eqNullSafe(F.col("c.source")), "left").select(
+    return durable(edge.alias("e").join(c, F.col("e.source").eqNullSafe(F.col("c.source")), "left").select(
         "e.source", "e.source_size", "e.target", "e.copies", F.coalesce("e._edge", F.lit(-1)).alias("cut_range"),
         F.col("c.c._rank").alias("cut_rank"), F.col("c.c._id").alias("cut_id"), F.lit(ranges).alias("ranges"),
-    )
+    ))
 
 
 def with_copies(
@@ -116,8 +119,7 @@ def with_copies(
     """Add ``_size``, ``_source_size``, ``_target``, ``_copies`` and ``_taken`` (words) to every row,
     behind one more underscore where ``docs`` has such a column.
 
-    The cuts have one row per source; texts are not shuffled unless there are very many
-    sources.  Null text: size 0.  Null source: a source of its own, the last.  Repeated rows
+    The cuts have one row per source.  Null text: size 0.  Null source: a source of its own, the last.  Repeated rows
     have one rank and are taken alike.  ``seed`` and ``preference`` must be those of the cuts.
     """
     liking = F.lit(1.0) if preference is None else F.col(f"d.{preference}").cast("double")
@@ -131,6 +133,8 @@ def with_copies(
     more = ((part < F.col("c.cut_range")) | inside).cast("long")
     size = word_count(F.col(f"d.{text}"))
     copies = F.when(F.col("c.source_size") > 0, F.col("c.copies") + more).otherwise(0)
-    joined = docs.alias("d").join(cuts.alias("c"), F.col(f"d.{source}").eqNullSafe(F.col("c.source")))
+    # Up to a checked number of sources the texts stay where they are.
+    small = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = docs.alias("d").join((F.broadcast(cuts) if small else cuts).alias("c"), F.col(f"d.{source}").eqNullSafe(F.col("c.source")))
     added = {"_size": size, "_source_size": F.col("c.source_size"), "_target": F.col("c.target"), "_copies": copies, "_taken": copies * size}
     return joined.select("d.*", *[c.alias(free_name(n, docs.columns)) for n, c in added.items()])
