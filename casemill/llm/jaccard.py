@@ -242,7 +242,12 @@ def near_duplicates(
     chosen = classes.select(F.col("key").alias("node"), F.col("rep").alias("id"), "copies")
     labels = signed.select("id", F.col("key").alias("node"), "codes").join(chosen, ["id", "node"]).select("node", F.explode("codes").alias("code"))
     centres = labels.groupBy("code").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").drop("last")
-    stars = labels.join(centres, "code").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    # A node meets at most ``trees`` centres.  It keeps the smallest, its hub; that its other
+    # centres belong together is said of the hub, once for all nodes that say the same.
+    met = labels.join(centres, "code").groupBy("node").agg(F.collect_set("centre").alias("all")).withColumn("hub", F.array_min("all"))
+    stars = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(
+        met.select(F.col("hub").alias("a"), F.explode("all").alias("b")).distinct()
+    ).filter("a <> b")
     clusters = connected(stars).withColumnRenamed("label", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").join(chosen, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
