@@ -16,6 +16,7 @@ from casemill import constants as K
 from casemill.functions.hashing import hash32
 from casemill.operators.profile import minmax_by_batch
 from casemill.operators.ranks import before, order_statistics
+from casemill.session import durable
 
 _NODE = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
@@ -61,7 +62,12 @@ class IsolationForest:
     def score(self, df: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
         """Add ``score_anomalia`` in 0..1, min-max over the batch being scored."""
         if not batch:
-            return self.score(df.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+            # Scored once; the two extremes are numbers, so no key gathers the whole table.
+            raw = durable(self.raw(df))
+            lo, hi = raw.agg(F.min("_raw"), F.max("_raw")).first()
+            span = (hi - lo) if lo is not None and hi > lo else None
+            scaled = (F.col("_raw") - F.lit(lo)) / F.lit(span) if span else F.lit(0.0)
+            return raw.withColumn("score_anomalia", scaled).drop("_raw")
         return minmax_by_batch(self.raw(df), "_raw", batch, "score_anomalia").drop("_raw")
 
     def raw(self, df: DataFrame) -> DataFrame:
@@ -104,25 +110,21 @@ def fit_isolation_forest(
 ) -> IsolationForest:
     """Grow ``n_trees`` trees on samples of at most ``sample`` rows, without labels.
 
-    A pool of n_trees * sample rows is drawn in hash order.  A full pool is dealt out
-    to the trees; a smaller table is sampled anew for every tree.
+    The pool is the first n_trees * sample rows in hash order, or all of a smaller table.
+    Every tree takes the ``sample`` pool rows that come first in a hash order of its own.
     """
     cols = list(cols)
     scale = population_scale(df, cols)
     scaled = [((F.col(c) - scale[c][0]) / scale[c][1]).cast("double").alias(c) for c in cols]
     keyed = df.select(row_id, *scaled).withColumn("_h", hash32(seed, F.col(row_id)))
     n, want = df.count(), n_trees * sample
-    if n > want:
-        # A hash cut keeps exactly the pool; no task gathers candidates from all partitions.
-        pool = keyed.filter(before(["_h", row_id], order_statistics(keyed, ["_h", row_id], [(None, want)])[0]))
-        # The pool has a fixed size whatever the table's, so numbering it is bounded.
-        slot = F.row_number().over(Window.orderBy("_h", row_id)) - 1
-        dealt = pool.withColumn("tree", (slot % n_trees).cast("int"))
-    else:
-        every = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        order = hash32(seed, F.col("tree"), F.col(row_id))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(order, row_id))
-        dealt = every.withColumn("_r", rank).filter(F.col("_r") <= sample)
+    # A hash cut keeps exactly the pool; no task gathers candidates from all partitions.
+    cut = order_statistics(keyed, ["_h", row_id], [(None, want)])[0] if n > want else None
+    pool = keyed if cut is None else keyed.filter(before(["_h", row_id], cut))
+    every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    order = hash32(seed, F.col("tree"), F.col(row_id))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(order, row_id))
+    dealt = every.withColumn("_r", rank).filter(F.col("_r") <= sample)
     limit = max(ceil(log2(max(sample, 2))), 1)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

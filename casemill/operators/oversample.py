@@ -156,20 +156,23 @@ def oversample(
     minority = 1 if n.get(1, 0) <= n.get(0, 0) else 0
     n_min, missing = n.get(minority, 0), abs(n.get(0, 0) - n.get(1, 0))
     rows = df.filter(F.col(label) == minority).withColumn("_h", hash32(seed, "smote", F.col(row_id)))
+    if missing and n_min < 2:
+        raise ValueError(f"a minority of {n_min} rows has no neighbours to interpolate with")
     each, extra = divmod(missing, max(n_min, 1))
     copies = F.lit(each)
     if extra:
         cut = order_statistics(rows, ["_h", row_id], [(None, extra)])[0]
         copies = F.when(before(["_h", row_id], cut), each + 1).otherwise(each)
     top = df.agg(F.max(row_id)).first()[0] + 1
+    if top + top * (each + 1) + each >= 1 << 63:
+        raise ValueError(f"{row_id} is too large to number synthetic rows after it: use smaller ids")
     near = nearest_neighbours(rows, row_id, cols, k, seed)
     parents = rows.select(F.col(row_id).alias("parent"), copies.cast("long").alias("_copies"), *cols).join(
         near.withColumnRenamed("id", "parent"), "parent"
     ).filter(F.col("_copies") > 0)
     # Two levels, so that one parent with very many replicas is spread over tasks.
     chunks = parents.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / FAN_OUT))))
-    if each >= FAN_OUT:
-        chunks = chunks.repartition("parent", "_chunk")
+    chunks = chunks.repartition("parent", "_chunk")
     last = F.least(F.col("_copies"), (F.col("_chunk") + 1) * FAN_OUT) - 1
     made = chunks.withColumn("replica", F.explode(F.sequence(F.col("_chunk") * FAN_OUT, last)))
     pick = (hash32(seed, "nb", F.col("parent"), F.col("replica")) % F.size("neighbours")).cast("int")

@@ -116,7 +116,7 @@ def quantile_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list
     """Distinct inner bounds that split ``key`` into about ``buckets`` equal shares."""
     if buckets is None:
         shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = min(max(4 * shuffles, 16), 4096)
+        buckets = max(4 * shuffles, 16)
     probs = [i / buckets for i in range(1, buckets)]
     found = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
         key, probs, 1.0 / (4 * buckets)

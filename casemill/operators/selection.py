@@ -79,17 +79,13 @@ def bottom_n(df: DataFrame, prob: str, row_id: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.asc(prob), row_id).limit(n)
 
 
-def clamp_list_size(n) -> int:
-    return max(1, min(int(n), 50))
-
-
 def priority_list(
     scored: DataFrame, prob: str, row_id: str, n: int = 10, level: str = "completo"
 ) -> DataFrame:
     """Numbered top list; the score and tier columns are shown only where the level allows."""
     if level not in K.LEVELS:
         raise ValueError(f"level must be one of {K.LEVELS}")
-    top = top_n(scored, prob, row_id, clamp_list_size(n)).withColumn(
+    top = top_n(scored, prob, row_id, max(1, int(n))).withColumn(
         "case_no", F.row_number().over(Window.orderBy(F.desc(prob), row_id))
     )
     shown = {"completo": [prob, "tier"], "sin_nivel": [prob], "ciego": []}[level]

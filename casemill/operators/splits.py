@@ -12,9 +12,17 @@ from casemill.functions.hashing import hash32
 from casemill.operators.ranks import before, order_statistics
 
 
+def _timed_rows(df: DataFrame, time: str) -> int:
+    """Number of rows; rows without a time have no place in the order and are an error."""
+    n, timed = df.agg(F.count("*"), F.count(time)).first()
+    if timed < n:
+        raise ValueError(f"{n - timed} of {n} rows have no {time}: drop them or give them one first")
+    return n
+
+
 def time_cut(df: DataFrame, time: str, row_id: str, share: float = K.TEST_SHARE) -> tuple:
     """(time, id) of the first test row; rows at the same time are ordered by id."""
-    rank = int(df.count() * (1 - share))
+    rank = int(_timed_rows(df, time) * (1 - share))
     return order_statistics(df, [time, row_id], [(None, rank)])[0]
 
 
@@ -74,7 +82,7 @@ def stratified_folds(
 
 def time_folds(df: DataFrame, time: str, row_id: str, k: int = 3) -> DataFrame:
     """Add ``block`` 0..k: fold i trains on blocks before i and validates on block i."""
-    n = df.count()
+    n = _timed_rows(df, time)
     size = n // (k + 1)
     ranks = [n - (k - j) * size for j in range(k)]
     return df.withColumn("block", _blocks(df, [time, row_id], [(F.lit(True), ranks, n)]))

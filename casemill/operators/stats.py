@@ -86,13 +86,19 @@ def _exact_tail(n: Column, t: Column) -> Column:
     return below / F.pow(F.lit(2.0), n)
 
 
-def wilcoxon(pairs: DataFrame, diff: str, by: Sequence[str], tie_round: int | None = None) -> DataFrame:
+def wilcoxon(
+    pairs: DataFrame, diff: str, by: Sequence[str], tie_round: int | None = None, method: str = "auto"
+) -> DataFrame:
     """Paired signed-rank test per group; zeros are dropped, ties take average ranks.
 
-    Without zeros or ties and up to fifty pairs the exact distribution is used, else the
-    normal approximation with tie correction.  Ties are compared on the raw doubles
+    ``method`` is "exact" (the exact distribution; no p value for groups with zeros or ties,
+    which it does not cover), "normal" (the approximation with tie correction) or "auto", the
+    published rule: exact without zeros or ties up to ``EXACT_UP_TO`` pairs, else normal.  The
+    column ``method`` says which one a group got.  Ties are compared on the raw doubles
     unless ``tie_round`` asks for rounding.  A group of zeros only has no p value.
     """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError("method must be auto, exact or normal")
     by = list(by)
     x = F.col(diff) if tie_round is None else F.round(diff, tie_round)
     rows = pairs.select(*by, x.alias("_d"))
@@ -117,12 +123,16 @@ def wilcoxon(pairs: DataFrame, diff: str, by: Sequence[str], tie_round: int | No
     dev = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
     z = F.try_divide(t - n * (n + 1) / 4, dev)
     normal = erfc(F.abs(F.col("z")) / sqrt(2.0))
-    exact_ok = (F.col("n_zero") == 0) & (F.col("_ties") == 0) & (n <= EXACT_UP_TO)
+    covered = (F.col("n_zero") == 0) & (F.col("_ties") == 0)
+    used = {
+        "auto": F.when(covered & (n <= EXACT_UP_TO), "exact").otherwise("normal"), "exact": F.lit("exact"), "normal": F.lit("normal"),
+    }[method]
     joined = counts.join(sums, by, "left").withColumn("z", z)
-    p = F.when(exact_ok, F.least(2 * _exact_tail(n, t), F.lit(1.0))).otherwise(normal)
+    exact = F.when(covered, F.least(2 * _exact_tail(n, t), F.lit(1.0)))
+    p = F.when(used == "exact", exact).otherwise(normal)
     return joined.select(
         *by, "n_pairs", "n_worse", "n_zero", "w_plus", "w_minus", "z",
-        F.when(F.col("_n") > 0, p).alias("p_value"),
+        F.when(F.col("_n") > 0, p).alias("p_value"), used.alias("method"),
     )
 
 

@@ -26,9 +26,13 @@ def batch_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def batch_statistics(scored: DataFrame, level: str = "completo", by: Sequence[str] = ()) -> DataFrame:
-    """The statistics view; tier counts and scores are null where the level hides them."""
-    if level not in K.LEVELS:
+def batch_statistics(scored: DataFrame, level: str | Sequence[str] = "completo", by: Sequence[str] = ()) -> DataFrame:
+    """The statistics view; tier counts and scores are null where the level hides them.
+
+    Several levels are several rows made of one aggregation.
+    """
+    levels = [level] if isinstance(level, str) else list(level)
+    if not set(levels) <= set(K.LEVELS):
         raise ValueError(f"level must be one of {K.LEVELS}")
     s = scored.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
@@ -42,13 +46,10 @@ def batch_statistics(scored: DataFrame, level: str = "completo", by: Sequence[st
         F.min("hour").alias("hour_min"),
         F.max("hour").alias("hour_max"),
     )
-    hidden = {
-        "completo": [],
-        "sin_nivel": ["n_high", "n_medium", "n_low"],
-        "ciego": ["n_high", "n_medium", "n_low", "prob_max", "prob_mean"],
-    }[level]
-    types = dict(s.dtypes)
-    return s.withColumns({c: F.lit(None).cast(types[c]) for c in hidden} | {"level": F.lit(level)})
+    shown = s.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    tiers = {c: F.when(F.col("level") == "completo", F.col(c)) for c in ("n_high", "n_medium", "n_low")}
+    scores = {c: F.when(F.col("level") != "ciego", F.col(c)) for c in ("prob_max", "prob_mean")}
+    return shown.withColumns(tiers | scores)
 
 
 def share_at_or_below(df: DataFrame, by: str, amount: str, limits: Sequence[float] = (1, 2, 5, 10)) -> DataFrame:

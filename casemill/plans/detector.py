@@ -314,7 +314,8 @@ def d6_shift(spark, d):
 def d7_multi_shift(spark, d):
     tx = transactions(spark, d)
     start = splits.time_cut(tx, "t_sec", "tx_id")[0]
-    rows = splits.shifts(tx, "t_sec", start, 4.0, [0.0, 1.0, 2.0, 3.0])
+    near = transactions(spark, d, (start, start + 7 * 3600))
+    rows = splits.shifts(near, "t_sec", start, 4.0, [0.0, 1.0, 2.0, 3.0])
     return rows.groupBy("offset_h").agg(
         F.count("*").alias("n_rows"), F.sum("label").alias("positives"), R(F.sum("amount"), 6).alias("amount")
     )
@@ -418,7 +419,7 @@ def k2_top_n(spark, d):
 @query(
     "k3_priority_list",
     f"""WITH {TX} SELECT row_number() OVER (ORDER BY prob DESC, tx_id) AS case_no, prob, tier, amount, hour
-      FROM tx ORDER BY prob DESC, tx_id LIMIT 50""",
+      FROM tx ORDER BY prob DESC, tx_id LIMIT 80""",
 )
 def k3_priority_list(spark, d):
     return selection.priority_list(scored_transactions(spark, d), "prob", "tx_id", 80, "completo")

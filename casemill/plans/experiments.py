@@ -49,8 +49,7 @@ def a1_batch_summary(spark, d):
 )
 def a2_batch_stats(spark, d):
     scored = _days(scored_transactions(spark, d))
-    a, b, c = (summaries.batch_statistics(scored, level, ["day"]) for level in K.LEVELS)
-    out = a.unionByName(b).unionByName(c)
+    out = summaries.batch_statistics(scored, K.LEVELS, ["day"])
     return _rounded(_rounded(out, ["prob_mean"]), ["amount_total", "amount_mean"], 6)
 
 
@@ -301,7 +300,7 @@ _ERFC = "1 - exp(-x * x) * list_sum([exp((2 * i + 1) * ln(x) - lgamma(i + 1.5e0)
 )
 def h2_wilcoxon(spark, d):
     pairs = runs.mode_pairs(run_log(spark, d), _PAIR_KEYS)
-    return _rounded(stats.wilcoxon(pairs, "diff", ["model"]), ["z", "p_value"], 8)
+    return _rounded(stats.wilcoxon(pairs, "diff", ["model"]).drop("method"), ["z", "p_value"], 8)
 
 
 @query(

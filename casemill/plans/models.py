@@ -48,7 +48,7 @@ def m2_random_forest(spark, d):
 @query("m3_isolation_forest")
 def m3_isolation_forest(spark, d):
     train, test = _parts(spark, d)
-    forest = anomaly.fit_isolation_forest(train, COLS, "tx_id", n_trees=50)
+    forest = anomaly.fit_isolation_forest(train, COLS, "tx_id")
     return forest.score(test).select("tx_id", "Class", R("score_anomalia", 9).alias("score_anomalia"))
 
 

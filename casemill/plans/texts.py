@@ -691,7 +691,10 @@ f AS (SELECT *, row_number() OVER (ORDER BY prob DESC, tx_id) AS case_no, (SELEC
 
 
 def _desk(spark, d):
-    return triage.triage_shift(_explained(spark, d), hours=24.0, threshold=0.7)
+    # Only the shift's range is read, and explained against the mean of all rows.
+    every = scored_transactions(spark, d)
+    within = lambda seconds: explain.linear_contributions(scored_transactions(spark, d, seconds), WEIGHTS, every)
+    return triage.triage_shift(every, hours=24.0, threshold=0.7, within=within)
 
 
 @query(

@@ -8,6 +8,8 @@ cases.
 from __future__ import annotations
 
 from dataclasses import dataclass
+import warnings
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -51,8 +53,22 @@ class Triage:
     def statistics(self) -> DataFrame:
         return summaries.batch_statistics(self.scored, self.level)
 
-    def prioritise(self, n: int = 10) -> DataFrame:
-        return selection.priority_list(self.scored, "prob", "tx_id", n, self.level)
+    def prioritise(self, n: int = 10, max_size: int = 50) -> DataFrame:
+        """The first ``n`` cases; the desk shows ``max_size`` of them at most and warns if that cuts."""
+        if int(n) > max_size:
+            warnings.warn(f"the list was cut from {n} to {max_size} rows", stacklevel=2)
+        return selection.priority_list(self.scored, "prob", "tx_id", min(int(n), max_size), self.level)
+
+    def close(self) -> None:
+        """Free the kept case file."""
+        if "cases" in self.__dict__:
+            self.cases.unpersist()
+
+    def __enter__(self) -> Triage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def explain(self, case_no) -> str:
         """Narrative of one case with its place against the batch mean, or an error text."""
@@ -114,11 +130,17 @@ def triage_shift(
     offset_h: float = 0.0,
     threshold: float | None = None,
     capacity: int = K.CASES_MAX,
+    within: Callable[[tuple[float, float]], DataFrame] | None = None,
     **options,
 ) -> Triage:
-    """Triage of one shift of the test period; an empty shift is an error."""
+    """Triage of one shift of the test period; an empty shift is an error.
+
+    ``within`` gives the rows of a range of seconds, for a source that can read just these;
+    without it the shift is filtered from ``scored``.
+    """
     start = splits.time_cut(scored, time, "tx_id")[0]
-    rows = splits.require_rows(splits.shift(scored, time, start, hours, offset_h), "shift")
+    near = within((start + offset_h * 3600, start + (offset_h + hours) * 3600)) if within else scored
+    rows = splits.require_rows(splits.shift(near, time, start, hours, offset_h), "shift")
     return Triage(rows, capacity, threshold, **options)
 
 

@@ -25,13 +25,19 @@ def build_session(app: str = "casemill", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is named."""
+    """The cluster's shared checkpoint folder.
+
+    Without one, a local session gets a temporary folder; on a cluster that is an error,
+    since executors and driver share no local disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="casemill-")
     spark.sparkContext.setCheckpointDir(made)
     return made

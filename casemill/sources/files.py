@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from casemill import constants as K
 from casemill.functions.scalar import age_years, fractional_hour, haversine_km, hour_of_day
+from casemill.session import durable
 
 CARD_SCHEMA = T.StructType(
     [T.StructField("Time", T.DoubleType())]
@@ -37,22 +38,26 @@ def read_card_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_folder(spark: SparkSession, pattern: str, key: str = "trans_num", sep: str = "|") -> DataFrame:
     """Merge delimited files by column name, skipping files whose header lacks ``key``.
 
-    Headers are found in the first block of each file; files are then read in one scan
-    per distinct header.
+    A file's header is its first line: the one with the smallest row number of its first block.
+    Lines are matched with the header of their file and parsed by it, one scan per distinct
+    header; file names stay in the cluster, only the distinct headers come to the driver.
+    Empty lines and lines that repeat the header are no data.
     """
-    lines = spark.read.text(pattern).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    heads = lines.filter(
-        (F.col("file_block_start") == 0) & F.array_contains(F.split("value", f"\\{sep}"), key)
+    lines = spark.read.text(pattern).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at")
     )
-    groups = heads.groupBy("value").agg(F.collect_set("file_path").alias("files")).collect()
-    if not groups:
+    first = lines.filter(F.col("file_block_start") == 0).groupBy("file_path").agg(F.min_by("value", "_at").alias("head"))
+    heads = durable(first.filter(F.array_contains(F.split("head", f"\\{sep}"), key)))
+    layouts = sorted(r["head"] for r in heads.select("head").distinct().collect())
+    if not layouts:
         raise FileNotFoundError(f"no transaction files match {pattern}")
     parts = []
-    for g in sorted(groups, key=lambda r: r["value"]):
-        names = g["value"].split(sep)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.schema(schema).option("header", True).option("sep", sep).csv(g["files"])
-        parts.append(raw.select(*[F.col(n).cast(RAW_TYPES.get(n, "string")).alias(n) for n in names]))
+    for head in layouts:
+        names = head.split(sep)
+        schema = ", ".join(f"`{n}` string" for n in names)
+        body = lines.join(heads.filter(F.col("head") == head), "file_path").filter((F.col("value") != head) & (F.col("value") != ""))
+        raw = body.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
+        parts.append(raw.select(*[F.col(f"`{n}`").cast(RAW_TYPES.get(n, "string")).alias(n) for n in names]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

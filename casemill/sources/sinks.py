@@ -27,12 +27,15 @@ def training_summary(df: DataFrame, part: str = "part", label: str = "label", am
 
 
 def append_runs(runs: DataFrame, path: str, key: str = "run_id") -> None:
-    """Append only runs the log does not hold, so a repeated write adds nothing."""
+    """Append only runs the log does not hold, so a repeated write adds nothing.
+
+    Of rows with one key in ``runs`` one is written.  Writers must take turns.
+    """
     spark = runs.sparkSession
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    new = runs
+    new = runs.dropDuplicates([key])
     if exists:
-        new = runs.join(spark.read.parquet(path).select(key), key, "left_anti")
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new.write.mode("append").parquet(path)

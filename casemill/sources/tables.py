@@ -70,8 +70,10 @@ def transactions(
     return event_transactions(events)
 
 
-def scored_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return transactions(spark, folder).withColumn("tier", risk_tier(F.col("prob")))
+def scored_transactions(
+    spark: SparkSession, folder: str, seconds: tuple[float, float] | None = None
+) -> DataFrame:
+    return transactions(spark, folder, seconds).withColumn("tier", risk_tier(F.col("prob")))
 
 
 def embedding_rows(spark: SparkSession, folder: str, width: int = 28) -> DataFrame:

@@ -59,7 +59,8 @@ def _keep_best(capacity: int, hold_ms: int) -> Callable:
             return
         best = json.loads(state.get[0]) if state.exists else []
         for pdf in batches:
-            best += pdf[["prob", "tx_id", "t_sec", "label"]].values.tolist()
+            # Column by column: one array of all would turn large ids into doubles.
+            best += map(list, zip(*[pdf[c].tolist() for c in ("prob", "tx_id", "t_sec", "label")]))
             best = sorted(best, key=lambda r: (-r[0], r[1]))[:capacity]
         state.update((json.dumps(best),))
         # Windows are dropped once the watermark passes their end.

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from casemill.plans import catalog
 from compare import compare, duck
 
-SQL = entry.oracle_sql()
+SQL = catalog.SQL
 
 
 @pytest.fixture(scope="module")

@@ -47,8 +47,9 @@ def test_selection_per_group_equals_selection_alone(spark):
             }
 
 
-def test_list_size_is_clamped():
-    assert [selection.clamp_list_size(n) for n in (-4, 0, 7, "12", 900)] == [1, 1, 7, 12, 50]
+def test_a_list_is_as_long_as_asked(spark):
+    many = spark.range(900).selectExpr("id AS tx_id", "id / 1000.0 AS prob", "'x' AS tier", "1.0 AS amount", "2 AS hour")
+    assert [selection.priority_list(many, "prob", "tx_id", n).count() for n in (-4, 0, 7, "12", 800)] == [1, 1, 7, 12, 800]
 
 
 def test_levels_hide_columns(spark):
