@@ -44,6 +44,46 @@ def s2_multi_file_ingest(spark, d):
     return files.read_raw_folder(spark, f"{base}/*").select("trans_num", "cc_num", "amt", "category")
 
 
+@query(
+    "p7_prepare_raw",
+    """WITH g AS (SELECT o_orderkey, c_custkey, c_name, c_mktsegment, c_acctbal, c_nationkey, o_totalprice, o_orderpriority,
+         CAST(o_orderdate AS DATE) AS day, o_orderkey % 24 AS h, o_orderkey % 60 AS mi, c_custkey % 90 * 1e0 AS la1, c_custkey % 180 * 1e0 AS lo1,
+         c_nationkey * 3e0 AS la2, c_nationkey * 7e0 AS lo2 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
+       SELECT printf('%s %02d:%02d:30', strftime(day, '%Y-%m-%d'), h, mi) AS marca_temporal, 'T' || o_orderkey AS trans_num, c_custkey AS cc_num,
+         c_name AS comercio, c_mktsegment AS categoria, o_totalprice AS importe, round(h + mi / 60e0, 9) AS hora,
+         CAST(isodow(day) - 1 AS INTEGER) AS dia_semana, round(date_diff('day', DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER), day) / 365.25e0, 9) AS edad,
+         round(2 * 6371e0 * asin(sqrt(pow(sin((radians(la2) - radians(la1)) / 2), 2)
+           + cos(radians(la1)) * cos(radians(la2)) * pow(sin((radians(lo2) - radians(lo1)) / 2), 2))), 6) AS distancia_km,
+         c_custkey * 10 AS poblacion_ciudad, 'N' || c_nationkey AS city, 'S' || c_nationkey AS state, c_mktsegment AS job,
+         CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS es_fraude FROM g""",
+)
+def p7_prepare_raw(spark, d):
+    """Raw delimited files of two layouts and one without the key column, read and prepared."""
+    base = _new(spark, "business")
+    orders, customer = load(spark, d, "orders"), load(spark, d, "customer")
+    key, cust, nation = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
+    raw = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        "o_orderstatus",
+        F.concat(F.lit("T"), key).alias("trans_num"), cust.alias("cc_num"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("trans_date"), F.format_string("%02d:%02d:30", key % 24, key % 60).alias("trans_time"),
+        F.concat(F.lit("fraud_"), "c_name").alias("merchant"), F.col("c_mktsegment").alias("category"), F.col("o_totalprice").alias("amt"),
+        F.date_add(F.lit("1950-01-01").cast("date"), (cust % 18000).cast("int")).alias("dob"),
+        (cust % 90).cast("double").alias("lat"), (cust % 180).cast("double").alias("long"), (nation * 3.0).alias("merch_lat"), (nation * 7.0).alias("merch_long"),
+        (cust * 10).alias("city_pop"), F.concat(F.lit("N"), nation).alias("city"), F.concat(F.lit("S"), nation).alias("state"), F.col("c_mktsegment").alias("job"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("is_fraud"),
+    )
+    columns = raw.columns[1:]
+    for status, cols in (("F", columns), ("O", columns[::-1]), ("P", columns[1:])):
+        raw.filter(F.col("o_orderstatus") == status).select(*cols).write.option("header", True).option("sep", "|").csv(f"{base}/{status}")
+    out = files.prepare_business(files.read_raw_folder(spark, f"{base}/*"))
+    return out.withColumns(
+        {
+            "marca_temporal": F.date_format("marca_temporal", "yyyy-MM-dd HH:mm:ss"),
+            "hora": R("hora", 9), "edad": R("edad", 9), "distancia_km": R("distancia_km", 6),
+        }
+    )
+
+
 @query("s4_split_sink", SQL["d4_split_summary"])
 def s4_split_sink(spark, d):
     path = _new(spark, "split")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill import constants as K
@@ -167,10 +170,11 @@ def _run_means(spark, d):
     return with_run(transactions(spark, d)).groupBy("run_id").agg(F.avg("amount").alias("mean_amount"))
 
 
+_LINES_SQL = """lines AS (SELECT tx_id, string_agg(printf('  %s = %.3f (aporte %+.3f, %s)', var, value, contrib,
+  CASE WHEN contrib > 0 THEN 'hacia FRAUDE' ELSE 'hacia LEGITIMA' END), chr(10) ORDER BY rank) AS body FROM rk WHERE rank <= 4 GROUP BY tx_id)"""
 _DOSSIER_SQL = f"""{CASES_SQL}, {_CONTRIB_SQL},
 means AS (SELECT run_id, avg(amount) AS mean_amount FROM runs GROUP BY run_id),
-lines AS (SELECT tx_id, string_agg(printf('  %s = %.3f (aporte %+.3f, %s)', var, value, contrib,
-  CASE WHEN contrib > 0 THEN 'hacia FRAUDE' ELSE 'hacia LEGITIMA' END), chr(10) ORDER BY rank) AS body FROM rk WHERE rank <= 4 GROUP BY tx_id)"""
+{_LINES_SQL}"""
 _FACTS = """'Importe: ' || printf('%.2f', amount) || ' EUR' || chr(10) || 'Hora del dia: ' || printf('%.1f', hour) || 'h' || chr(10)
   || 'Variables de mayor aporte:' || chr(10) || body"""
 _MEAN = "'Importe medio del lote: ' || printf('%.2f', mean_amount) || ' EUR'"
@@ -739,6 +743,28 @@ def z4_report_bundle(spark, d):
     )
 
 
+@query(
+    "z1_tool_prioritise",
+    f"WITH {_DESK_SQL} SELECT case_no, prob, tier, amount, hour FROM f WHERE case_no <= 10",
+)
+def z1_tool_prioritise(spark, d):
+    return _desk(spark, d).prioritise(10)
+
+
+@query(
+    "z3_case_detail",
+    f"""WITH {_DESK_SQL}, {_CONTRIB_SQL}, {_LINES_SQL}, m AS (SELECT avg(amount) AS mean_amount FROM sh)
+      SELECT case_no, tx_id, label, level, 'CASO ' || case_no || '{dossiers.NOTE}' || chr(10)
+      || CASE level WHEN 'completo' THEN {_SCORE} || 'Nivel de riesgo: ' || tier || chr(10) WHEN 'sin_nivel' THEN {_SCORE} ELSE '' END
+      || {_FACTS} || chr(10) || {_MEAN} AS dossier
+      FROM f JOIN lines USING (tx_id), m, (VALUES ('completo'), ('sin_nivel'), ('ciego')) v(level) WHERE case_no = 2""",
+)
+def z3_case_detail(spark, d):
+    desk = _desk(spark, d)
+    views = [desk.case_detail(2, level).withColumn("level", F.lit(level)) for level in K.LEVELS]
+    return reduce(DataFrame.unionByName, views)
+
+
 @query(
     "z5_experiment_grid",
     """SELECT m AS model, o AS mode, s AS seed, r AS repetition, coalesce(n, 0) AS n_rows FROM (VALUES ('m_a'), ('m_b')) a(m), (VALUES ('interpreta'), ('revisa')) b(o), range(1, 4) c(s), range(1, 3) e(r)
