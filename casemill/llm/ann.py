@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by a robust-pruned directed graph per shard.
 
 Rows are dealt to shards of about ``shard_rows`` by a hash of their id, so that equal vectors
-spread over all shards; inside a shard equal vectors are one node.  A shard starts from a
-random graph.  In batches, each node is searched for greedily from the entry point, what the
-search passed becomes its candidates, and of these it keeps the nearest that no kept one
-covers: c is covered by p if ``alpha x d(p, c) <= d(node, c)``.  Kept edges are also offered
-in reverse and pruned the same way.  Queries walk every shard with a beam, in blocks; the
+spread over all shards; inside a shard equal vectors are one node.  Nodes join the graph in
+batches: each is searched for greedily from the entry points, what the search passed becomes
+its candidates, and of these it keeps the nearest that no kept one covers: c is covered by p
+if ``alpha x d(p, c) <= d(node, c)``.  Kept edges are also offered in reverse; a list that
+outgrows its room is pruned the same way.  Queries walk every shard with a beam, in blocks; the
 best of all shards are ranked by the exact product of the original vectors.
 """
 
@@ -22,108 +22,129 @@ DEGREE = 32
 BEAM = 96
 BUILD_BEAM = 48
 ALPHA = 1.2
-SHARD_ROWS = 8192
-QUERY_BLOCK = 4096
+SHARD_ROWS = 16384
+QUERY_BLOCK = 16384
 _BATCH = 512
+_OPEN = 4
+_PRUNED = 128
 
 
 def _beam(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int, passed: bool = False):
-    """Beam search of many queries at once, by squared distance.
+    """Beam search of many queries at once, by squared distance; a step opens ``_OPEN`` nodes each.
 
     Returns nodes (-1 where none) and distances, nearest first; with ``passed`` all nodes
     whose edges were looked at, as well.
     """
     b, n = len(queries), len(vectors)
-    norm = (vectors**2).sum(1)
-    seen = np.zeros((b, n + 1), bool)
-    rows = np.arange(b)[:, None]
-    at = np.full((b, width), -1)
-    at[:, : len(entry)] = entry[:width]
+    norm = np.einsum("nd,nd->n", vectors, vectors)
+    seen = np.zeros((b, n + 1), np.int16)  # 0, or one plus the place that met the node; index -1 marks the spare column
+    at = np.full((b, width), -1, np.int32)
     dist = np.full((b, width), np.inf, np.float32)
     first = entry[:width]
+    at[:, : len(first)] = first
     dist[:, : len(first)] = norm[first] - 2 * queries @ vectors[first].T
-    seen[:, first] = True
+    seen[:, first] = 1
     done = at < 0
+    places = np.arange(1, _OPEN * edges.shape[1] + 1, dtype=np.int16)
     opened = []
     while True:
         live = np.flatnonzero(~done.all(1))
         if not len(live):
             break
-        pick = np.argmin(np.where(done[live], np.inf, dist[live]), 1)
-        node = at[live, pick]
-        done[live, pick] = True
+        row = live[:, None]
+        pick = np.argpartition(np.where(done[live], np.inf, dist[live]), min(_OPEN, width) - 1, 1)[:, :_OPEN]
+        node = np.where(done[row, pick], -1, at[row, pick])
+        done[row, pick] = True
         if passed:
-            note = np.full(b, -1)
+            note = np.full((b, node.shape[1]), -1, np.int32)
             note[live] = node
             opened.append(note)
-        near = edges[node]
-        fresh = ~seen[live[:, None], near]
-        seen[live[:, None], near] = True  # index -1 marks the spare column
-        d = norm[near] - 2 * np.einsum("bd,brd->br", queries[live], vectors[near])
-        d = np.where(fresh & (near >= 0), d, np.inf).astype(np.float32)
+        near = np.where(node[:, :, None] >= 0, edges[node], -1).reshape(len(live), -1)
+        fresh = (seen[row, near] == 0) & (near >= 0)
+        r, c = np.nonzero(fresh)
+        met = near[r, c]
+        seen[live[r], met] = places[c]
+        once = seen[live[r], met] == places[c]  # of a node met twice in a step one place stays
+        r, c, met = r[once], c[once], met[once]
+        d = np.full(near.shape, np.inf, np.float32)
+        d[r, c] = norm[met] - 2 * np.einsum("nd,nd->n", queries[live[r]], vectors[met])
         all_at, all_d = np.concatenate([at[live], near], 1), np.concatenate([dist[live], d], 1)
         all_done = np.concatenate([done[live], ~np.isfinite(d)], 1)
-        order = np.argsort(all_d, 1, kind="stable")[:, :width]
+        keep = np.argpartition(all_d, width - 1, 1)[:, :width]
         k = np.arange(len(live))[:, None]
-        at[live], dist[live], done[live] = all_at[k, order], all_d[k, order], all_done[k, order]
+        at[live], dist[live], done[live] = all_at[k, keep], all_d[k, keep], all_done[k, keep]
+    k, order = np.arange(b)[:, None], np.argsort(dist, 1, kind="stable")
+    at, dist = at[k, order], dist[k, order]
     at = np.where(np.isfinite(dist), at, -1)
-    return (at, dist, np.stack(opened, 1)) if passed else (at, dist)
+    return (at, dist, np.concatenate(opened, 1)) if passed else (at, dist)
 
 
 def _prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """The kept edges of each node among its candidates (-1: none); relaxed pruning keeps diverse ones."""
-    b, c = candidates.shape
     order = np.sort(np.where(candidates == nodes[:, None], -1, candidates), 1)
     order[:, 1:][order[:, 1:] == order[:, :-1]] = -1  # each candidate once
-    points = vectors[order]
-    to_node = ((points - vectors[nodes][:, None]) ** 2).sum(2)
-    to_node[order < 0] = np.inf
-    out = np.full((b, degree), -1)
-    k = np.arange(b)
-    for slot in range(degree):
-        best = np.argmin(to_node, 1)
-        open_ = np.isfinite(to_node[k, best])
-        if not open_.any():
-            break
-        out[open_, slot] = order[k, best][open_]
-        covered = alpha**2 * ((points - points[k, best][:, None]) ** 2).sum(2) <= to_node_left(to_node)
-        to_node[covered & open_[:, None]] = np.inf
-        to_node[k, best] = np.inf
+    out = np.full((len(nodes), degree), -1, np.int32)
+    for at in range(0, len(nodes), _PRUNED):
+        part = slice(at, at + _PRUNED)
+        points, k = vectors[order[part]], np.arange(len(order[part]))
+        open_ = np.where(order[part] >= 0, ((points - vectors[nodes[part]][:, None]) ** 2).sum(2), np.inf)
+        to_node = open_.copy()
+        norm = np.einsum("bcd,bcd->bc", points, points)
+        between = norm[:, :, None] + norm[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
+        for slot in range(degree):
+            best = np.argmin(open_, 1)
+            found = np.isfinite(open_[k, best])
+            if not found.any():
+                break
+            out[at + k[found], slot] = order[part][k[found], best[found]]
+            open_[alpha**2 * between[k, best] <= to_node] = np.inf
+            open_[k, best] = np.inf
     return out
 
 
-def to_node_left(d: np.ndarray) -> np.ndarray:
-    """Distances of the candidates still open; closed ones are infinite and need no test."""
-    return np.where(np.isfinite(d), d, -1.0)
-
-
 def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> np.ndarray:
     """Edges (n x degree, -1: none) of the pruned graph over distinct ``vectors``."""
     n = len(vectors)
     rng = np.random.default_rng(seed)
     if n <= degree + 1:  # everyone knows everyone
-        full = np.array([[j for j in range(n) if j != i] + [-1] * (degree - n + 1) for i in range(n)], np.int64)
+        full = np.array([[j for j in range(n) if j != i] + [-1] * (degree - n + 1) for i in range(n)], np.int32)
         return full.reshape(n, degree)
-    edges = rng.integers(0, n, (n, degree))
-    edges[edges == np.arange(n)[:, None]] = -1
+    room = degree + degree // 2  # lists that outgrow it are pruned
+    edges = np.full((n, room), -1, np.int32)
+    held = np.zeros(n, np.int64)
     entry = entry_points(vectors)
-    order = rng.permutation(n)
-    for start in range(0, n, _BATCH):
-        batch = order[start : start + _BATCH]
+    order = np.concatenate([entry, rng.permutation(np.setdiff1d(np.arange(n), entry))])
+    joined = 0
+    while joined < n:
+        # The first batch meets itself; later ones are at most as large as what has joined.
+        batch = order[joined : joined + min(_BATCH, max(joined, 2 * degree))]
         near, _, passed = _beam(vectors, edges, entry, vectors[batch], beam, passed=True)
-        edges[batch] = _prune(vectors, batch, np.concatenate([near, passed, edges[batch]], 1), degree, alpha)
+        known = [near, passed] if joined else [near, np.tile(batch, (len(batch), 1))]
+        edges[batch, :degree] = _prune(vectors, batch, np.concatenate(known, 1), degree, alpha)
+        held[batch] = (edges[batch] >= 0).sum(1)
         # Offer the edges in reverse, grouped by their end.
-        src, dst = np.repeat(batch, degree), edges[batch].ravel()
+        src, dst = np.repeat(batch, degree), edges[batch, :degree].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
         by = np.argsort(dst, kind="stable")
         src, dst = src[by], dst[by]
         ends, at, count = np.unique(dst, return_index=True, return_counts=True)
-        offered = np.full((len(ends), int(count.max())), -1)
-        offered[np.repeat(np.arange(len(ends)), count), np.arange(len(dst)) - np.repeat(at, count)] = src
-        for part in range(0, len(ends), _BATCH):
-            e = ends[part : part + _BATCH]
-            edges[e] = _prune(vectors, e, np.concatenate([edges[e], offered[part : part + _BATCH]], 1), degree, alpha)
-    return edges
+        place = np.arange(len(dst)) - np.repeat(at, count)
+        roomy = held[ends] + count <= room
+        fits = np.repeat(roomy, count)
+        edges[dst[fits], held[dst[fits]] + place[fits]] = src[fits]
+        held[ends[roomy]] += count[roomy]
+        full, lots = ends[~roomy], count[~roomy]
+        if len(full):
+            offered = np.full((len(full), int(lots.max())), -1)
+            offered[np.repeat(np.arange(len(full)), lots), place[~fits]] = src[~fits]
+            pruned = _prune(vectors, full, np.concatenate([edges[full], offered], 1), degree, alpha)
+            edges[full] = -1
+            edges[full, :degree] = pruned
+            held[full] = (edges[full] >= 0).sum(1)
+        joined += len(batch)
+    long = np.flatnonzero(held > degree)
+    edges[long, :degree] = _prune(vectors, long, edges[long], degree, alpha)
+    return np.ascontiguousarray(edges[:, :degree])
 
 
 def entry_points(vectors: np.ndarray, extra: int = 7) -> np.ndarray:
@@ -172,7 +193,7 @@ def _search(dim: int, degree: int, top: int, beam: int):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         cell = lambda c, kind: np.frombuffer(shard.column(c)[0].as_py(), kind)
         nodes = cell("nodes", np.float64).reshape(-1, dim)
-        edges = cell("edges", np.int32).reshape(-1, degree).astype(np.int64)
+        edges = cell("edges", np.int32).reshape(-1, degree)
         ids, member = cell("ids", np.int64), cell("member", np.int32)
         first = np.searchsorted(member, np.arange(len(nodes) + 1))
         size = (nodes**2).sum(1)
