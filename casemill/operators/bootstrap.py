@@ -4,11 +4,12 @@ Every row gets a Poisson(1) weight per replicate, derived from its id, so both
 detectors see the same resample and no row is copied.  Stratum totals are scaled
 back to their observed sizes.
 
-Rows are range-partitioned once on (detector, score, hash): the hash splits scores shared by
-many rows over several tasks.  In each sorted Arrow batch the negatives between two
-neighbouring positive scores collapse into one step, because precision is only read
-at positive scores; what leaves Python is about one weight vector per positive.
-The curves of all replicates then run over these steps.
+Rows are range-partitioned once on (detector, score, hash), the hash splits scores shared by
+many rows over several tasks, and kept in that order.  A first pass sums the weights of every
+partition: one vector over the replicates for the first score, the last score and all between.
+Running sums of these few vectors give every partition its start.  A second pass walks the
+scores between from there; scores at the border of a partition, which the next may share, are
+read from the sums.  No row per (positive, replicate) leaves a task.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill import constants as K
 from casemill.functions.hashing import hash32
-from casemill.operators.ranks import prefix_sums, quantile_bounds
+from casemill.session import durable
 
 PRIME = 2_147_483_647
 # Poisson(1) cumulative probabilities as integers below the prime.
 STEPS = [int(sum(exp(-1) / factorial(i) for i in range(j + 1)) * PRIME) for j in range(11)]
 
+CHUNK = 128  # replicates weighed at once
+
 
 def multipliers(b: int, seed: int = K.SEED) -> list[tuple[int, int]]:
     """One affine map of the row hash per replicate."""
@@ -41,24 +44,11 @@ def multipliers(b: int, seed: int = K.SEED) -> list[tuple[int, int]]:
 
 
 def _weights(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    u = (h[:, None] * mul + add) % PRIME
-    return np.searchsorted(np.array(STEPS), u.ravel(), side="right").reshape(u.shape)
-
-
-def batch_steps(model: np.ndarray, score: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """First row of every step of a batch sorted by model and falling score.
-
-    A step ends at the last row of each score that has a positive, after the highest
-    score of the batch, which an earlier batch may share, and where the model changes.
-    """
-    n = len(score)
-    new_model = np.append(model[1:] != model[:-1], True)
-    last = np.append(score[1:] != score[:-1], True) | new_model
-    group = np.cumsum(np.append(True, last[:-1])) - 1
-    has_positive = np.bincount(group, weights=positive) > 0
-    has_positive[0] = True
-    ends = np.flatnonzero(last & (has_positive[group] | new_model))
-    return np.unique(np.append(0, ends[ends < n - 1] + 1))
+    u = ((h[:, None] * mul + add) % PRIME).astype(np.int32)
+    w = np.zeros(u.shape, np.int8)
+    for step in STEPS:
+        w += u >= step
+    return w.astype(float)
 
 
 def _long(df: DataFrame, scores: Mapping[str, str], label: str, row_id: str, seed: int) -> DataFrame:
@@ -72,31 +62,157 @@ def _long(df: DataFrame, scores: Mapping[str, str], label: str, row_id: str, see
     )
 
 
-def weighted_steps(long: DataFrame, b: int, seed: int = K.SEED) -> DataFrame:
-    """Long table (m, rep, s, pos, neg) of resampled weights per step."""
-    pairs = np.array(multipliers(b, seed), dtype=np.int64)
+class _Segment:
+    """The scores of one detector in one partition, met in falling order, piece by piece.
+
+    ``pos`` and ``neg`` hold the weights of the score being read, which the next piece may
+    go on with; subclasses say what to do with a finished score and with those between.
+    """
+
+    def __init__(self, pairs: np.ndarray):
+        self.pairs, self.score, self.first = pairs, None, True
+        self.pos, self.neg = np.zeros((2, len(pairs)))
+
+    def add(self, s: np.ndarray, y: np.ndarray, h: np.ndarray) -> None:
+        if self.score is None:
+            self.score = s[0]
+        more = int(np.argmax(s != self.score)) if s[-1] != self.score else len(s)
+        last = int(np.argmax(s == s[-1])) if more < len(s) else more
+        for i in range(0, len(self.pairs), CHUNK):
+            part = slice(i, i + CHUNK)
+            w = _weights(h, self.pairs[part, 0], self.pairs[part, 1])
+            self.pos[part] += y[:more] @ w[:more]
+            self.neg[part] += (1 - y[:more]) @ w[:more]
+            if more < len(s):
+                self.finish(part)
+                if last > more:
+                    self.between(part, s[more:last], y[more:last], w[more:last])
+                self.pos[part] = y[last:] @ w[last:]
+                self.neg[part] = (1 - y[last:]) @ w[last:]
+        if more < len(s):
+            self.turn(s[more] if last > more else None)
+            self.score, self.first = s[-1], False
+
+
+class _Sums(_Segment):
+    """Weights of the first score, the last one and all between: rows (score, border, pos, neg)."""
+
+    def __init__(self, pairs: np.ndarray):
+        super().__init__(pairs)
+        self.inner, self.inner_score, self.rows = np.zeros((2, len(pairs))), None, []
+        self.head = np.zeros((2, len(pairs)))
+
+    def finish(self, part: slice) -> None:
+        into = self.head if self.first else self.inner
+        into[:, part] += (self.pos[part], self.neg[part])
+
+    def between(self, part: slice, s: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        self.inner[:, part] += (y @ w, (1 - y) @ w)
+
+    def turn(self, between: float | None) -> None:
+        if self.first:
+            self.rows.append((self.score, True, self.head))
+        elif self.inner_score is None:
+            self.inner_score = self.score
+        if self.inner_score is None:
+            self.inner_score = between
+
+    def result(self) -> list[tuple]:
+        inner = [] if self.inner_score is None else [(self.inner_score, False, self.inner)]
+        return [*self.rows, *inner, (self.score, True, np.stack([self.pos, self.neg]))]
+
+
+class _Precision(_Segment):
+    """Share of the average precision that the scores between the first and the last one add."""
+
+    def __init__(self, pairs: np.ndarray, start: np.ndarray, scale: np.ndarray, total: np.ndarray):
+        super().__init__(pairs)
+        self.run, self.scale, self.total, self.sum = start.copy(), scale, total, np.zeros(len(pairs))
+
+    def _share(self, part: slice, pos: np.ndarray, run_pos: np.ndarray, run_neg: np.ndarray) -> np.ndarray:
+        p, n = run_pos * self.scale[0, part], run_neg * self.scale[1, part]
+        return np.where(pos > 0, pos / np.maximum(self.total[part], 1) * p / np.where(pos > 0, p + n, 1), 0)
+
+    def finish(self, part: slice) -> None:
+        self.run[:, part] += (self.pos[part], self.neg[part])
+        if not self.first:
+            self.sum[part] += self._share(part, self.pos[part], *self.run[:, part])
+
+    def between(self, part: slice, s: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        starts = score_steps(s, y)
+        pos = np.add.reduceat(w * y[:, None], starts, axis=0)
+        neg = np.add.reduceat(w, starts, axis=0) - pos
+        run_pos, run_neg = self.run[0, part] + pos.cumsum(0), self.run[1, part] + neg.cumsum(0)
+        self.sum[part] += self._share(part, pos, run_pos, run_neg).sum(0)
+        self.run[:, part] = run_pos[-1], run_neg[-1]
+
+    def turn(self, between: float | None) -> None:
+        pass
+
+
+def score_steps(score: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """First row of every step of whole scores in falling order; a step ends with a score that has a positive."""
+    starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+    closes = np.add.reduceat(positive, starts) > 0
+    return starts[np.append(True, closes[:-1])]
+
+
+def _runs(*keys: np.ndarray) -> Iterator[slice]:
+    """Stretches of rows with equal keys."""
+    new = np.any([np.append(True, k[1:] != k[:-1]) for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts, np.append(starts[1:], len(new)), strict=True):
+        yield slice(a, b)
+
+
+def _sums(pairs: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, segment = None, None
+
+        def out():
+            rows = segment.result()
+            return pd.DataFrame(
+                {"p": at[0], "m": at[1], "s": [r[0] for r in rows], "border": [r[1] for r in rows],
+                 "pos": [r[2][0] for r in rows], "neg": [r[2][1] for r in rows]}
+            )
 
-    def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            m, s, y = (pdf[c].to_numpy() for c in ("m", "s", "y"))
-            starts = batch_steps(m, s, y)
-            ends = np.append(starts[1:], len(s)) - 1
-            parts = []
-            for i in range(0, b, 128):
-                w = _weights(pdf["h"].to_numpy(), pairs[i : i + 128, 0], pairs[i : i + 128, 1])
-                p = np.add.reduceat(w * y[:, None], starts, axis=0)
-                parts.append((p, np.add.reduceat(w, starts, axis=0) - p))
-            pos = np.concatenate([p for p, _ in parts], axis=1)
-            neg = np.concatenate([q for _, q in parts], axis=1)
-            yield pd.DataFrame({"m": m[ends], "s": s[ends], "pos": list(pos), "neg": list(neg)})
+            p, m, s, y, h = (pdf[c].to_numpy() for c in ("p", "m", "s", "y", "h"))
+            for r in _runs(p, m):
+                if at != (p[r][0], m[r][0]):
+                    if segment:
+                        yield out()
+                    at, segment = (p[r][0], m[r][0]), _Sums(pairs)
+                segment.add(s[r], y[r].astype(float), h[r])
+        if segment:
+            yield out()
 
-    order = [F.asc("m"), F.desc("s"), F.asc("h")]
-    ordered = long.repartitionByRange(*order).sortWithinPartitions(*order)
-    steps = ordered.mapInPandas(collapse, "m string, s double, pos array<bigint>, neg array<bigint>")
-    each = steps.select("m", "s", F.posexplode(F.arrays_zip("pos", "neg")).alias("rep", "w"))
-    return each.groupBy("m", "rep", "s").agg(F.sum("w.pos").alias("pos"), F.sum("w.neg").alias("neg"))
+    return run
+
+
+def _inner_precision(pairs: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, segment = None, None
+
+        def out():
+            return pd.DataFrame({"m": [at[1]], "parts": [segment.sum]})
+
+        for pdf in batches:
+            p, m, s, y, h, start = (pdf[c].to_numpy() for c in ("p", "m", "s", "y", "h", "start"))
+            for r in _runs(p, m):
+                k = r.start
+                if at != (p[k], m[k]):  # the start comes before the rows
+                    if segment:
+                        yield out()
+                    of = np.stack(start[k]).astype(float)
+                    at, segment, k = (p[k], m[k]), _Precision(pairs, of[:2], of[2:4], of[4]), k + 1
+                rest = slice(k, r.stop)
+                if k < r.stop:
+                    segment.add(s[rest], y[rest].astype(float), h[rest].astype(np.int64))
+        if segment:
+            yield out()
+
+    return run
 
 
 def replicate_precision(
@@ -104,23 +220,58 @@ def replicate_precision(
 ) -> DataFrame:
     """Average precision of every replicate of every detector: (m, rep, auc_pr).
 
-    ``scores`` names the score column of each detector.
+    ``scores`` names the score column of each detector.  A replicate that draws no positive
+    has no row.
     """
-    long = _long(df, scores, label, row_id, seed)
-    steps = weighted_steps(long, b, seed)
-    # Nearly all steps lie at positive scores, so these set the buckets.
-    bounds = quantile_bounds(long.filter(F.col("y") == 1), "s")
-    run = prefix_sums(steps, "s", ["pos", "neg"], ["m", "rep"], descending=True, bounds=bounds)
-    totals = steps.groupBy("m", "rep").agg(F.sum("pos").alias("_tp"), F.sum("neg").alias("_tn"))
+    pairs = np.array(multipliers(b, seed), dtype=np.int64)
+    order = [F.asc("m"), F.desc("s"), F.asc("h")]
+    # A stated number, one per core: a row is small but heavy, so partitions are not merged by
+    # their bytes, and the sums per partition cost as much as some thousand rows.
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    ordered = _long(df, scores, label, row_id, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Both passes must see the same partitions.
+    rows = durable(ordered.withColumn("p", F.spark_partition_id()))
+    sums = durable(rows.mapInPandas(_sums(pairs), "p int, m string, s double, border boolean, pos array<double>, neg array<double>"))
+    each = sums.select("p", "m", "s", "border", F.posexplode(F.arrays_zip("pos", "neg")).alias("rep", "w")).select(
+        "p", "m", "s", "border", "rep", "w.pos", "w.neg"
+    )
     size = df.agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+        F.struct(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) == 0).cast("double").alias("n"))
     ).scalar()
-    joined = run.join(totals, ["m", "rep"]).filter(F.col("pos") > 0).withColumn("_size", size)
-    cp = F.col("cum_pos") * (F.col("_size.p") / F.col("_tp"))
-    cn = F.col("cum_neg") * F.coalesce(F.try_divide(F.col("_size.n"), F.col("_tn")), F.lit(0.0))
-    return joined.groupBy("m", "rep").agg(
-        F.sum(F.col("pos") / F.col("_tp") * (cp / (cp + cn))).alias("auc_pr")
+    whole = Window.partitionBy("m", "rep")
+
+    def curve(table: DataFrame, *order_by) -> DataFrame:
+        """Running sums before and with each row, and the factors that restore the stratum sizes."""
+        so_far = whole.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return table.select(
+            "*", F.sum("pos").over(so_far).alias("cp"), F.sum("neg").over(so_far).alias("cn"),
+            F.sum("pos").over(whole).alias("tp"), F.sum("neg").over(whole).alias("tn"), size.alias("_size"),
+        ).withColumns(
+            {
+                "fp": F.coalesce(F.try_divide(F.col("_size.p"), F.col("tp")), F.lit(0.0)),
+                "fn": F.coalesce(F.try_divide(F.col("_size.n"), F.col("tn")), F.lit(0.0)),
+            }
+        )
+
+    by_part = curve(each.groupBy("p", "m", "rep").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "p")
+    listed = F.sort_array(F.collect_list(F.struct("rep", (F.col("cp") - F.col("pos")).alias("p0"), (F.col("cn") - F.col("neg")).alias("n0"), "fp", "fn", "tp")))
+    starts = by_part.groupBy("p", "m").agg(listed.alias("l")).select(
+        "p", "m", F.array(*[F.col(f"l.{c}") for c in ("p0", "n0", "fp", "fn", "tp")]).alias("start")
+    )
+    met = rows.unionByName(starts, allowMissingColumns=True).repartition(parts, "p").sortWithinPartitions(
+        "p", "m", F.col("start").isNull(), F.desc("s"), "h"
+    )
+    inner = met.mapInPandas(_inner_precision(pairs), "m string, parts array<double>").select(
+        "m", F.posexplode("parts").alias("rep", "part")
+    )
+    at_border = curve(each.groupBy("m", "rep", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("border").alias("border")), F.desc("s"))
+    cp, cn = F.col("cp") * F.col("fp"), F.col("cn") * F.col("fn")
+    border = at_border.filter(F.col("tp") > 0).select(
+        "m", "rep", F.lit(True).alias("drawn"),
+        F.when(F.col("border") & (F.col("pos") > 0), F.col("pos") / F.col("tp") * (cp / (cp + cn))).otherwise(0.0).alias("part"),
     )
+    both = border.unionByName(inner, allowMissingColumns=True).groupBy("m", "rep").agg(F.sum("part").alias("auc_pr"), F.max("drawn").alias("drawn"))
+    return both.filter("drawn").drop("drawn")
 
 
 def paired_difference(

@@ -10,7 +10,7 @@ from casemill.plans.registry import TX, hash32_sql, query
 from casemill.sources.tables import transactions
 
 R = F.round
-REPS = 200
+REPS = 2000
 
 _HASH_RUN = f"CAST(('0x' || substr(md5('42:' || {{tag}} || ':' || CAST(r AS VARCHAR)), 1, 8)) AS BIGINT) % {bootstrap.PRIME}"
 _STEPS = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in bootstrap.STEPS)
