@@ -17,7 +17,7 @@ from casemill import constants as K
 from casemill.functions.scalar import risk_tier
 from casemill.operators import metrics
 from casemill.operators.splits import class_counts
-from casemill.session import ensure_checkpoints
+from casemill.session import durable, ensure_checkpoints
 
 
 def _features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,7 +103,8 @@ def score(model: Model, df: DataFrame, cols: Sequence[str] = K.FEATURE_COLS) ->
 
 
 def evaluate(model: Model, test: DataFrame, cols: Sequence[str], label: str, row_id: str, name: str) -> DataFrame:
-    scored = score(model, test, cols).select(row_id, label, "prob").withColumn("model", F.lit(name))
+    # The block reads its rows several times; they are scored once.
+    scored = durable(score(model, test, cols).select(row_id, label, "prob")).withColumn("model", F.lit(name))
     return metrics.metric_block(scored, "prob", label, row_id, by=["model"])
 
 
