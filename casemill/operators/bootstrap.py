@@ -158,7 +158,9 @@ def score_steps(score: np.ndarray, positive: np.ndarray) -> np.ndarray:
 
 
 def _runs(*keys: np.ndarray) -> Iterator[slice]:
-    """Stretches of rows with equal keys."""
+    """Stretches of rows with equal keys; none of an empty batch."""
+    if not len(keys[0]):
+        return
     new = np.any([np.append(True, k[1:] != k[:-1]) for k in keys], axis=0)
     starts = np.flatnonzero(new)
     for a, b in zip(starts, np.append(starts[1:], len(new)), strict=True):
