@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import exp
 
 import pyarrow as pa
 import zstandard
@@ -17,8 +16,13 @@ EXCERPT = 500
 LEVEL = 6
 MAX_LANGUAGES = 1000
 PIECE = 4096
-#: Bytes of difference that halve the odds of a language.
-HALF_ODDS = 1.0
+#: Least lead over the runner-up and least gain over no dictionary, as shares of the size.  Chosen on 4,000
+#: labelled learning rows: 99.4 % of those of 200 characters or more stay; 96.6 % of 1,500 texts go whose
+#: language was left out, and all of 1,200 texts of random letters.
+LEAST_MARGIN = 0.025
+LEAST_GAIN = 0.01
+#: A lead of fewer bytes is none, so that ties and near ties of short texts go.
+LEAST_BYTES = 2
 NO_LANGUAGE = "und"
 
 
@@ -55,6 +59,7 @@ def _predict(shared):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             packers.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+        bare = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         for batch in batches:
             langs, scores = [], []
             for value, letters in zip(batch.column("text"), batch.column("letters").to_pylist()):
@@ -65,9 +70,12 @@ def _predict(shared):
                 body = value.as_buffer()
                 parts = [body[i : i + PIECE] for i in range(0, body.size, PIECE)]
                 sizes = [sum(len(p.compress(x)) for x in parts) for p in packers]
-                least = min(sizes)
-                langs.append(names[sizes.index(least)])
-                scores.append(1.0 / sum(exp(-min((s - least) / HALF_ODDS, 1000.0) * 0.6931471805599453) for s in sizes))
+                best = sizes.index(min(sizes))
+                gain = sum(len(bare.compress(x)) for x in parts) - sizes[best]
+                lead = min([*sizes[:best], *sizes[best + 1 :]], default=sizes[best] + gain) - sizes[best]
+                told = min(lead, gain) >= LEAST_BYTES and gain >= LEAST_GAIN * sizes[best]
+                langs.append(names[best])
+                scores.append(min(1.0, lead / sizes[best]) if told else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*[c for n, c in zip(batch.schema.names, batch.columns) if n not in ("text", "letters")], pa.array(langs), pa.array(scores)],
                 names=[*[n for n in batch.schema.names if n not in ("text", "letters")], "lang_pred", "score"],
@@ -77,15 +85,17 @@ def _predict(shared):
 
 
 def predict_language(
-    docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.4,
+    docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", reject_below: float = LEAST_MARGIN,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """(id, lang_pred, score, rejected) for each text, with the columns ``carry``
     (a result whose name they hold gets an underscore in front).
 
     The lower-cased text is compressed in pieces of ``PIECE`` bytes, all of them, after each
-    language's dictionary; the smallest total wins, ties to the first name.  The score halves
-    the odds of the others for each byte that they are longer.  A narrow margin, a score under
+    language's dictionary; the smallest total wins, ties to the first name.  The score is its lead
+    over the runner-up as a share of its own size, 1 at most; a lead under ``LEAST_BYTES`` is 0.
+    So is a lead over compression without a dictionary under ``LEAST_BYTES`` or ``LEAST_GAIN``;
+    this is the runner-up if one language was learned.  A narrow margin, a score under
     ``reject_below``, rejects the text.
 
     Null text and text without a letter: ``und``, score 0, rejected.  So is every text if no

@@ -315,6 +315,26 @@ def test_language_of_awkward_texts(sample_docs, samples, no_docs):
     assert language.predict_language(no_docs, known).count() == 0
 
 
+def test_language_needs_a_clear_margin(spark):
+    rng = random.Random(4)
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    learned = language.learn_dictionaries(df.filter(fold != 2))
+    clean = df.filter((fold == 2) & (F.length("text") >= 200))
+    kept = language.predict_language(clean, learned, carry=["lang"]).filter("NOT rejected")
+    assert kept.count() >= 0.99 * clean.count() and kept.filter("lang = lang_pred").count() >= 0.99 * kept.count()
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (1, 5, 30, 300, 3000) for _ in range(20)]
+    noise = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string")
+    for known in (learned, {k: learned[k] for k in ("de", "en")}, {"en": learned["en"]}, {"aa": learned["en"], "bb": learned["en"]}):
+        assert language.predict_language(noise, known).filter("NOT rejected").count() == 0
+    # equal dictionaries tie on every text; a language that was not learned is none of the others
+    assert language.predict_language(clean, {"aa": learned["en"], "bb": learned["en"]}).filter("NOT rejected").count() == 0
+    for left_out in ("de", "fr"):
+        other = clean.filter(F.col("lang") == left_out)
+        for known in ({k: v for k, v in learned.items() if k != left_out}, {"en": learned["en"]}):
+            assert language.predict_language(other, known).filter("rejected").count() >= 0.9 * other.count()
+
+
 def test_quality(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
