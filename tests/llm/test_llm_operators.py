@@ -195,6 +195,28 @@ def test_urls(spark):
     assert urls.judge_urls(df, RULES).count() == len(URLS) and urls.judge_urls(df.filter("false"), RULES).count() == 0
 
 
+def test_faint_and_far_distrust_blocks(spark):
+    link = lambda k, a, b: (k, f"http://{a}/", f'<a href="http://{b}/">')
+    chain = [link(k, f"c{k}.net", f"c{k - 1}.net" if k else "evil.com") for k in range(20)]
+    hub = [link(1000 + k, f"h{k}.net", "evil.com") for k in range(1000)]
+    faint = [link(3000 + k, f"f{k}.net", "h0.net") for k in range(1000)]
+    pages = [*chain, *hub, *faint, (1, "http://evil.com/de/1", "")]
+    ruled = spark.range(200_000).select((F.col("id") + 10_000).alias("page_id"), F.lit("http://good.com/fr/").alias("url"), F.lit("").alias("html"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").unionByName(ruled)
+    got = urls.judge_urls(df, RULES).filter("host LIKE '%.net'").collect()
+    assert len(got) == 2020 and {r["verdict"] for r in got} == {"block"}
+    assert 0 < min(r["distrust"] for r in got) < 1e-12
+
+
+def test_propagation_runs_to_its_fixed_point(spark):
+    links = [("a", "b", 1), ("b", "a", 1), ("b", "c", 3), ("c", "b", 1)]
+    df = spark.createDataFrame(links, "src string, dst string, n long")
+    got = urls.propagate(spark.createDataFrame([("a", 1e-9, 0.0)], "host string, trust double, distrust double"), df)
+    m = np.array([[0, 0.25, 0], [1, 0, 1], [0, 0.75, 0]])
+    wanted = np.linalg.solve(np.eye(3) - 0.85 * m, [0.15e-9, 0, 0])
+    assert {r["host"]: r["trust"] for r in got.collect()} == pytest.approx(dict(zip("abc", wanted)), rel=1e-9)
+
+
 def test_propagation_is_personalised_pagerank(spark):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 4), ("d", "c", 1)]
     seeds = [("a", 1.0, 0.0), ("d", 0.0, 1.0), ("c", 0.0, 0.5)]
