@@ -4,7 +4,9 @@ Rows are dealt to shards of about ``shard_rows`` by a hash of their id, so that
 spread over all shards; inside a shard equal vectors are one node.  Nodes join the graph in
 batches: each is searched for greedily from the entry points, what the search passed becomes
 its candidates, and of these it keeps the nearest that no kept one covers: c is covered by p
-if ``alpha x d(p, c) <= d(node, c)``.  Kept edges are also offered in reverse; a list that
+if ``alpha x d(p, c) <= d(node, c)``.  Vectors much longer or shorter than the shard's median
+would hide the others from each other; they are left out of the graph and scored one by one.
+Kept edges are also offered in reverse; a list that
 outgrows its room is pruned the same way.  Queries walk every shard with a beam, in blocks; the
 best of all shards are ranked by the exact product of the original vectors.
 """
@@ -24,25 +26,26 @@ BUILD_BEAM = 48
 ALPHA = 1.2
 SHARD_ROWS = 16384
 QUERY_BLOCK = 16384
+#: Nodes within this factor of the median norm are in the graph; single precision tells those apart.
+NORM_RANGE = 8.0
 _BATCH = 512
 _OPEN = 4
 _PRUNED = 128
 
 
 def _beam(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int, passed: bool = False):
-    """Beam search of many queries at once, by squared distance; a step opens ``_OPEN`` nodes each.
+    """Beam search of many queries at once, by product; a step opens ``_OPEN`` nodes each.
 
-    Returns nodes (-1 where none) and distances, nearest first; with ``passed`` all nodes
+    All ``vectors`` have one norm, so the largest product is the least distance.  Returns nodes (-1 where none) and distances, nearest first; with ``passed`` all nodes
     whose edges were looked at, as well.
     """
     b, n = len(queries), len(vectors)
-    norm = np.einsum("nd,nd->n", vectors, vectors)
     seen = np.zeros((b, n + 1), np.int16)  # 0, or one plus the place that met the node; index -1 marks the spare column
     at = np.full((b, width), -1, np.int32)
     dist = np.full((b, width), np.inf, np.float32)
     first = entry[:width]
     at[:, : len(first)] = first
-    dist[:, : len(first)] = norm[first] - 2 * queries @ vectors[first].T
+    dist[:, : len(first)] = -(queries @ vectors[first].T)
     seen[:, first] = 1
     done = at < 0
     places = np.arange(1, _OPEN * edges.shape[1] + 1, dtype=np.int16)
@@ -67,7 +70,7 @@ def _beam(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np
         once = seen[live[r], met] == places[c]  # of a node met twice in a step one place stays
         r, c, met = r[once], c[once], met[once]
         d = np.full(near.shape, np.inf, np.float32)
-        d[r, c] = norm[met] - 2 * np.einsum("nd,nd->n", queries[live[r]], vectors[met])
+        d[r, c] = -np.einsum("nd,nd->n", queries[live[r]], vectors[met])
         all_at, all_d = np.concatenate([at[live], near], 1), np.concatenate([dist[live], d], 1)
         all_done = np.concatenate([done[live], ~np.isfinite(d)], 1)
         keep = np.argpartition(all_d, width - 1, 1)[:, :width]
@@ -156,21 +159,36 @@ def entry_points(vectors: np.ndarray, extra: int = 7) -> np.ndarray:
     return np.unique(np.append(np.linspace(0, n - 1, extra).astype(np.int64), medoid))
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Norms of rows that are not zero; squares neither overflow nor vanish."""
+    most = np.abs(x).max(1)
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt(((x / most[:, None]) ** 2).sum(1)), np.finfo(np.float64).max)
+
+
+def _lifted(nodes: np.ndarray) -> np.ndarray:
+    """Nodes over their largest norm, and one coordinate more that makes all norms one: the
+    largest product becomes the smallest distance."""
+    x = nodes / _norms(nodes).max()
+    return np.concatenate([x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))[:, None]], 1).astype(np.float32)
+
+
 def _index(top: int, degree: int, beam: int, alpha: float):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         nodes, member = np.unique(x[order], axis=0, return_inverse=True)
-        member = member.ravel()
+        norm = _norms(nodes)
+        middle = np.sort(norm)[len(norm) // 2]
+        apart = (norm / NORM_RANGE > middle) | (norm < middle / NORM_RANGE)
+        first = np.argsort(apart, kind="stable")  # nodes of the graph, then the others
+        nodes, member = nodes[first], np.argsort(first)[member.ravel()]
         by = np.argsort(member, kind="stable")  # ids stay in order inside a node
         start = np.searchsorted(member[by], np.arange(len(nodes)))
         rank = np.arange(len(by)) - start[member[by]]
         held = by[rank <= top]  # a query needs no more of equal vectors, itself aside
-        # Largest product becomes smallest distance with one coordinate more.
-        size = (nodes**2).sum(1)
-        lifted = np.concatenate([nodes, np.sqrt(np.maximum(size.max() - size, 0))[:, None]], 1).astype(np.float32)
-        edges = build_graph(lifted, degree, beam, alpha)
+        edges = build_graph(_lifted(nodes[: len(nodes) - apart.sum()]), degree, beam, alpha)
         return pa.table(
             {
                 "shard": table.column("shard").slice(0, 1),
@@ -196,18 +214,23 @@ def _search(dim: int, degree: int, top: int, beam: int):
         edges = cell("edges", np.int32).reshape(-1, degree)
         ids, member = cell("ids", np.int64), cell("member", np.int32)
         first = np.searchsorted(member, np.arange(len(nodes) + 1))
-        size = (nodes**2).sum(1)
-        lifted = np.concatenate([nodes, np.sqrt(np.maximum(size.max() - size, 0))[:, None]], 1).astype(np.float32)
+        lifted = _lifted(nodes[: len(edges)])
+        apart = nodes[len(edges) :]
         entry = entry_points(lifted)
         own = queries.column("vec_id").to_numpy()
         q = queries.column("v").combine_chunks().flatten().to_numpy().reshape(len(own), dim)
         out = []
         for at in range(0, len(own), _BATCH):
             part = q[at : at + _BATCH]
-            flat = np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32)
+            flat = np.concatenate([part / _norms(part)[:, None], np.zeros((len(part), 1))], 1).astype(np.float32)
             found, _ = _beam(lifted, edges, entry, flat, beam)
             row, col = np.nonzero(found >= 0)
             node = found[row, col]
+            if len(apart):
+                exact = part @ apart.T
+                least = np.partition(exact, -(top + 1), 1)[:, [-(top + 1)]] if len(apart) > top + 1 else -np.inf  # ties stay
+                more, col = np.nonzero(exact >= least)
+                row, node = np.concatenate([row, more]), np.concatenate([node, len(edges) + col])
             count = first[node + 1] - first[node]
             pick = np.repeat(first[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             score = np.repeat(np.einsum("nd,nd->n", part[row], nodes[node]), count)

@@ -307,6 +307,24 @@ def test_ann_recall(spark):
     assert recall >= 0.9
 
 
+def test_ann_recall_beside_outliers_of_norm(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:10] *= np.array([1e-3, 1e-3, 0.1, 7, 30, 1e3, 1e5, 1e10, 1e20, 1e20])[:, None]
+    x[10:60] *= 10.0 ** rng.uniform(-3, 20, 50)[:, None]
+    vectors = {i: v.tolist() for i, v in enumerate(x)}
+    for some in (range(2000), [*range(60, 2000), 6], [*range(60, 2000), 8]):
+        mine = {i: vectors[i] for i in some}
+        df = spark.createDataFrame(list(mine.items()), "vec_id long, embedding array<double>")
+        wanted = brute.nearest(mine, [i for i in mine if i % 20 == 0])
+        found = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert all(len(found[q]) == 20 for q in wanted)
+        assert np.mean([len(found[q] & {i for _, i in best}) / 20 for q, best in wanted.items()]) >= 0.95
+
+
 def test_pruning_keeps_diverse_neighbours():
     line = np.array([[0.0, 0], [1, 0], [2, 0], [0, 1.5], [0, 3]], np.float32)
     kept = ann._prune(line, np.array([0]), np.array([[1, 2, 3, 4, 0, 1]]), 4, 1.0)
