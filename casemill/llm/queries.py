@@ -14,6 +14,7 @@ from casemill.llm.language import learn_dictionaries, predict_language
 from casemill.llm.mixing import mixing_cuts, with_copies
 from casemill.llm.quality import score_quality
 from casemill.llm.registry import query
+from casemill.llm.rules import judge_quality
 from casemill.llm.sharding import shard_table
 from casemill.llm.substrings import remove_repeats
 from casemill.llm.urls import Rule, judge_urls
@@ -276,6 +277,13 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_quality(_table(spark, folder, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "ratio", "n_chunks", "n_chunks_out", "reason")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; its stages use the operators above

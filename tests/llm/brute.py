@@ -156,3 +156,36 @@ def nearest(vectors, queries, top=20):
         s = x @ np.array(vectors[q], np.float64)
         out[q] = sorted(((-v, i) for v, i in zip(s.tolist(), ids) if i != q))[:top]
     return out
+
+
+def rule_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed), character by character."""
+    words, seen, dup = plain(text), set(), 0
+    for line in (text or "").split("\n"):
+        if plain(line):
+            dup += line in seen
+            seen.add(line)
+    at = defaultdict(list)
+    for k, w in enumerate(windows(words, 3)):
+        at[w].append(k)
+    again = {k + j for places in at.values() if len(places) > 1 for k in places for j in range(3)}
+    n = len(words)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return n, sum(map(len, words)), symbols, dup, len(again), n < 50 or 100 * len(again) > 50 * n
+
+
+def outside_bands(text, whole, chunks, size=1024, share=0.25, level=3):
+    """Does compression reject the text?  One compressor per call, nothing shared."""
+    import zstandard
+
+    def out(part, bands):
+        low, high = [b[1:] for b in bands if b[0] <= len(part)][-1]
+        packed = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress(part)
+        return not low <= len(packed) / len(part) <= high
+
+    body = (text or "").encode()
+    if not body:
+        return False
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    bad = sum(len(p) for p in parts if len(parts) > 1 and out(p, chunks))
+    return out(body, whole) or bad > share * len(body)
