@@ -11,7 +11,9 @@ from casemill.llm.ann import nearest
 from casemill.llm.decontaminate import find_benchmark
 from casemill.llm.jaccard import near_duplicates
 from casemill.llm.language import learn_dictionaries, predict_language
+from casemill.llm.merkle import fold, leaf_digest, manifest, proof_digest
 from casemill.llm.mixing import mixing_cuts, with_copies
+from casemill.llm.phrases import collocations
 from casemill.llm.quality import score_quality
 from casemill.llm.registry import query
 from casemill.llm.rules import judge_quality
@@ -277,6 +279,106 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [text if c == "text" else f"CAST({c} AS VARCHAR)" for c in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf,
+         {_leaf_sql("replace(text, chr(10), '')")} AS cut
+  FROM documents),
+k AS MATERIALIZED (
+  SELECT r, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           list_transform(range(0, 8 * strlen(CAST(doc_id AS VARCHAR))), lambda i: CAST(get_bit(CAST(encode(CAST(doc_id AS VARCHAR)) AS BIT), CAST(i // 8 * 8 + 7 - i % 8 AS INTEGER)) AS BIGINT))),
+         lambda c, x: xor(c >> 1, CASE WHEN xor(c & 1, x) = 1 THEN 3988292384 ELSE 0 END))) % 2 = 0 AS even
+  FROM d),
+o AS MATERIALIZED (
+  SELECT d.*, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         CASE WHEN coalesce(even, false) THEN cut ELSE leaf END AS tampered
+  FROM d JOIN k ON d.r = k.r),
+up AS (
+  SELECT 0 AS lvl, s, i, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM o
+  UNION ALL
+  SELECT lvl + 1, s, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY lvl, s, i // 3, n),
+sub AS MATERIALIZED (SELECT s, s - 1 AS i, h, lvl AS top FROM up WHERE n = 1),
+over_ AS (
+  SELECT 0 AS lvl, i, h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM over_ WHERE n > 1 GROUP BY lvl, i // 3, n),
+every AS MATERIALIZED (
+  SELECT s, lvl, i, h FROM up WHERE n > 1
+  UNION ALL SELECT sub.s, sub.top + over_.lvl, over_.i, over_.h FROM over_ JOIN sub ON true WHERE over_.n > 1),
+way AS (
+  SELECT r, o.s, lvl, CASE WHEN lvl < sub.top THEN o.i // CAST(pow(3, lvl) AS BIGINT) ELSE sub.i // CAST(pow(3, lvl - sub.top) AS BIGINT) END AS i
+  FROM o JOIN sub ON o.s = sub.s JOIN range(0, 30) AS t(lvl) ON lvl < sub.top + (SELECT max(lvl) FROM over_)),
+step AS MATERIALIZED (
+  SELECT r, way.lvl, coalesce(string_agg(h, '' ORDER BY every.i) FILTER (every.i < way.i), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY every.i) FILTER (every.i > way.i), '') AS g
+  FROM way JOIN every ON every.s = way.s AND every.lvl = way.lvl AND every.i // 3 = way.i // 3 GROUP BY r, way.lvl),
+folded AS (
+  SELECT r, 0 AS lvl, tampered AS h FROM o
+  UNION ALL
+  SELECT folded.r, folded.lvl + 1, sha256(l || h || g) FROM folded JOIN step ON folded.r = step.r AND folded.lvl = step.lvl),
+e AS (SELECT r, arg_max(h, lvl) AS h FROM folded GROUP BY r),
+proof AS (SELECT r, sha256(string_agg(l || g, '' ORDER BY lvl)) AS p FROM step GROUP BY r)
+SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM over_ WHERE n = 1) AS root, coalesce(p, sha256('')) AS proof_sha256,
+       e.h AS folded_root, e.h = (SELECT h FROM over_ WHERE n = 1) AS verified
+FROM o JOIN sub ON o.s = sub.s JOIN e ON o.r = e.r LEFT JOIN proof ON o.r = proof.r""",
+)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    cut = F.translate("text", "\n", "")
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = leaf_digest(*[F.when(even, cut).otherwise(F.col("text")) if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    signed = manifest(docs.withColumn("tampered", tampered), LEAF_FIELDS, carry=["tampered"])
+    folded = signed.withColumn("folded_root", fold(F.col("tampered"), F.col("left"), F.col("right")))
+    return folded.select(
+        F.col("order_key").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query(
+    "op12_phrase_mining",
+    r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w CROSS JOIN range(1, 5) AS t(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (
+  SELECT f.lang, f.phrase, f.f AS a, j AS cut, x.f AS l, y.f AS r,
+         (CAST(2000000 AS HUGEINT) * f.f) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM f CROSS JOIN range(1, 4) AS t(j)
+  JOIN f AS x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1:j], ' ')
+  JOIN f AS y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[j + 1:], ' ')
+  WHERE f.k >= 2 AND j < f.k),
+m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT f.lang, f.f, array_to_string(f.ws[s:s + z - 1], ' ') AS phrase
+  FROM f CROSS JOIN range(1, 4) AS t(s) CROSS JOIN range(2, 4) AS u(z) WHERE f.k >= 3 AND z < f.k AND s + z - 1 <= f.k),
+e AS (SELECT lang, phrase, max(f) AS f FROM i GROUP BY lang, phrase),
+k AS (SELECT m.* FROM m LEFT JOIN e ON m.lang = e.lang AND m.phrase = e.phrase WHERE e.f IS NULL OR CAST(100 AS HUGEINT) * e.f < CAST(80 AS HUGEINT) * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000""",
+)
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
 @query("op13_quality_rules")
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_quality(_table(spark, folder, "documents"))

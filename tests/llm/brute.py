@@ -189,3 +189,72 @@ def outside_bands(text, whole, chunks, size=1024, share=0.25, level=3):
     parts = [body[i : i + size] for i in range(0, len(body), size)]
     bad = sum(len(p) for p in parts if len(parts) > 1 and out(p, chunks))
     return out(body, whole) or bad > share * len(body)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(nodes, fanout=3):
+    """Root of a list of digests, and per node the siblings of each level as (left, right) texts."""
+    at, level, paths = list(range(len(nodes))), list(nodes), [[] for _ in nodes]
+    while len(level) > 1:
+        for k, path in enumerate(paths):
+            i = at[k]
+            run = level[i // fanout * fanout : i // fanout * fanout + fanout]
+            path.append(("".join(run[: i % fanout]), "".join(run[i % fanout + 1 :])))
+            at[k] = i // fanout
+        level = [_sha("".join(level[i : i + fanout])) for i in range(0, len(level), fanout)]
+    return level[0], paths
+
+
+def manifest(rows, fanout=3):
+    """rows: (doc_id, source, lang, n_chars, text) -> (doc_id, leaf, subroot, root, path), sorted as texts."""
+    groups = defaultdict(list)
+    for row in rows:
+        parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row]
+        groups[row[1]].append(((row[0] is not None, row[0] or 0, _sha("".join(parts))), row[0]))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        groups[s].sort(key=lambda x: x[0])
+        trees[s] = merkle([leaf for (_, _, leaf), _ in groups[s]], fanout)
+    root, tops = merkle([trees[s][0] for s in names], fanout) if names else (None, [])
+    out = []
+    for s, top in zip(names, tops):
+        for ((_, _, leaf), i), path in zip(groups[s], trees[s][1]):
+            out.append((str(i), leaf, trees[s][0], root, str(path + top)))
+    return sorted(out)
+
+
+def phrase_counts(rows, longest=4):
+    """rows: (text, lang) -> {(lang, words): occurrences}; the empty phrase once per word."""
+    f = defaultdict(int)
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(longest + 1):
+                for i in range(len(words) - max(k, 1) + 1):
+                    f["und" if lang is None else lang, tuple(words[i : i + k])] += 1
+    return f
+
+
+def collocations(rows, least=30, drop=80, top=2000):
+    f = phrase_counts(rows)
+    often = [(lang, w, a) for (lang, w), a in f.items() if len(w) >= 2 and a >= least]
+    around = defaultdict(int)
+    for lang, w, a in often:
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                if j - i < len(w):
+                    around[lang, w[i:j]] = max(around[lang, w[i:j]], a)
+    kept = defaultdict(list)
+    for lang, w, a in often:
+        cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        if 100 * around[lang, w] < drop * a:
+            kept[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted(
+        (lang, rank, p.decode(), -a, left, right, f[lang, ()], -score)
+        for lang, found in kept.items() for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1)
+    )
