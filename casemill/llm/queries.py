@@ -359,13 +359,12 @@ g AS (
   FROM w CROSS JOIN range(1, 5) AS t(k) WHERE len(ws) >= k),
 f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
 n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+t AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, j AS cut, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail
+  FROM f CROSS JOIN range(1, 4) AS t(j) WHERE k >= 2 AND j < k),
 c AS (
-  SELECT f.lang, f.phrase, f.f AS a, j AS cut, x.f AS l, y.f AS r,
-         (CAST(2000000 AS HUGEINT) * f.f) // (CAST(x.f AS HUGEINT) + y.f) AS score
-  FROM f CROSS JOIN range(1, 4) AS t(j)
-  JOIN f AS x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1:j], ' ')
-  JOIN f AS y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[j + 1:], ' ')
-  WHERE f.k >= 2 AND j < f.k),
+  SELECT t.*, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM t JOIN f AS x ON x.lang = t.lang AND x.phrase = head JOIN f AS y ON y.lang = t.lang AND y.phrase = tail),
 m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 i AS (
   SELECT f.lang, f.f, array_to_string(f.ws[s:s + z - 1], ' ') AS phrase
