@@ -1,17 +1,21 @@
 """Frequent word sequences and how strongly their words belong together.
 
-Equal texts of a language are counted once and weighted.  Groups of texts hash every n-gram by prefix
-polynomials over the codes of its words and send (fingerprint, weight, place of one occurrence) to buckets
-of fingerprints.  A bucket adds the weights up and, for fingerprints that reach the least count, tells each
-group the places to look at.  The groups cut the words out of the texts there, so that phrases, not
-fingerprints, are counted in the end: phrases that share a fingerprint come apart, and only frequent ones
-are ever written out.
+Equal texts of a language are counted once and weighted.  Groups of texts hash n-grams by prefix
+polynomials over the codes of their words and send (fingerprint, weight, place of one occurrence) to
+buckets of fingerprints.  A bucket adds the weights up and, for fingerprints that reach the least count,
+tells each group the places to look at.  In the end the groups cut the words out of the texts there, so
+that phrases, not fingerprints, are counted: phrases that share a fingerprint come apart, and only
+frequent ones are ever written out.
+
+A phrase cannot be more frequent than its parts.  So words go first, then pairs of frequent words, then
+longer n-grams all of whose pairs are frequent; the others are never sent.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +31,18 @@ LEAST = 30
 DROP_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
-#: Bytes of text of a group and of the share of a bucket; a slice is what a task hashes at a time.
-GROUP_BYTES = 16 << 20
-BUCKET_BYTES = 4 << 20
-SLICE_BYTES = 4 << 20
+#: Bytes of text of a group, which a task holds at a time, and of the share of a bucket.
+GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 
 _BREAKS = [*b".,;:!?", *range(0x0A, 0x0E)]
 _TABLE = tokens._table([0x20, 0x09, *_BREAKS], fold=True)
 _TABLE[0] = 0x41  # NUL is part of a word; no folded byte has this value
 _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _BASE = 0xA0761D6478BD642F  # odd, so it has an inverse modulo 2^64
-_ENTRY = "bucket int, g int, code binary, weight binary, place binary, width binary"
+_CELLS = ("code", "weight", "place", "width")
+_DTYPES = (np.uint64, np.int64, np.int64, np.uint8)
+_ENTRY = "g int, " + ", ".join(f"{c} binary" for c in _CELLS)
 _WORD = rb"[^ \t.,;:!?\n-\r]+"
 
 
@@ -48,26 +53,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def word_ids(data: np.ndarray, words: tokens.Words) -> np.ndarray:
-    """A number per word that is equal exactly for words of equal folded bytes.
+def word_ids(data: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A number per word that is equal only for words of equal folded bytes.
 
-    Words of one fingerprint are compared byte by byte with the first of them; one that
-    differs, or is of another length, gets a number of its own.
+    Words of one fingerprint are compared byte by byte with the first of them, ``step`` words at a time;
+    one that differs, or is of another length, gets a number of its own.
     """
-    n = len(words.code)
-    if not n:
-        return np.zeros(0, np.int64)
-    _, first, ids = np.unique(words.code, return_index=True, return_inverse=True)
-    size, like = words.end - words.start, first[ids]
-    same = size == size[like]
-    ends = np.cumsum(np.where(same, size, 0))
-    step = np.arange(ends[-1]) - np.repeat(ends - np.where(same, size, 0), np.where(same, size, 0))
-    held = np.where(same, size, 0)
-    mine, other = (_TABLE[data[np.repeat(at, held) + step]] for at in (words.start, words.start[like]))
-    wrong = np.concatenate([[0], np.cumsum(mine != other)])
-    bad = ~same | (wrong[ends] > wrong[ends - held])
+    _, first, ids = np.unique(code, return_index=True, return_inverse=True)
     ids = ids.astype(np.int64)
-    ids[bad] = len(first) + np.arange(int(bad.sum()))
+    size, like = end - start, first[ids]
+    same = size == size[like]
+    for a in range(0, len(code), step):
+        rows = np.flatnonzero(same[a : a + step] & (like[a : a + step] != np.arange(a, min(a + step, len(code))))) + a
+        held = size[rows]
+        ends = np.cumsum(held)
+        if len(rows):
+            along = np.arange(ends[-1]) - np.repeat(ends - held, held)
+            mine, other = (_TABLE[data[np.repeat(at, held) + along]] for at in (start[rows], start[like[rows]]))
+            wrong = np.concatenate([[0], np.cumsum(mine != other)])
+            same[rows[wrong[ends] > wrong[ends - held]]] = False
+    ids[~same] = len(first) + np.arange(int((~same).sum()))
     return ids
 
 
@@ -83,38 +88,59 @@ def room_of(data: np.ndarray, words: tokens.Words) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.Array, longest: int):
-    """(code, weight, place, width) of the distinct n-grams of a slice of texts.
+def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.Array, widths: Sequence[int], known: np.ndarray):
+    """(code, weight, place, width) of the distinct n-grams of the given widths in a group of texts.
 
-    Width 0 stands for the empty phrase, once per word, so that all words of a language are counted.
+    Width 0 stands for the empty phrase, once per word, so that all words of a language are counted;
+    from width 2 on, an n-gram counts only if the codes of its words are ``known``, from 3 on its pairs.
     """
     words = tokens.find_words(data, offsets, _TABLE)
     n = len(words.code)
     if not n:
         return
-    ids, room = word_ids(data, words), room_of(data, words)
-    text, named = words.doc, lang.dictionary_encode()
+    room, text, named = room_of(data, words), words.doc, lang.dictionary_encode()
     language = named.indices.to_numpy()[text]
-    mine, salts = weight[text], _salts(named.dictionary)[language]
+    mine, salts = weight[text], _salts(named.dictionary)
     up, down = _powers(n + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.code * up[:n])])
-    for width in range(longest + 1):
-        at = np.flatnonzero(room >= width)
+
+    def codes(at: np.ndarray, width: int) -> np.ndarray:
+        raw = (prefix[at + width] - prefix[at]) * down[at]
+        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64)))
+
+    if 0 in widths:
+        total = np.zeros(len(salts), np.int64)
+        np.add.at(total, language, mine)
+        _, first = np.unique(language, return_index=True)
+        yield codes(first, 0), total[language[first]], words.start[first], 0
+    base = min(max(widths) - 1, 2)  # the width of the parts that must be known
+    good = room >= max(base, 1)
+    if base:
+        at = np.flatnonzero(good)
+        good[at] = packing.find(known, codes(at, base))[0]
+    for width in widths:
+        if not width:
+            continue
+        fits = room >= width
+        for j in range(width - base + 1 if base else 0):
+            fits[: n - j] &= good[j:]
+        at = np.flatnonzero(fits)
         if not len(at):
             continue
-        raw = (prefix[at + width] - prefix[at]) * down[at] if width else np.zeros(len(at), np.uint64)
-        code = tokens.mix(raw ^ salts[at] ^ tokens.mix(np.full(1, width + 1, np.uint64)))
+        used = np.flatnonzero(tokens.spread_marks(at, width, n))
+        ids = np.full(n, -1, np.int64)
+        ids[used] = word_ids(data, words.code[used], words.start[used], words.end[used])
+        code = codes(at, width)
         order = np.argsort(code, kind="stable")
         at, code = at[order], code[order]
         first = np.concatenate([[True], code[1:] != code[:-1]])
-        rep = at[np.flatnonzero(first)][np.cumsum(first) - 1]
+        head = np.flatnonzero(first)
+        rep = at[head][np.cumsum(first) - 1]
         # Equal fingerprints of unequal words or languages stay apart.
         differ = language[at] != language[rep]
         for j in range(width):
             differ |= ids[at + j] != ids[rep + j]
-        whole = ~differ
-        head = np.flatnonzero(first)
-        total = np.add.reduceat(np.where(whole, mine[at], 0), head)
+        total = np.add.reduceat(np.where(differ, 0, mine[at]), head)
         yield (
             np.concatenate([code[head], code[differ]]), np.concatenate([total, mine[at[differ]]]),
             np.concatenate([words.start[at[head]], words.start[at[differ]]]), width,
@@ -132,35 +158,41 @@ def _salts(names: pa.Array) -> np.ndarray:
     return tokens.mix(np.array(numbers, np.uint64))
 
 
-def _send(buckets: int, longest: int):
-    def run(table: pa.Table) -> pa.Table:
+def _send(buckets: int, widths: Sequence[int]):
+    """Entries of a group's n-grams, dealt to buckets."""
+
+    def run(table: pa.Table, known: np.ndarray | None = None) -> pa.Table:
+        if not table.num_rows or (known is not None and not len(known)):
+            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in _CELLS})
         table = _ordered(table)
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        base = 0
-        for batch in tokens.pieces(table.to_batches(), "text", SLICE_BYTES):
-            data, offsets = tokens.text_buffers(batch.column("text"))
-            for code, weight, place, width in _grams(data, offsets, batch.column("copies").to_numpy(), batch.column("lang"), longest):
-                for kept, new in zip(parts, (code, weight, place + base, np.full(len(code), width, np.uint8))):
-                    kept.append(new)
-            base += len(data)
-        if not parts[0]:
-            return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(_ENTRY.split(", "), (pa.int32(), pa.int32(), *[pa.binary()] * 4))})
-        code, weight, place, width = (np.concatenate(p) for p in parts)
-        order = np.argsort(code, kind="stable")
-        columns = [code[order], weight[order].astype(np.int64), place[order].astype(np.int64), width[order]]
+        data, offsets = tokens.text_buffers(table.column("text"))
+        lang = table.column("lang").combine_chunks()
+        found = list(_grams(data, offsets, table.column("copies").to_numpy(), lang, widths, known))
+        parts = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [np.full(len(f[0]), f[3]) for f in found]]
+        columns = [np.concatenate(p).astype(t) if p else np.zeros(0, t) for p, t in zip(parts, _DTYPES)]
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
         bucket, packed = packing.dealt(packing.bucket_of(columns[0], buckets), columns)
         g = pa.array(np.full(len(bucket), table.column("g")[0].as_py()), pa.int32())
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "g": g} | dict(zip(("code", "weight", "place", "width"), packed)))
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "g": g} | dict(zip(_CELLS, packed)))
 
-    return run
+    def words(table: pa.Table) -> pa.Table:
+        return run(table)
+
+    def longer(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The n-grams whose parts the answers name."""
+        return run(table, np.unique(packing.values_of(answers.column("code"), np.uint64)[0]))
+
+    return words if min(widths) < 2 else longer
 
 
 def _answer(least: int):
     """Which entries of a bucket belong to fingerprints whose weights add up to the least count."""
 
     def run(sent: pa.Table) -> pa.Table:
-        code, cuts = packing.values_of(sent.column("code"), np.uint64)
-        weight, place, width = (packing.values_of(sent.column(c), t)[0] for c, t in (("weight", np.int64), ("place", np.int64), ("width", np.uint8)))
+        cuts = packing.values_of(sent.column("code"), np.uint64)[1]
+        cells = [packing.values_of(sent.column(c), t)[0] for c, t in zip(_CELLS, _DTYPES)]
+        code, weight = cells[:2]
         order = np.argsort(code, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
         sizes = np.diff([*head, len(code)])
@@ -170,8 +202,7 @@ def _answer(least: int):
         some = np.flatnonzero(np.diff(total))
         new = np.concatenate([total[some], total[-1:]]) if len(some) else np.zeros(1, np.int64)
         g = sent.column("g").combine_chunks().take(pa.array(some, pa.int64()))
-        packed = [packing.cells(x[often], new) for x in (weight, place, width)]
-        return pa.table({"g": g} | dict(zip(("weight", "place", "width"), packed)))
+        return pa.table({"g": g} | {c: packing.cells(x[often], new) for c, x in zip(_CELLS, cells)})
 
     return run
 
@@ -186,7 +217,7 @@ def _spell(longest: int):
             data, offsets = tokens.text_buffers(table.column("text"))
             raw = data.tobytes()
             langs = table.column("lang").to_pylist()
-            weight, place, width = (packing.values_of(answers.column(c), t)[0] for c, t in (("weight", np.int64), ("place", np.int64), ("width", np.uint8)))
+            weight, place, width = (packing.values_of(answers.column(c), t)[0] for c, t in list(zip(_CELLS, _DTYPES))[1:])
             text = np.searchsorted(offsets, place, "right") - 1
             stop = offsets[text + 1]
             for n, at, k, row, end in zip(*[x.tolist() for x in (weight, place, width, text, stop)]):
@@ -220,9 +251,18 @@ def frequent_phrases(
     groups, buckets = size // group_bytes + 1, size // bucket_bytes + 1
     distinct = rows.groupBy("lang", "text").agg(F.count("*").alias("copies"))
     dealt = distinct.withColumn("g", F.pmod(F.xxhash64("lang", "text"), F.lit(groups)).cast("int"))
-    sent = dealt.groupBy("g").applyInArrow(_send(buckets, longest), _ENTRY)
-    answers = sent.groupBy("bucket").applyInArrow(_answer(least), "g int, weight binary, place binary, width binary")
-    spelled = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_spell(longest), "lang string, width int, phrase string, f long")
+    texts = dealt.groupBy("g")
+
+    def told(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_answer(least), _ENTRY)
+
+    answers = [told(texts.applyInArrow(_send(buckets, (0, 1)), "bucket int, " + _ENTRY))]
+    for widths in ((2,), tuple(range(3, longest + 1))):
+        if widths and widths[0] <= longest:
+            parts = answers[-1].groupBy("g")
+            answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths), "bucket int, " + _ENTRY)))
+    places = reduce(DataFrame.unionByName, answers)
+    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(longest), "lang string, width int, phrase string, f long")
     return spelled.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 

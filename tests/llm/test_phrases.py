@@ -63,8 +63,9 @@ def test_equal_words_are_told_by_their_bytes():
     data, offsets = tokens.text_buffers(pa.array(["Ab ab aB cd abc x"]))
     words = tokens.find_words(data, offsets, phrases._TABLE)
     words.code[:] = 5  # every fingerprint collides
-    ids = phrases.word_ids(data, words)
-    assert ids[0] == ids[1] == ids[2] and len(set(ids.tolist())) == 4
+    for step in (1 << 17, 2):
+        ids = phrases.word_ids(data, words.code, words.start, words.end, step)
+        assert ids[0] == ids[1] == ids[2] and len(set(ids.tolist())) == 4
 
 
 def test_colliding_fingerprints_are_counted_apart(monkeypatch):
@@ -75,15 +76,16 @@ def test_colliding_fingerprints_are_counted_apart(monkeypatch):
     rows = [(" ".join(gen.choices("abcdefg", k=30)), gen.choice(["x", "y"])) for _ in range(12)]
     whole = [dict(lang=lang, text=text, copies=2, g=k % 3) for k, (text, lang) in enumerate(rows)]
     groups = [pa.Table.from_pylist([r for r in whole if r["g"] == g]) for g in range(3)]
-    sent = pa.concat_tables([phrases._send(4, 4)(t) for t in groups])
-    buckets = [sent.filter(pa.compute.equal(sent.column("bucket"), b)) for b in range(4)]
-    answers = pa.concat_tables([phrases._answer(2)(b) for b in buckets if b.num_rows])
-    found = {}
-    for g, table in enumerate(groups):
-        told = phrases._spell(4)(table, answers.filter(pa.compute.equal(answers.column("g"), g)))
-        for r in told.to_pylist():
-            key = (r["lang"], tuple(r["phrase"].split(" ")) if r["width"] else ())
-            found[key] = found.get(key, 0) + r["f"]
+    found, answers = {}, None
+    for widths in ((0, 1), (2,), (3, 4)):
+        of = [answers and (answers.filter(pa.compute.equal(answers.column("g"), g)),) or () for g in range(3)]
+        sent = pa.concat_tables([phrases._send(4, widths)(t, *a) for t, a in zip(groups, of)])
+        buckets = [sent.filter(pa.compute.equal(sent.column("bucket"), b)) for b in range(4)]
+        answers = pa.concat_tables([phrases._answer(2)(b) for b in buckets if b.num_rows])
+        for g, table in enumerate(groups):
+            for r in phrases._spell(4)(table, answers.filter(pa.compute.equal(answers.column("g"), g))).to_pylist():
+                key = (r["lang"], tuple(r["phrase"].split(" ")) if r["width"] else ())
+                found[key] = found.get(key, 0) + r["f"]
     want = {k: 2 * n for k, n in brute.phrase_counts(rows).items()}
     assert {k: n for k, n in found.items() if n >= 2} == want
 
@@ -96,3 +98,14 @@ def test_only_frequent_fingerprints_are_answered():
     })
     told = phrases._answer(5)(sent)
     assert packing.values_of(told.column("place"), np.int64)[0].tolist() == [10, 30] and told.column("g").to_pylist() == [0, 1]
+
+
+def test_rare_parts_keep_longer_phrases_at_home():
+    table = pa.table({"lang": ["x"], "text": ["a b c a b d"], "copies": [1], "g": [0]})
+    words = phrases._send(1, (0, 1))(table)
+    code, width = (packing.values_of(words.column(c), t)[0] for c, t in (("code", np.uint64), ("width", np.uint8)))
+    assert sorted(width.tolist()) == [0, 1, 1, 1, 1]
+    often = phrases._answer(2)(words)
+    pairs = phrases._send(1, (2,))(table, often)
+    assert len(packing.values_of(pairs.column("code"), np.uint64)[0]) == 1  # "a b" alone
+    assert phrases._send(1, (3, 4))(table, phrases._answer(2)(pairs)).num_rows == 0
