@@ -17,14 +17,15 @@ from casemill.operators.ranks import order_statistics, prefix_sums, quantile_bou
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
     """Linearly interpolated quantiles from the two order statistics around each."""
-    n = df.filter(F.col(col).isNotNull()).count()
-    spots = [p * (n - 1) for p in probs]
-    ranks = sorted({r for s in spots for r in (floor(s), min(floor(s) + 1, n - 1))})
-    found = order_statistics(df, [col], [(None, r) for r in ranks])
-    at = {r: v[0] for r, v in zip(ranks, found)}
-    return [
-        at[floor(s)] + (s - floor(s)) * (at[min(floor(s) + 1, n - 1)] - at[floor(s)]) for s in spots
-    ]
+    if not probs:
+        return []
+    spots = [lambda n, p=p: floor(p * (n - 1)) for p in probs] + [lambda n, p=p: min(floor(p * (n - 1)) + 1, n - 1) for p in probs]
+    # The number of rows comes with the sketch; the last rank tells it back.
+    sizes: list[int] = []
+    spots.append(lambda n: sizes.append(n) or 0)
+    found = [v[0] for v in order_statistics(df, [col], [(None, r) for r in spots])]
+    shares = [p * (sizes[-1] - 1) % 1 for p in probs]
+    return [lo + f * (hi - lo) for lo, hi, f in zip(found, found[len(probs) :], shares)]
 
 
 def grouped_quantiles(

@@ -1,106 +1,208 @@
 """Global order without a global sort.
 
-``order_statistics`` finds the key tuple at given ranks by counting passes: each
-pass is one map-side-combined histogram that shrinks the candidate range about a
-thousandfold, and the driver only ever holds the histogram.  ``prefix_sums`` gives
-running totals over a globally ordered key: rows are bucketed by quantile bounds,
-summed inside each bucket, and shifted by the totals of the earlier buckets.
+``order_statistics`` finds the key tuple at given ranks in three passes for up to some ten
+billion rows: a mergeable quantile sketch says where a rank lies, an exact count over one
+side of that range - a filter that reaches the files - places it, and the few rows left
+are put in order.  ``prefix_sums`` gives running totals over a globally ordered key: rows
+are bucketed by quantile bounds, summed inside each bucket, and shifted by the totals of
+the earlier buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HISTOGRAM = 1024
-_FINISH = 10_000
+#: Rows of one range that may be put in order in one task; larger ranges are cut again.
+_TAKE = 100_000
+_SKETCH_K = 4096
+#: Rank error of a sketch of that size (99 %), times three.  A miss costs a pass, never the result.
+_SKETCH_ERROR = 0.004
+
+
+@dataclass
+class _Spot:
+    """One wanted rank: the rows it counts among, and the range it is known to lie in."""
+
+    cond: Column
+    rank: int | None | Callable[[int], int | None]
+    found: list = field(default_factory=list)
+    lo: object = None
+    hi: object = None
+    side: str = "both"  # which rows the next count must see: those up to hi, from lo on, or between
+    n: int = 0
+    below: int = 0
+    count: float = float("inf")
+
+    def rows(self, x: Column) -> Column:
+        if self.lo is None:
+            return self.cond & x.isNotNull()
+        if self.side == "low":
+            return self.cond & (x <= F.lit(self.hi))
+        if self.side == "high":
+            return self.cond & (x >= F.lit(self.lo))
+        return self.cond & (x >= F.lit(self.lo)) & (x <= F.lit(self.hi))
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], targets: Sequence[tuple[Column | None, int]]
-) -> list[tuple]:
+    df: DataFrame, keys: Sequence[str], targets: Sequence[tuple[Column | None, int | Callable[[int], int | None]]], nulls: str = "skip"
+) -> list[tuple | None]:
     """Key tuple at each 0-based rank.
 
-    ``targets`` holds (row condition or None, rank); all are answered together.
-    Ties on one key are resolved by the next, so the last key should be unique.
+    ``targets`` holds (row condition or None, rank); a rank may be a function of the number of
+    rows that meet the condition, which the first pass counts anyway, and None if it returns
+    None.  All targets are answered together.  Ties on one key are resolved by the next, so the last key should be unique.
+    Rows without a key have no rank; ``nulls="error"`` refuses a missing first key.
     """
-    conds = [c if c is not None else F.lit(True) for c, _ in targets]
-    ranks = [int(r) for _, r in targets]
-    found: list[list] = [[] for _ in targets]
-    open_ = list(range(len(targets)))
-    for at, key in enumerate(keys):
-        rest = keys[at + 1 :]
-        values, below, single = _values_at(df, key, rest, [conds[i] for i in open_], [ranks[i] for i in open_])
-        for i, v, b in zip(open_, values, below):
-            found[i].append(v)
-            conds[i] = conds[i] & (F.col(key) == F.lit(v))
-            ranks[i] -= b
-        # A value held by one row needs no further pass: that row has the other keys.
-        for i, s in zip(open_, single):
-            if s is not None:
-                found[i].extend(s)
-        open_ = [i for i, s in zip(open_, single) if s is None]
-        if not open_:
-            break
-    return [tuple(f) for f in found]
-
-
-def _values_at(df: DataFrame, key: str, rest: Sequence[str], conds: list[Column], ranks: list[int]):
+    every = F.lit(True)
+    spots = [_Spot(every if c is None else c, r) for c, r in targets]
+    for at in range(len(keys)):
+        open_ = [s for s in spots if len(s.found) == at]
+        if open_:
+            _find(df, keys[at:], open_, nulls if at == 0 else "skip")
+    return [None if s.rank is None else tuple(s.found) for s in spots]
+
+
+def _any(conds: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conds)
+
+
+def _find(df: DataFrame, keys: Sequence[str], spots: list[_Spot], nulls: str) -> None:
+    """Settle the first of ``keys`` for all spots, or all of them where few rows are left."""
+    _sketch(df, keys[0], spots, nulls)
+    for s in spots:
+        if s.rank is None:
+            s.found = [None] * len(keys)
+    spots = [s for s in spots if s.rank is not None]
+    while spots:
+        few = [s for s in spots if s.count <= _TAKE]
+        if few:
+            _take(df, keys, few)
+        spots = [s for s in spots if s.count > _TAKE]
+        if spots:
+            _narrow(df, keys, spots)
+        spots = [s for s in spots if s.lo != s.hi or s.side != "both"]
+
+
+def _sketch(df: DataFrame, key: str, spots: list[_Spot], nulls: str) -> None:
+    """One pass: how many rows each condition has, and between which values its ranks lie."""
+    kind = "double" if isinstance(df.schema[key].dataType, T.FractionalType) else "bigint"
     x = F.col(key)
-    n = len(conds)
-    single: list[tuple | None] = [None] * n
-    spans: list[tuple | None] = [None] * n
-    below = [0] * n
-    values: list = [None] * n
-    open_ = set(range(n))
-    small: set[int] = set()
-    while open_:
-        parts = []
-        for i in sorted(open_):
-            if spans[i] is None:
-                hit, bucket = conds[i] & x.isNotNull(), F.lit(0.0)
-            else:
-                lo, hi = spans[i]
-                hit = conds[i] & x.between(F.lit(lo), F.lit(hi))
-                if i in small:
-                    bucket = (x - F.lit(lo)).cast("double")
-                else:
-                    step = F.lit((hi - lo) / _HISTOGRAM)
-                    raw = F.floor((x - F.lit(lo)) / step).cast("double")
-                    bucket = F.least(raw, F.lit(_HISTOGRAM - 1.0))
-            parts.append(F.when(hit, F.struct(F.lit(i).alias("t"), bucket.alias("b"))))
-        hist = (
-            df.select(
-                x.alias("x"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(rest)], F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")
+    build, read = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
+    conds: list[Column] = []
+    for s in spots:
+        if not any(s.cond is c for c in conds):
+            conds.append(s.cond)
+    seen = df.filter(_any(conds)).agg(
+        *[
+            c
+            for i, cond in enumerate(conds)
+            for c in (
+                build(F.when(cond, x.cast(kind)), F.lit(_SKETCH_K)).alias(f"s{i}"), F.count(F.when(cond, x)).alias(f"n{i}"), F.count_if(cond & x.isNull()).alias(f"m{i}"),
             )
-            .groupBy("s.t", "s.b")
-            .agg(
-                F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                *[F.min(f"k{j}").alias(f"k{j}") for j in range(len(rest))],
-            )
-            .collect()
-        )
-        rows: dict[int, list] = {i: [] for i in open_}
-        for r in hist:
-            rows[r["t"]].append((r["lo"], r["hi"], r["n"], tuple(r[f"k{j}"] for j in range(len(rest)))))
-        for i in list(open_):
-            for lo, hi, count, others in sorted(rows[i]):
-                if ranks[i] < below[i] + count:
-                    spans[i] = (lo, hi)
-                    if lo == hi:
-                        values[i] = lo
-                        single[i] = others if count == 1 else None
-                        open_.discard(i)
-                    elif count <= _FINISH:
-                        small.add(i)
-                    break
-                below[i] += count
-            else:
-                raise ValueError(f"rank {ranks[i]} is outside the data")
-    return values, below, single
+        ]
+    ).first()
+    asked: list[Column] = []
+    for k, s in enumerate(spots):
+        i = next(i for i, c in enumerate(conds) if c is s.cond)
+        n, missing = seen[f"n{i}"], seen[f"m{i}"]
+        if missing and nulls == "error":
+            raise ValueError(f"{missing} of {n + missing} rows have no {key}: drop them or give them one first")
+        s.rank = s.rank(n) if callable(s.rank) else int(s.rank)
+        if s.rank is None:
+            continue
+        if not 0 <= s.rank < n:
+            raise ValueError(f"rank {s.rank} is outside the data")
+        s.n = s.count = n
+        s.lo, s.hi, s.side, s.below = None, None, "both", 0
+        if n > _TAKE:
+            share = s.rank / n
+            ends = [max(share - _SKETCH_ERROR, 0.0), min(share + _SKETCH_ERROR, 1.0)]
+            asked.append(F.array(*[read(F.lit(bytes(seen[f"s{i}"])), F.lit(e)) for e in ends]).alias(f"q{k}"))
+            s.side = "low" if share <= 0.5 else "high"
+    if asked:
+        told = df.sparkSession.range(1).select(*asked).first()
+        for k, s in enumerate(spots):
+            if s.rank is not None and s.n > _TAKE:
+                s.lo, s.hi = told[f"q{k}"]
+                s.count = float("inf")
+
+
+def _bucket(x: Column, lo, hi, whole: bool) -> Column:
+    """Number of the part of [lo, hi] that holds ``x``; the ends never share one."""
+    if lo == hi:
+        return F.lit(0)
+    exact = whole and hi - lo < 1 << 52
+    step = (hi - lo if exact else float(hi) - float(lo)) / _HISTOGRAM
+    if step <= 0:
+        return (x > F.lit(lo)).cast("int")
+    away = (x - F.lit(lo)).cast("double") if exact else x.cast("double") - F.lit(float(lo))
+    return F.least(F.floor(away / F.lit(float(step))), F.lit(_HISTOGRAM - 1)).cast("int")
+
+
+def _narrow(df: DataFrame, keys: Sequence[str], spots: list[_Spot]) -> None:
+    """One pass over the spots' sides: a histogram of each range, and the rows beside it."""
+    key, rest = keys[0], keys[1:]
+    x, whole = F.col(key), not isinstance(df.schema[key].dataType, T.FractionalType)
+    parts = []
+    for i, s in enumerate(spots):
+        place = F.when(x < F.lit(s.lo), -1).when(x > F.lit(s.hi), _HISTOGRAM).otherwise(_bucket(x, s.lo, s.hi, whole))
+        parts.append(F.when(s.rows(x), F.struct(F.lit(i).alias("t"), place.alias("b"))))
+    rows = (
+        df.filter(_any([s.rows(x) for s in spots]))
+        .select(x.alias("x"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(rest)], F.explode(F.array_compact(F.array(*parts))).alias("s"))
+        .groupBy("s.t", "s.b")
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), *[F.min(f"k{j}").alias(f"k{j}") for j in range(len(rest))])
+        .collect()
+    )
+    for i, s in enumerate(spots):
+        mine = sorted((r["b"], r) for r in rows if r["t"] == i)
+        if s.side == "high":
+            s.below = s.n - sum(r["n"] for _, r in mine)
+        at, hit = s.below, None
+        for b, r in mine:
+            if at <= s.rank < at + r["n"] and 0 <= b < _HISTOGRAM:
+                hit = r
+                break
+            at += r["n"]
+        if hit is None:  # the sketch missed: everything between the outermost values
+            ends = df.filter(s.cond).agg(F.min(x), F.max(x)).first()
+            s.lo, s.hi, s.below, s.count, s.side = *ends, 0, float("inf"), "both"
+            if s.lo != s.hi:
+                continue
+            s.found.append(s.lo)
+        else:
+            s.lo, s.hi, s.below, s.count, s.side = hit["lo"], hit["hi"], at, hit["n"], "both"
+            if s.lo != s.hi:
+                continue
+            s.found.append(s.lo)
+            if s.count == 1:  # that row has the other keys
+                s.found.extend(hit[f"k{j}"] for j in range(len(rest)))
+        s.cond, s.rank = s.cond & (x == F.lit(s.lo)), s.rank - s.below
+
+
+def _take(df: DataFrame, keys: Sequence[str], spots: list[_Spot]) -> None:
+    """Put the rows of ranges of at most ``_TAKE`` rows in order."""
+    x = F.col(keys[0])
+    marks = [F.when(s.rows(x), F.struct(F.lit(i).alias("t"), F.lit(s.rank - s.below + 1).alias("r"))) for i, s in enumerate(spots)]
+    order = Window.partitionBy("t").orderBy(*[f"k{j}" for j in range(len(keys))])
+    picked = (
+        df.filter(_any([s.rows(x) for s in spots]))
+        .select(*[F.col(c).alias(f"k{j}") for j, c in enumerate(keys)], F.explode(F.array_compact(F.array(*marks))).alias("s"))
+        .select("s.*", *[f"k{j}" for j in range(len(keys))])
+        .withColumn("_at", F.row_number().over(order))
+        .filter(F.col("_at") == F.col("r"))
+        .collect()
+    )
+    for r in picked:
+        spots[r["t"]].found.extend(r[f"k{j}"] for j in range(len(keys)))
 
 
 def before(keys: Sequence[str], cut: tuple) -> Column:

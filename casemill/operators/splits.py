@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,18 +13,12 @@ from casemill.functions.hashing import hash32
 from casemill.operators.ranks import before, order_statistics
 
 
-def _timed_rows(df: DataFrame, time: str) -> int:
-    """Number of rows; rows without a time have no place in the order and are an error."""
-    n, timed = df.agg(F.count("*"), F.count(time)).first()
-    if timed < n:
-        raise ValueError(f"{n - timed} of {n} rows have no {time}: drop them or give them one first")
-    return n
-
-
 def time_cut(df: DataFrame, time: str, row_id: str, share: float = K.TEST_SHARE) -> tuple:
-    """(time, id) of the first test row; rows at the same time are ordered by id."""
-    rank = int(_timed_rows(df, time) * (1 - share))
-    return order_statistics(df, [time, row_id], [(None, rank)])[0]
+    """(time, id) of the first test row; rows at the same time are ordered by id.
+
+    Rows without a time have no place in the order and are an error.
+    """
+    return order_statistics(df, [time, row_id], [(None, lambda n: int(n * (1 - share)))], nulls="error")[0]
 
 
 def temporal_split(df: DataFrame, time: str, row_id: str, share: float = K.TEST_SHARE) -> DataFrame:
@@ -36,17 +31,12 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
 
 
-def _cut_column(keyed: DataFrame, keys: list[str], cond: Column, ranks: list[int], n: int) -> list:
-    return [(cond, r) for r in ranks if 0 <= r < n]
-
-
-def _blocks(df: DataFrame, keys: list[str], groups: list[tuple[Column, list[int], int]]) -> Column:
-    """Block number of a row: how many of its group's cuts it has reached."""
-    targets = [t for cond, ranks, n in groups for t in _cut_column(df, keys, cond, ranks, n)]
-    cuts = iter(order_statistics(df, keys, targets) if targets else [])
+def _blocks(df: DataFrame, keys: list[str], groups: list[tuple[Column, list]], nulls: str = "skip") -> Column:
+    """Block number of a row: how many of its group's cuts it has reached; a rank without a row is no cut."""
+    cuts = iter(order_statistics(df, keys, [(cond, r) for cond, ranks in groups for r in ranks], nulls))
     block = F.lit(None).cast("int")
-    for cond, ranks, n in groups:
-        own = [next(cuts) for r in ranks if 0 <= r < n]
+    for cond, ranks in groups:
+        own = [c for c in (next(cuts) for _ in ranks) if c is not None]
         reached = reduce(
             lambda a, b: a + b,
             [F.when(before(keys, c), 0).otherwise(1) for c in own],
@@ -56,13 +46,18 @@ def _blocks(df: DataFrame, keys: list[str], groups: list[tuple[Column, list[int]
     return block
 
 
+def _in_range(rank) -> Callable[[int], int | None]:
+    """The rank as a function of the number of rows, None where there is no such row."""
+    return lambda n: r if 0 <= (r := rank(n)) < n else None
+
+
 def stratified_split(
     df: DataFrame, label: str, row_id: str, share: float = K.TEST_SHARE, seed: int = K.SEED
 ) -> DataFrame:
     """Add ``split``: in every class the first ``round(share * n)`` rows in hash order test."""
     keyed = df.withColumn("_h", hash32(seed, F.col(row_id)))
     groups = [
-        (F.col(label) == F.lit(c), [round(share * n)], n) for c, n in class_counts(df, label).items()
+        (F.col(label) == F.lit(c), [_in_range(lambda n: round(share * n))]) for c in class_counts(df, label)
     ]
     block = _blocks(keyed, ["_h", row_id], groups)
     return keyed.withColumn("split", F.when(block == 0, "test").otherwise("train")).drop("_h")
@@ -73,26 +68,21 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold`` 0..k-1: equal consecutive blocks of the hash order of each class."""
     keyed = df.withColumn("_h", hash32(seed, F.col(row_id)))
-    groups = [
-        (F.col(label) == F.lit(c), [j * n // k for j in range(1, k)], n)
-        for c, n in class_counts(df, label).items()
-    ]
+    ranks = [_in_range(lambda n, j=j: j * n // k) for j in range(1, k)]
+    groups = [(F.col(label) == F.lit(c), ranks) for c in class_counts(df, label)]
     return keyed.withColumn("fold", _blocks(keyed, ["_h", row_id], groups)).drop("_h")
 
 
 def time_folds(df: DataFrame, time: str, row_id: str, k: int = 3) -> DataFrame:
     """Add ``block`` 0..k: fold i trains on blocks before i and validates on block i."""
-    n = _timed_rows(df, time)
-    size = n // (k + 1)
-    ranks = [n - (k - j) * size for j in range(k)]
-    return df.withColumn("block", _blocks(df, [time, row_id], [(F.lit(True), ranks, n)]))
+    ranks = [_in_range(lambda n, j=j: n - (k - j) * (n // (k + 1))) for j in range(k)]
+    return df.withColumn("block", _blocks(df, [time, row_id], [(F.lit(True), ranks)], nulls="error"))
 
 
 def hash_split(df: DataFrame, row_id: str, share: float, seed: int = K.SEED) -> DataFrame:
     """Add ``part``: the first ``max(1, int(share * n))`` rows in hash order validate."""
-    n = df.count()
     keyed = df.withColumn("_h", hash32(seed, F.col(row_id)))
-    block = _blocks(keyed, ["_h", row_id], [(F.lit(True), [max(1, int(n * share))], n)])
+    block = _blocks(keyed, ["_h", row_id], [(F.lit(True), [_in_range(lambda n: max(1, int(n * share)))])])
     return keyed.withColumn("part", F.when(block == 0, "val").otherwise("train")).drop("_h")
 
 

@@ -20,13 +20,70 @@ def test_order_statistics_match_sort(spark, values):
     assert found == [order[r] for r in picks]
 
 
-def test_order_statistics_narrow_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "_FINISH", 3)
+@pytest.fixture()
+def narrow(monkeypatch):
+    """Small inputs go through the sketch, the counts of sides and several cuts."""
+    monkeypatch.setattr(ranks, "_TAKE", 3)
     monkeypatch.setattr(ranks, "_HISTOGRAM", 4)
+
+
+def test_order_statistics_narrow_large_groups(spark, narrow):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("x"))
-    found = ranks.order_statistics(df, ["x", "id"], [(None, 500), (F.col("x") == 6, 3)])
+    found = ranks.order_statistics(df, ["x", "id"], [(None, 500), (F.col("x") == 6, 3), (None, lambda n: n - 1), (None, lambda n: None)])
     order = sorted((i % 7, i) for i in range(1000))
-    assert found == [order[500], (6, 27)]
+    assert found == [order[500], (6, 27), order[-1], None]
+
+
+@pytest.mark.parametrize("error", [0.004, 0.0])
+def test_order_statistics_survive_a_sketch_that_misses(spark, narrow, monkeypatch, error):
+    monkeypatch.setattr(ranks, "_SKETCH_ERROR", error)
+    monkeypatch.setattr(ranks, "_SKETCH_K", 8)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25), rng.normal(size=500) * 1e9, [5e-324, 1e-323, -1e300, 1e300]])
+    df = _frame(spark, x).repartition(5)
+    order = sorted((v, i) for i, v in enumerate(x))
+    picks = [0, 1, 100, 3000, 3600, 5000, 6400, len(x) - 1]
+    assert ranks.order_statistics(df, ["x", "id"], [(None, r) for r in picks]) == [order[r] for r in picks]
+
+
+def test_order_statistics_of_far_integers(spark, narrow):
+    values = [-(1 << 63), -(1 << 63) + 1, -7, 0, 1, 2, 3, (1 << 62) + 1, (1 << 62) + 2, (1 << 62) + 3, (1 << 62) + 4, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    assert ranks.order_statistics(df, ["x"], [(None, r) for r in range(len(values))]) == [(v,) for v in values]
+
+
+def test_missing_keys_have_no_rank(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0)], "id bigint, x double")
+    assert ranks.order_statistics(df, ["x", "id"], [(None, 1)]) == [(2.0, 1)]
+    with pytest.raises(ValueError, match="1 of 3 rows have no x"):
+        ranks.order_statistics(df, ["x", "id"], [(None, 1)], nulls="error")
+
+
+def test_three_passes_and_ranges_that_reach_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranks, "_TAKE", 2000)
+    monkeypatch.setattr(ranks, "_HISTOGRAM", 16)
+    spark.range(200_000).select("id", (F.xxhash64("id") / 1e12).alias("x")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plans, passes = [], []
+    any_of = ranks._any
+
+    def watched(conds):
+        passes.append(1)
+        plans.append(df.filter(any_of(conds))._jdf.queryExecution().executedPlan().toString())
+        return any_of(conds)
+
+    monkeypatch.setattr(ranks, "_any", watched)
+    order = [tuple(r) for r in df.orderBy("x", "id").select("x", "id").collect()]
+    for rank in (160_000, 30_000):
+        plans.clear()
+        passes.clear()
+        assert ranks.order_statistics(df, ["x", "id"], [(None, rank)]) == [order[rank]]
+        assert len(passes) == 3
+        pushed = [p.split("PushedFilters: ")[1].split("]")[0] for p in plans]
+        # The whole column, one side of the range, the range.
+        assert "Than" not in pushed[0]
+        assert ("GreaterThanOrEqual(x" in pushed[1]) != ("LessThanOrEqual(x" in pushed[1])
+        assert "GreaterThanOrEqual(x" in pushed[2] and "LessThanOrEqual(x" in pushed[2]
 
 
 def test_rank_outside_the_data(spark):
