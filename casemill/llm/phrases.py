@@ -1,8 +1,8 @@
 """Frequent word sequences and how strongly their words belong together.
 
-Equal texts of a language are counted once and weighted.  Groups of texts hash n-grams by prefix
-polynomials over the codes of their words and send (fingerprint, weight, place of one occurrence) to
-buckets of fingerprints.  A bucket adds the weights up and, for fingerprints that reach the least count,
+Groups of texts, in which equal ones are counted once and weighted, hash n-grams by prefix polynomials
+over the codes of their words and send (fingerprint, weight, place of one occurrence) to buckets of
+fingerprints.  A bucket adds the weights up and, for fingerprints that reach the least count,
 tells each group the places to look at.  In the end the groups cut the words out of the texts there, so
 that phrases, not fingerprints, are counted: phrases that share a fingerprint come apart, and only
 frequent ones are ever written out.
@@ -41,7 +41,7 @@ _TABLE[0] = 0x41  # NUL is part of a word; no folded byte has this value
 _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _BASE = 0xA0761D6478BD642F  # odd, so it has an inverse modulo 2^64
 _CELLS = ("code", "weight", "place", "width")
-_DTYPES = (np.uint64, np.int64, np.int64, np.uint8)
+_DTYPES = (np.uint64, np.int64, np.uint32, np.uint8)
 _ENTRY = "g int, " + ", ".join(f"{c} binary" for c in _CELLS)
 _WORD = rb"[^ \t.,;:!?\n-\r]+"
 
@@ -147,9 +147,10 @@ def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.A
         )
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    """One order of a group's rows, whatever order the shuffle delivers; (lang, text) is a key."""
-    return table.take(pc.sort_indices(table, [("lang", "ascending"), ("text", "ascending")]))
+def _distinct(table: pa.Table) -> pa.Table:
+    """The texts of a group with the number of their copies, in one order whatever the shuffle delivers."""
+    merged = table.group_by(["lang", "text"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["lang", "text", "copies"])
+    return merged.take(pc.sort_indices(merged, [("lang", "ascending"), ("text", "ascending")]))
 
 
 def _salts(names: pa.Array) -> np.ndarray:
@@ -164,8 +165,10 @@ def _send(buckets: int, widths: Sequence[int]):
     def run(table: pa.Table, known: np.ndarray | None = None) -> pa.Table:
         if not table.num_rows or (known is not None and not len(known)):
             return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in _CELLS})
-        table = _ordered(table)
+        name, table = table.column("g")[0].as_py(), _distinct(table)
         data, offsets = tokens.text_buffers(table.column("text"))
+        if len(data) >= 1 << 32:
+            raise ValueError("the texts of one group exceed 4 GiB: places have 32 bits")
         lang = table.column("lang").combine_chunks()
         found = list(_grams(data, offsets, table.column("copies").to_numpy(), lang, widths, known))
         parts = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [np.full(len(f[0]), f[3]) for f in found]]
@@ -173,7 +176,7 @@ def _send(buckets: int, widths: Sequence[int]):
         order = np.argsort(columns[0], kind="stable")
         columns = [c[order] for c in columns]
         bucket, packed = packing.dealt(packing.bucket_of(columns[0], buckets), columns)
-        g = pa.array(np.full(len(bucket), table.column("g")[0].as_py()), pa.int32())
+        g = pa.array(np.full(len(bucket), name), pa.int32())
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "g": g} | dict(zip(_CELLS, packed)))
 
     def words(table: pa.Table) -> pa.Table:
@@ -213,7 +216,7 @@ def _spell(longest: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         found: dict[tuple[str, int, bytes], int] = {}
         if answers.num_rows and table.num_rows:
-            table = _ordered(table)
+            table = _distinct(table)
             data, offsets = tokens.text_buffers(table.column("text"))
             raw = data.tobytes()
             langs = table.column("lang").to_pylist()
@@ -249,8 +252,8 @@ def frequent_phrases(
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), body.alias("text")).filter(F.octet_length("text") > 0)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups, buckets = size // group_bytes + 1, size // bucket_bytes + 1
-    distinct = rows.groupBy("lang", "text").agg(F.count("*").alias("copies"))
-    dealt = distinct.withColumn("g", F.pmod(F.xxhash64("lang", "text"), F.lit(groups)).cast("int"))
+    # Copies of a text in different splits of the input go to different groups, so many copies are no hot group.
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("lang", "text", F.spark_partition_id()), F.lit(groups)).cast("int"))
     texts = dealt.groupBy("g")
 
     def told(sent: DataFrame) -> DataFrame:
@@ -259,9 +262,9 @@ def frequent_phrases(
     answers = [told(texts.applyInArrow(_send(buckets, (0, 1)), "bucket int, " + _ENTRY))]
     for widths in ((2,), tuple(range(3, longest + 1))):
         if widths and widths[0] <= longest:
-            parts = answers[-1].groupBy("g")
+            parts = answers[-1].select("g", "code").groupBy("g")
             answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths), "bucket int, " + _ENTRY)))
-    places = reduce(DataFrame.unionByName, answers)
+    places = reduce(DataFrame.unionByName, [a.drop("code") for a in answers])
     spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(longest), "lang string, width int, phrase string, f long")
     return spelled.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 

@@ -74,7 +74,7 @@ def test_colliding_fingerprints_are_counted_apart(monkeypatch):
     monkeypatch.setattr(tokens, "mix", lambda x: mix(x) & np.uint64(7 << 40))
     gen = random.Random(1)
     rows = [(" ".join(gen.choices("abcdefg", k=30)), gen.choice(["x", "y"])) for _ in range(12)]
-    whole = [dict(lang=lang, text=text, copies=2, g=k % 3) for k, (text, lang) in enumerate(rows)]
+    whole = [dict(lang=lang, text=text, g=k % 3) for k, (text, lang) in enumerate(rows)] * 2
     groups = [pa.Table.from_pylist([r for r in whole if r["g"] == g]) for g in range(3)]
     found, answers = {}, None
     for widths in ((0, 1), (2,), (3, 4)):
@@ -94,14 +94,14 @@ def test_only_frequent_fingerprints_are_answered():
     cells = lambda x, t: packing.cells(np.array(x, t), np.array([0, 2, 4]))
     sent = pa.table({
         "bucket": pa.array([0, 0], pa.int32()), "g": pa.array([0, 1], pa.int32()), "code": cells([1, 2, 1, 3], np.uint64),
-        "weight": cells([3, 4, 2, 1], np.int64), "place": cells([10, 20, 30, 40], np.int64), "width": cells([1, 1, 1, 1], np.uint8),
+        "weight": cells([3, 4, 2, 1], np.int64), "place": cells([10, 20, 30, 40], np.uint32), "width": cells([1, 1, 1, 1], np.uint8),
     })
     told = phrases._answer(5)(sent)
-    assert packing.values_of(told.column("place"), np.int64)[0].tolist() == [10, 30] and told.column("g").to_pylist() == [0, 1]
+    assert packing.values_of(told.column("place"), np.uint32)[0].tolist() == [10, 30] and told.column("g").to_pylist() == [0, 1]
 
 
 def test_rare_parts_keep_longer_phrases_at_home():
-    table = pa.table({"lang": ["x"], "text": ["a b c a b d"], "copies": [1], "g": [0]})
+    table = pa.table({"lang": ["x"], "text": ["a b c a b d"], "g": [0]})
     words = phrases._send(1, (0, 1))(table)
     code, width = (packing.values_of(words.column(c), t)[0] for c, t in (("code", np.uint64), ("width", np.uint8)))
     assert sorted(width.tolist()) == [0, 1, 1, 1, 1]
