@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casemill import constants as K
@@ -9,7 +11,10 @@ from casemill.operators import audit, metrics, profile, runs, stats, summaries,
 from casemill.plans import detector, texts
 from casemill.plans.registry import SQL, TX, query
 from casemill.plans.reviews import TEXTS_SQL, case_texts, run_cases
+from casemill.session import shared_dir
+from casemill.sources import files
 from casemill.sources.tables import scored_transactions, transactions
+from casemill.sources.versions import VersionedLog
 
 R = F.round
 
@@ -152,10 +157,16 @@ def run_log(spark, d):
 
 @query(
     "s7_valid_runs",
-    f"WITH {RUNLOG_SQL} SELECT model, mode, level, seed, repetition, n_rows, seconds FROM runlog",
+    f"WITH {RUNLOG_SQL} SELECT model, mode, level, seed, repetition, n_rows, round(seconds, 6) AS seconds FROM runlog",
 )
 def s7_valid_runs(spark, d):
-    return run_log(spark, d).select("model", "mode", "level", "seed", "repetition", "n_rows", "seconds")
+    """The valid runs of the newest of several log files, picked by name."""
+    base = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    log = full_run_log(spark, d).select("model", "mode", "level", "seed", "repetition", "n_rows", "seconds", "error")
+    older = log.filter(F.col("model") == "m_a")
+    for name, rows in (("runs_20240131.csv", log), ("runs_20240115.csv", older), ("runs_20231231.csv", older)):
+        rows.write.option("header", True).csv(f"{base}/{name}")
+    return files.read_newest_log(spark, f"{base}/runs_*", log.schema).drop("error")
 
 
 @query(
@@ -259,7 +270,14 @@ def j6_reaudit_update(spark, d):
     )
     known = F.sequence(F.lit(1).cast("bigint"), F.lit(texts.UNIVERSE).cast("bigint"))
     new = audit.audit_reports(run_texts(spark, d).withColumn("universe", known), "text", "case_ids", "universe")
-    return audit.reaudit_update(old, new, ["run_id"]).select("run_id", "reliable", "audit", "changed")
+    # The log as it was stays readable beside the version that the new audit makes.
+    log = VersionedLog(spark, f"{shared_dir(spark)}/audits-{uuid.uuid4().hex}", ["run_id"])
+    before = log.append(old)
+    changes = audit.reaudit_update(log.read(), new, ["run_id"]).filter("changed").drop("changed")
+    after = log.update(changes, before.version)
+    was = log.read(before.version).select("run_id", F.col("reliable").alias("_was"))
+    now = log.read(after.version).join(was, "run_id")
+    return now.select("run_id", "reliable", "audit", (F.col("reliable") != F.col("_was")).alias("changed"))
 
 
 @query(

@@ -14,6 +14,7 @@ from casemill.plans.texts import _VERDICTS_SQL, _verdicts
 from casemill.session import shared_dir
 from casemill.sources import files, sinks
 from casemill.sources.tables import load, transactions
+from casemill.sources.versions import VersionedLog
 
 R = F.round
 
@@ -116,10 +117,14 @@ def s6_run_log_append(spark, d):
     log = experiments.full_run_log(spark, d).select(
         F.concat_ws("/", "model", "mode", "level", "seed", "repetition").alias("run_id"), "model", "n_rows"
     )
-    # The first half arrives, then everything: nothing may be lost or doubled.
-    sinks.append_runs(log.filter(F.col("model") == "m_a"), path)
-    sinks.append_runs(log.unionByName(log), path)
-    return spark.read.parquet(path).select("run_id", "n_rows")
+    # Two writers start from the first half: one brings everything, one the second half, and it all again.
+    first = sinks.append_runs(log.filter(F.col("model") == "m_a"), path)
+    second = sinks.append_runs(log.unionByName(log), path, base=first.version)
+    third = sinks.append_runs(log.filter(F.col("model") == "m_b"), path, base=first.version)
+    if second.conflict or not third.conflict:
+        raise RuntimeError("the second of two writers must learn of the first")
+    sinks.append_runs(log, path)
+    return VersionedLog(spark, path, ["run_id"]).read().select("run_id", "n_rows")
 
 
 @query("s8_metric_docs", f"SELECT * REPLACE ('temporal' AS split) FROM ({SQL['e8_model_table']}) WHERE split = 'test'")

@@ -84,14 +84,24 @@ def prepare_business(raw: DataFrame) -> DataFrame:
     )
 
 
+def newest_path(spark: SparkSession, pattern: str) -> str:
+    """Of the files that match, the one whose name sorts last; a folder that Spark wrote counts as one file.
+
+    Files are listed, not read: of a binary scan only the path is asked for.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path")
+    whole = F.regexp_replace("path", "/part-[^/]*$", "")
+    newest = paths.agg(F.max(F.struct(F.substring_index(whole, "/", -1).alias("name"), whole.alias("path")))).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no log matches {pattern}")
+    return newest["path"]
+
+
 def read_newest_log(spark: SparkSession, pattern: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Runs without an error from the file whose name sorts last."""
+    """Runs without an error from the log whose name sorts last; only that log is read."""
     reader = spark.read.option("header", True)
-    rows = (reader.schema(schema) if schema else reader).csv(pattern).withColumn("_f", F.col("_metadata.file_name"))
-    newest = rows.agg(F.max("_f")).scalar()
-    return rows.filter(
-        (F.col("_f") == newest) & (F.col("error").isNull() | (F.col("error") == ""))
-    ).drop("_f")
+    rows = (reader.schema(schema) if schema else reader).csv(newest_path(spark, pattern))
+    return rows.filter(F.col("error").isNull() | (F.col("error") == ""))
 
 
 def read_metric_documents(spark: SparkSession, pattern: str, split: str = "temporal") -> DataFrame:

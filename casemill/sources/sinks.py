@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.sources.versions import Commit, VersionedLog
+
 
 def write_split(df: DataFrame, path: str, split: str = "split", form: str = "csv") -> None:
     """One sub-folder per side of the split."""
@@ -26,16 +28,25 @@ def training_summary(df: DataFrame, part: str = "part", label: str = "label", am
     )
 
 
-def append_runs(runs: DataFrame, path: str, key: str = "run_id") -> None:
+def open_ledger(spark: SparkSession, path: str, run: str, schema: str) -> None:
+    """An empty first entry, so that a ledger can be read before anything is recorded."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/run={run}/epoch=-1")
+
+
+def write_ledger(rows: DataFrame, path: str, run: str, epoch: int, key: str, schema: str) -> None:
+    """Record the rows of one batch whose key no other batch of the run has recorded.
+
+    The batch owns its folder: written again after a crash, it replaces what it left there.
+    """
+    known = rows.sparkSession.read.schema(f"{schema}, epoch bigint").parquet(f"{path}/run={run}")
+    new = rows.join(known.filter(F.col("epoch") != epoch).select(key), key, "left_anti")
+    new.write.mode("overwrite").parquet(f"{path}/run={run}/epoch={epoch}")
+
+
+def append_runs(runs: DataFrame, path: str, key: str = "run_id", base: int | None = None) -> Commit:
     """Append only runs the log does not hold, so a repeated write adds nothing.
 
-    Of rows with one key in ``runs`` one is written.  Writers must take turns.
+    Of rows with one key in ``runs`` one is written.  Writers need not take turns: those that start
+    from one version ``base`` are told of each other, and no run is lost or doubled.
     """
-    spark = runs.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    new = runs.dropDuplicates([key])
-    if exists:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+    return VersionedLog(runs.sparkSession, path, [key]).append(runs, base)

@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from casemill.sources import files, sinks
+from casemill.sources.versions import VersionedLog
 
 
 def _write(path, text):
@@ -68,4 +70,58 @@ def test_append_is_idempotent(spark, tmp_path):
     more = spark.createDataFrame([("a", 9), ("b", 2)], "run_id string, v int")
     for _ in range(2):
         sinks.append_runs(more, path)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2)]
+    assert sorted(tuple(r) for r in VersionedLog(spark, path, ["run_id"]).read().collect()) == [("a", 1), ("b", 2)]
+
+
+def _rows(log, version=None):
+    return sorted(tuple(r) for r in log.read(version).select("run_id", "v").collect())
+
+
+def test_two_writers_lose_nothing_and_learn_of_each_other(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(rows, "run_id string, v int")
+    log = VersionedLog(spark, str(tmp_path / "log"), ["run_id"])
+    assert log.version() == 0
+    with pytest.raises(ValueError, match="no version"):
+        log.read()
+    start = log.append(frame(("a", 1), ("a", 1)))
+    one = log.append(frame(("a", 9), ("b", 2)), base=start.version)
+    other = log.append(frame(("b", 7), ("c", 3)), base=start.version)
+    assert (start.conflict, one.conflict, other.conflict) == (False, False, True)
+    rows = dict(_rows(log))
+    assert rows.keys() == {"a", "b", "c"} and rows["a"] == 1 and rows["b"] in (2, 7)
+    assert dict(_rows(log)) == rows and log.version() == 2
+    # One that started from an even older version learns of both.
+    assert log.append(frame(("d", 4)), base=0).conflict
+
+
+def test_an_update_leaves_earlier_versions_as_they_were(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(rows, "run_id string, v int")
+    log = VersionedLog(spark, str(tmp_path / "log"), ["run_id"])
+    log.append(frame(("a", 1), ("b", 2)))
+    second = log.update(frame(("a", 10)))
+    third = log.append(frame(("a", 99), ("c", 3)))
+    log.update(frame(("a", 11)))
+    assert (second.version, third.version, log.version()) == (2, 3, 4)
+    assert _rows(log, 1) == [("a", 1), ("b", 2)]
+    assert _rows(log, 2) == [("a", 10), ("b", 2)]
+    assert _rows(log, 3) == [("a", 10), ("b", 2), ("c", 3)]
+    assert _rows(log) == [("a", 11), ("b", 2), ("c", 3)]
+    with pytest.raises(ValueError, match="no version 9"):
+        log.read(9)
+
+
+def test_rows_of_an_unfinished_commit_are_not_seen(spark, tmp_path):
+    log = VersionedLog(spark, str(tmp_path / "log"), ["run_id"])
+    log.append(spark.createDataFrame([("a", 1)], "run_id string, v int"))
+    # A writer that died before it entered its commit.
+    spark.createDataFrame([("z", 1)], "run_id string, v int").write.parquet(f"{tmp_path}/log/data/commit=dead")
+    assert _rows(log) == [("a", 1)] and log.version() == 1
+
+
+def test_only_the_newest_log_is_read(spark, tmp_path):
+    for name, run in (("log_2.csv", "new"), ("log_1.csv", "old")):
+        spark.createDataFrame([(run, None), (run, "boom")], "modelo string, error string").repartition(2).write.option("header", True).csv(f"{tmp_path}/{name}")
+    rows = files.read_newest_log(spark, f"{tmp_path}/log_*")
+    assert [r.modelo for r in rows.collect()] == ["new"] and all("log_2" in f for f in rows.inputFiles())
+    with pytest.raises((FileNotFoundError, AnalysisException)):
+        files.read_newest_log(spark, f"{tmp_path}/none_*")

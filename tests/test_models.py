@@ -23,15 +23,54 @@ def _brute_neighbours(x, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [4096, 16])
-def test_neighbours_match_brute_force(spark, block_rows):
+@pytest.mark.parametrize("how", [{"method": "exact"}, {"method": "exact", "block_rows": 16}, {}])
+def test_neighbours_match_brute_force(spark, how):
     x = np.random.default_rng(7).normal(size=(150, 3))
     x[100:130] = x[100]  # thirty copies of one row
     df, cols = _rows(spark, x)
-    got = {r.id: r.neighbours for r in oversample.nearest_neighbours(df, "id", cols, 5, block_rows=block_rows).collect()}
+    got = {r.id: r.neighbours for r in oversample.nearest_neighbours(df, "id", cols, 5, **how).collect()}
     assert got == _brute_neighbours(x, 5)
 
 
+def _recall(x, found, rows):
+    near = ((x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T).copy()
+    near[np.arange(len(rows)), rows] = np.inf
+    true = np.argpartition(near, 5, axis=1)[:, :5]
+    return np.mean([len(set(t.tolist()) & set(found[int(i)])) / 5 for i, t in zip(rows, true)])
+
+
+def _pairs(spark, x, **how):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(8)
+    sizes = oversample.hash_buckets(df, x.shape[1], **how).groupBy("table", "bucket").count()
+    total, most, rows = sizes.agg(F.sum(F.col("count") ** 2), F.max("count"), F.sum("count")).first()
+    assert rows == len(x) * how["tables"]
+    return total, most
+
+
+def test_buckets_are_bounded_whatever_the_data(spark):
+    rng = np.random.default_rng(11)
+    normal = rng.normal(size=(4000, 6))
+    heavy = np.concatenate([normal[:2000] * 1e-3, normal[2000:] * 1e3 ** rng.random((2000, 1))])
+    for x in (normal, heavy, np.exp(4 * normal)):
+        assert _pairs(spark, x, tables=3, bucket_rows=100)[1] <= 100
+
+
+def test_compared_pairs_grow_with_the_rows(spark):
+    x = np.random.default_rng(12).normal(size=(40_000, 8))
+    few, many = (_pairs(spark, x[:n], tables=4, bucket_rows=256)[0] for n in (4_000, 40_000))
+    assert 7 < many / few < 14
+
+
+def test_hashed_neighbours_beside_exact_ones(spark):
+    rng = np.random.default_rng(13)
+    plain = rng.normal(size=(12_000, 30))
+    for x in (plain * np.linspace(2, 0.3, 30), plain):
+        df, cols = _rows(spark, x)
+        found = {r.id: r.neighbours for r in oversample.nearest_neighbours(df.repartition(8), "id", cols).collect()}
+        assert len(found) == len(x) and all(len(v) == 5 and i not in v for i, v in found.items())
+        assert _recall(x, found, rng.choice(len(x), 400, replace=False)) >= 0.95
+
+
 def test_oversampling_balances_and_interpolates(spark):
     x = np.random.default_rng(8).normal(size=(60, 2))
     df, cols = _rows(spark, x)

@@ -1,7 +1,5 @@
 """Inputs that the given tables do not hold."""
 
-import json
-
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,32 +8,42 @@ from casemill import session
 from casemill.operators import anomaly, oversample, splits, stats
 from casemill.plans.triage import Triage
 from casemill.sources import files, sinks, tables
+from casemill.sources.versions import VersionedLog
 from casemill.streaming import windows
 
 
-class _State:
-    """Enough of a group state for the update function."""
+class _Handle:
+    """Enough of a state handle for the processor: one list and its timers."""
+
+    def __init__(self):
+        self.held, self.timers = [], []
+
+    def getListState(self, *_):
+        return self
 
-    hasTimedOut = exists = False
-    held = None
+    def get(self):
+        return iter(self.held)
 
-    def update(self, value):
-        self.held = value
+    def put(self, rows):
+        self.held = list(rows)
 
-    def setTimeoutTimestamp(self, _):
-        pass
+    def clear(self):
+        self.held = []
 
-    def getCurrentWatermarkMs(self):
-        return 0
+    def registerTimer(self, at):
+        self.timers.append(at)
 
 
 def test_large_ids_survive_the_stream_state():
     big = 9007199254740993
     pdf = pd.DataFrame({"prob": [0.9, 0.9], "tx_id": [big, big + 1], "t_sec": [1.0, 2.0], "label": [1, 0]})
-    state = _State()
-    out = pd.concat(windows._keep_best(5, 0)((pd.Timestamp("2024-01-01"), 0), [pdf], state))
-    assert out["tx_id"].tolist() == [big, big + 1]
-    assert [r[1] for r in json.loads(state.held[0])] == [big, big + 1]
+    handle, keep = _Handle(), windows.KeepBest(5)
+    keep.init(handle)
+    out = pd.concat(keep.handleInputRows((3_600_000, 0), iter([pdf]), None))
+    assert out["tx_id"].tolist() == [big, big + 1] and not out["final"].any() and handle.timers == [3_600_000]
+    assert [r[1] for r in handle.held] == [big, big + 1]
+    last = pd.concat(keep.handleExpiredTimer((3_600_000, 0), None, None))
+    assert last["tx_id"].tolist() == [big, big + 1] and last["final"].all() and handle.held == []
 
 
 def test_a_data_line_is_no_header(spark, tmp_path):
@@ -63,7 +71,7 @@ def test_a_run_id_twice_in_one_call_is_written_once(spark, tmp_path):
     runs = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "run_id string, n int")
     for _ in range(2):
         sinks.append_runs(runs, f"{tmp_path}/log")
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    assert VersionedLog(spark, f"{tmp_path}/log", ["run_id"]).read().count() == 2
 
 
 def test_a_missing_time_is_named(spark):
