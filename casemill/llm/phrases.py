@@ -13,13 +13,17 @@ longer n-grams all of whose pairs are frequent; the others are never sent.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +44,46 @@ _TABLE = tokens._table([0x20, 0x09, *_BREAKS], fold=True)
 _TABLE[0] = 0x41  # NUL is part of a word; no folded byte has this value
 _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _BASE = 0xA0761D6478BD642F  # odd, so it has an inverse modulo 2^64
-_CELLS = ("code", "weight", "place", "width")
-_DTYPES = (np.uint64, np.int64, np.uint32, np.uint8)
-_ENTRY = "g int, " + ", ".join(f"{c} binary" for c in _CELLS)
+_ENTRY = "g int, codes binary, rest binary"
+_SENT = f"bucket int, {_ENTRY}"
+#: Fingerprints are cut to 48 bits: they are compared with texts in the end, so a collision costs work, not results.
+_CODE_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _WORD = rb"[^ \t.,;:!?\n-\r]+"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: what is alike comes together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(c) for c in columns))
+
+
+def _unpack(cell: bytes, *kinds: type) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8), 0, []
+    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    for k in kinds:
+        width = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(k).ravel())
+        at += n * width
+    return out
+
+
+def _pack_codes(code: np.ndarray) -> bytes:
+    """Sorted codes as their steps."""
+    return _pack(np.diff(code, prepend=np.uint64(0)))
+
+
+def _codes_of(cells: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.cumsum(_unpack(c, np.uint64)[0], dtype=np.uint64) for c in cells.to_pylist()]
+
+
+def _rest_of(cells: pa.ChunkedArray) -> list[list[np.ndarray]]:
+    """(weight, place, width) of each cell."""
+    return [_unpack(c, np.int64, np.uint32, np.uint8) for c in cells.to_pylist()]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, np.uint64)
     down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -106,7 +144,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.A
 
     def codes(at: np.ndarray, width: int) -> np.ndarray:
         raw = (prefix[at + width] - prefix[at]) * down[at]
-        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64)))
+        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64))) & _CODE_BITS
 
     if 0 in widths:
         total = np.zeros(len(salts), np.int64)
@@ -159,32 +197,39 @@ def _salts(names: pa.Array) -> np.ndarray:
     return tokens.mix(np.array(numbers, np.uint64))
 
 
+def _cut(key: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values of a sorted array."""
+    edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    return list(zip(edges, edges[1:])) if len(key) else []
+
+
 def _send(buckets: int, widths: Sequence[int]):
     """Entries of a group's n-grams, dealt to buckets."""
 
-    def run(table: pa.Table, known: np.ndarray | None = None) -> pa.Table:
-        if not table.num_rows or (known is not None and not len(known)):
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in _CELLS})
-        name, table = table.column("g")[0].as_py(), _distinct(table)
-        data, offsets = tokens.text_buffers(table.column("text"))
-        if len(data) >= 1 << 32:
-            raise ValueError("the texts of one group exceed 4 GiB: places have 32 bits")
-        lang = table.column("lang").combine_chunks()
-        found = list(_grams(data, offsets, table.column("copies").to_numpy(), lang, widths, known))
-        parts = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [np.full(len(f[0]), f[3]) for f in found]]
-        columns = [np.concatenate(p).astype(t) if p else np.zeros(0, t) for p, t in zip(parts, _DTYPES)]
-        order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
-        bucket, packed = packing.dealt(packing.bucket_of(columns[0], buckets), columns)
-        g = pa.array(np.full(len(bucket), name), pa.int32())
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "g": g} | dict(zip(_CELLS, packed)))
+    def run(table: pa.Table, known: np.ndarray) -> pa.Table:
+        rows: list[tuple] = []
+        if table.num_rows and (len(known) or min(widths) < 2):
+            name, table = table.column("g")[0].as_py(), _distinct(table)
+            data, offsets = tokens.text_buffers(table.column("text"))
+            if len(data) >= 1 << 32:
+                raise ValueError("the texts of one group exceed 4 GiB: places have 32 bits")
+            found = list(_grams(data, offsets, table.column("copies").to_numpy(), table.column("lang").combine_chunks(), widths, known))
+            if found:
+                code, weight, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+                width = np.concatenate([np.full(len(f[0]), f[3], np.uint8) for f in found])
+                order = np.argsort(code, kind="stable")
+                code, weight, place, width = code[order], weight[order], place[order].astype(np.uint32), width[order]
+                bucket = packing.bucket_of(code, buckets)
+                rows = [(int(bucket[a]), name, _pack_codes(code[a:b]), _pack(weight[a:b], place[a:b], width[a:b])) for a, b in _cut(bucket)]
+        kinds = {"bucket": pa.int32(), "g": pa.int32(), "codes": pa.binary(), "rest": pa.binary()}
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())})
 
     def words(table: pa.Table) -> pa.Table:
-        return run(table)
+        return run(table, np.zeros(0, np.uint64))
 
     def longer(table: pa.Table, answers: pa.Table) -> pa.Table:
         """The n-grams whose parts the answers name."""
-        return run(table, np.unique(packing.values_of(answers.column("code"), np.uint64)[0]))
+        return run(table, np.unique(np.concatenate([np.zeros(0, np.uint64), *_codes_of(answers.column("codes"))])))
 
     return words if min(widths) < 2 else longer
 
@@ -193,44 +238,81 @@ def _answer(least: int):
     """Which entries of a bucket belong to fingerprints whose weights add up to the least count."""
 
     def run(sent: pa.Table) -> pa.Table:
-        cuts = packing.values_of(sent.column("code"), np.uint64)[1]
-        cells = [packing.values_of(sent.column(c), t)[0] for c, t in zip(_CELLS, _DTYPES)]
-        code, weight = cells[:2]
+        codes, rest = _codes_of(sent.column("codes")), _rest_of(sent.column("rest"))
+        code, weight = np.concatenate(codes), np.concatenate([r[0] for r in rest])
         order = np.argsort(code, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
-        sizes = np.diff([*head, len(code)])
         often = np.zeros(len(code), bool)
-        often[order] = np.repeat(np.add.reduceat(weight[order], head) >= least, sizes)
-        total = np.concatenate([[0], np.cumsum(often)])[cuts]
-        some = np.flatnonzero(np.diff(total))
-        new = np.concatenate([total[some], total[-1:]]) if len(some) else np.zeros(1, np.int64)
-        g = sent.column("g").combine_chunks().take(pa.array(some, pa.int64()))
-        return pa.table({"g": g} | {c: packing.cells(x[often], new) for c, x in zip(_CELLS, cells)})
+        often[order] = np.repeat(np.add.reduceat(weight[order], head) >= least, np.diff([*head, len(code)]))
+        at, rows = 0, []
+        for g, c, r in zip(sent.column("g").to_pylist(), codes, rest):
+            mine = often[at : at + len(c)]
+            at += len(c)
+            if mine.any():
+                rows.append((g, _pack_codes(c[mine]), _pack(*[x[mine] for x in r])))
+        kinds = {"g": pa.int32(), "codes": pa.binary(), "rest": pa.binary()}
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())})
 
     return run
 
 
-def _spell(longest: int):
+def _pack_phrases(rows: list[tuple[str, bytes, int]]) -> bytes:
+    """Sorted (language, phrase, count); no phrase holds a line break."""
+    langs = sorted({r[0] for r in rows})
+    number = {name: k for k, name in enumerate(langs)}
+    head = json.dumps(langs).encode()
+    body = _planes(np.array([number[r[0]] for r in rows], np.uint32)) + _planes(np.array([r[2] for r in rows], np.int64)) + b"\n".join(r[1] for r in rows)
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", len(head), len(rows)) + head + body)
+
+
+def _unpack_phrases(cell: bytes) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(cell)
+    size, n = struct.unpack_from("<II", raw)
+    at = 8 + size
+    lang = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
+    count = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + 4 * n).reshape(8, n).T).view(np.int64).ravel()
+    return json.loads(raw[8:at]), lang, count, raw[at + 12 * n :].split(b"\n")
+
+
+def _spell(longest: int, buckets: int):
+    """Cut the phrases out of a group's texts at the places told, and count them by their words."""
     patterns = [re.compile(b"")] + [re.compile(_WORD + rb"(?:[ \t]+" + _WORD + rb"){%d}" % (k - 1)) for k in range(1, longest + 1)]
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found: dict[tuple[str, int, bytes], int] = {}
+        found: dict[tuple[str, bytes], int] = {}
         if answers.num_rows and table.num_rows:
             table = _distinct(table)
             data, offsets = tokens.text_buffers(table.column("text"))
-            raw = data.tobytes()
-            langs = table.column("lang").to_pylist()
-            weight, place, width = (packing.values_of(answers.column(c), t)[0] for c, t in list(zip(_CELLS, _DTYPES))[1:])
+            raw, langs = data.tobytes(), table.column("lang").to_pylist()
+            weight, place, width = (np.concatenate(x) for x in zip(*_rest_of(answers.column("rest"))))
             text = np.searchsorted(offsets, place, "right") - 1
-            stop = offsets[text + 1]
-            for n, at, k, row, end in zip(*[x.tolist() for x in (weight, place, width, text, stop)]):
-                words = patterns[k].match(raw, at, end).group().lower().split()
-                key = (langs[row], k, b" ".join(words))
+            for n, at, k, row, end in zip(*[x.tolist() for x in (weight, place, width, text, offsets[text + 1])]):
+                key = (langs[row], b" ".join(patterns[k].match(raw, at, end).group().lower().split()))
                 found[key] = found.get(key, 0) + n
+        dealt: dict[int, list] = {}
+        for (lang, phrase), n in sorted(found.items()):
+            dealt.setdefault(zlib.crc32(phrase) * buckets >> 32, []).append((lang, phrase, n))
+        return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "phrases": pa.array([_pack_phrases(r) for r in dealt.values()], pa.binary())})
+
+    return run
+
+
+def _merge(least: int):
+    """Add up the counts of a bucket's phrases; those that reach the least count are materialised."""
+
+    def run(told: pa.Table) -> pa.Table:
+        parts = []
+        for cell in told.column("phrases").to_pylist():
+            langs, lang, count, texts = _unpack_phrases(cell)
+            names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
+            parts.append(pa.table({"lang": names, "phrase": pa.array(texts, pa.binary()), "f": pa.array(count)}))
+        total = pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        often = total.filter(pc.greater_equal(total.column("f_sum"), least))
+        texts = often.column("phrase").to_pylist()
         return pa.table(
             {
-                "lang": pa.array([k[0] for k in found], pa.string()), "width": pa.array([k[1] for k in found], pa.int32()),
-                "phrase": pa.array([k[2].decode() for k in found], pa.string()), "f": pa.array(list(found.values()), pa.int64()),
+                "lang": often.column("lang"), "width": pa.array([p.count(b" ") + 1 if p else 0 for p in texts], pa.int32()),
+                "phrase": pa.array([p.decode() for p in texts], pa.string()), "f": often.column("f_sum"),
             }
         )
 
@@ -259,14 +341,14 @@ def frequent_phrases(
     def told(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(_answer(least), _ENTRY)
 
-    answers = [told(texts.applyInArrow(_send(buckets, (0, 1)), "bucket int, " + _ENTRY))]
+    answers = [told(texts.applyInArrow(_send(buckets, (0, 1)), _SENT))]
     for widths in ((2,), tuple(range(3, longest + 1))):
         if widths and widths[0] <= longest:
-            parts = answers[-1].select("g", "code").groupBy("g")
-            answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths), "bucket int, " + _ENTRY)))
-    places = reduce(DataFrame.unionByName, [a.drop("code") for a in answers])
-    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(longest), "lang string, width int, phrase string, f long")
-    return spelled.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+            parts = answers[-1].select("g", "codes").groupBy("g")
+            answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths), _SENT)))
+    places = reduce(DataFrame.unionByName, [a.select("g", "rest") for a in answers])
+    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(longest, buckets), "bucket int, phrases binary")
+    return spelled.groupBy("bucket").applyInArrow(_merge(least), "lang string, width int, phrase string, f long")
 
 
 def _part(words: Column, start: int | Column, size: int | Column) -> Column:
