@@ -1,14 +1,16 @@
-"""Approximate nearest neighbours by a robust-pruned directed graph per shard.
+"""Approximate nearest neighbours by robust-pruned directed graphs.
 
 Rows are dealt to shards of about ``shard_rows`` by a hash of their id, so that equal vectors
-spread over all shards; inside a shard equal vectors are one node.  Nodes join the graph in
-batches: each is searched for greedily from the entry points, what the search passed becomes
-its candidates, and of these it keeps the nearest that no kept one covers: c is covered by p
-if ``alpha x d(p, c) <= d(node, c)``.  Vectors much longer or shorter than the shard's median
-would hide the others from each other; they are left out of the graph and scored one by one.
-Kept edges are also offered in reverse; a list that
-outgrows its room is pruned the same way.  Queries walk every shard with a beam, in blocks; the
-best of all shards are ranked by the exact product of the original vectors.
+spread over all shards; inside a shard equal vectors are one node.  Nodes are cut into bands of
+similar norm, and each band is a graph of unit vectors: where norms hardly differ, the largest
+product is the nearest direction.  Nodes of bands too small for a graph are scored one by one.
+Nodes join a graph in batches: each is searched for greedily from the entry points, what the
+search passed becomes its candidates, and of these it keeps the nearest that no kept one covers:
+c is covered by p if ``alpha x d(p, c) <= d(node, c)``.  Kept edges are also offered in reverse;
+a list that outgrows its room is pruned the same way.  Nodes that no entry point reaches in the
+end become entry points.  Queries walk every shard with a beam, in blocks, band after band from
+the longest, and leave out bands whose norm cannot make a product large enough; the best of all
+shards are ranked by the exact product of the original vectors.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ BUILD_BEAM = 48
 ALPHA = 1.2
 SHARD_ROWS = 16384
 QUERY_BLOCK = 16384
-#: Nodes within this factor of the median norm are in the graph; single precision tells those apart.
-NORM_RANGE = 8.0
+#: Norms of a band differ by less than this factor; bands of fewer nodes have no graph.
+BAND_RATIO = 1.2
+BAND_LEAST = 64
+#: Nodes among which a walk looks for a start, and how many of them it starts from.
+ENTRIES = 256
+STARTS = 16
 _BATCH = 512
 _OPEN = 4
 _PRUNED = 128
@@ -36,17 +42,18 @@ _PRUNED = 128
 def _beam(vectors: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int, passed: bool = False):
     """Beam search of many queries at once, by product; a step opens ``_OPEN`` nodes each.
 
-    All ``vectors`` have one norm, so the largest product is the least distance.  Returns nodes (-1 where none) and distances, nearest first; with ``passed`` all nodes
-    whose edges were looked at, as well.
+    All ``vectors`` have one norm, so the largest product is the least distance.  Returns nodes (-1
+    where none) and distances, nearest first; with ``passed`` all nodes whose edges were looked at, as well.
     """
     b, n = len(queries), len(vectors)
     seen = np.zeros((b, n + 1), np.int16)  # 0, or one plus the place that met the node; index -1 marks the spare column
     at = np.full((b, width), -1, np.int32)
     dist = np.full((b, width), np.inf, np.float32)
-    first = entry[:width]
-    at[:, : len(first)] = first
-    dist[:, : len(first)] = -(queries @ vectors[first].T)
-    seen[:, first] = 1
+    far, starts = -(queries @ vectors[entry].T), min(len(entry), STARTS, width)
+    first = np.argpartition(far, starts - 1, 1)[:, :starts]
+    at[:, :starts] = entry[first]
+    dist[:, :starts] = np.take_along_axis(far, first, 1)
+    seen[np.arange(b)[:, None], at[:, :starts]] = 1
     done = at < 0
     places = np.arange(1, _OPEN * edges.shape[1] + 1, dtype=np.int16)
     opened = []
@@ -150,13 +157,26 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
     return np.ascontiguousarray(edges[:, :degree])
 
 
-def entry_points(vectors: np.ndarray, extra: int = 7) -> np.ndarray:
-    """The node nearest to the mean, and a few spread over the rows; all nodes of a small shard."""
-    n = len(vectors)
-    if n <= DEGREE:
-        return np.arange(n)
+def entry_points(vectors: np.ndarray, most: int = ENTRIES) -> np.ndarray:
+    """The node nearest to the mean, and others spread over the rows."""
     medoid = int(np.argmin(((vectors - vectors.mean(0)) ** 2).sum(1)))
-    return np.unique(np.append(np.linspace(0, n - 1, extra).astype(np.int64), medoid))
+    return np.unique(np.append(np.linspace(0, len(vectors) - 1, most).astype(np.int64), medoid))
+
+
+def with_unreached(edges: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """The entry points, and more of them until every node can be reached from one."""
+    reached = np.zeros(len(edges), bool)
+    new, more = entry, []
+    while True:
+        while len(new):
+            reached[new] = True
+            new = np.unique(edges[new])
+            new = new[(new >= 0) & ~reached[new]]
+        rest = np.flatnonzero(~reached)
+        if not len(rest):
+            return np.concatenate([entry, np.array(more, np.int64)])
+        more.append(rest[0])
+        new = rest[:1]
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -166,11 +186,20 @@ def _norms(x: np.ndarray) -> np.ndarray:
         return np.minimum(most * np.sqrt(((x / most[:, None]) ** 2).sum(1)), np.finfo(np.float64).max)
 
 
-def _lifted(nodes: np.ndarray) -> np.ndarray:
-    """Nodes over their largest norm, and one coordinate more that makes all norms one: the
-    largest product becomes the smallest distance."""
-    x = nodes / _norms(nodes).max()
-    return np.concatenate([x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))[:, None]], 1).astype(np.float32)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return (x / np.sqrt((x**2).sum(1))[:, None]).astype(np.float32)
+
+
+def norm_bands(norm: np.ndarray, ratio: float = BAND_RATIO, least: int = BAND_LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the nodes, and where its bands start and end: longest first, and at the end the
+    nodes of bands with fewer than ``least`` nodes.  Norms that differ by rounding share a band."""
+    level = np.floor((np.log(norm.max()) - np.log(norm)) / np.log(ratio) + 1e-9).astype(np.int64)
+    names, level, count = np.unique(level, return_inverse=True, return_counts=True)
+    small = count < least
+    rank = np.where(small, len(names), np.arange(len(names)))
+    order = np.argsort(rank[level], kind="stable")
+    return order, np.concatenate([[0], np.cumsum(count[~small])])
 
 
 def _index(top: int, degree: int, beam: int, alpha: float):
@@ -179,21 +208,24 @@ def _index(top: int, degree: int, beam: int, alpha: float):
         x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
         nodes, member = np.unique(x[order], axis=0, return_inverse=True)
-        norm = _norms(nodes)
-        middle = np.sort(norm)[len(norm) // 2]
-        apart = (norm / NORM_RANGE > middle) | (norm < middle / NORM_RANGE)
-        first = np.argsort(apart, kind="stable")  # nodes of the graph, then the others
-        nodes, member = nodes[first], np.argsort(first)[member.ravel()]
+        placed, bands = norm_bands(_norms(nodes))
+        nodes, member = nodes[placed], np.argsort(placed)[member.ravel()]
         by = np.argsort(member, kind="stable")  # ids stay in order inside a node
         start = np.searchsorted(member[by], np.arange(len(nodes)))
         rank = np.arange(len(by)) - start[member[by]]
         held = by[rank <= top]  # a query needs no more of equal vectors, itself aside
-        edges = build_graph(_lifted(nodes[: len(nodes) - apart.sum()]), degree, beam, alpha)
+        graphs, entries = [np.zeros((0, degree), np.int32)], []
+        for a, b in zip(bands, bands[1:]):
+            unit = _unit(nodes[a:b])
+            graphs.append(build_graph(unit, degree, beam, alpha))
+            entries.append(with_unreached(graphs[-1], entry_points(unit)).tolist())
         return pa.table(
             {
                 "shard": table.column("shard").slice(0, 1),
                 "nodes": pa.array([nodes.astype(np.float64).tobytes()], pa.binary()),
-                "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
+                "bands": pa.array([bands.tolist()], pa.list_(pa.int64())),
+                "edges": pa.array([np.concatenate(graphs).astype(np.int32).tobytes()], pa.binary()),
+                "entries": pa.array([entries], pa.list_(pa.list_(pa.int64()))),
                 "ids": pa.array([ids[order][held].tobytes()], pa.binary()),
                 "member": pa.array([member[held].astype(np.int32).tobytes()], pa.binary()),
             }
@@ -202,6 +234,7 @@ def _index(top: int, degree: int, beam: int, alpha: float):
     return run
 
 
+_SHARD = "shard int, nodes binary, bands array<long>, edges binary, entries array<array<long>>, ids binary, member binary"
 _HITS = "query_id long, vec_id long, score double"
 
 
@@ -214,23 +247,42 @@ def _search(dim: int, degree: int, top: int, beam: int):
         edges = cell("edges", np.int32).reshape(-1, degree)
         ids, member = cell("ids", np.int64), cell("member", np.int32)
         first = np.searchsorted(member, np.arange(len(nodes) + 1))
-        lifted = _lifted(nodes[: len(edges)])
-        apart = nodes[len(edges) :]
-        entry = entry_points(lifted)
+        bands = shard.column("bands")[0].as_py()
+        parts = [
+            (a, _unit(nodes[a:b]), _norms(nodes[a:b]).max(), edges[a:b], np.array(entry))
+            for a, b, entry in zip(bands, bands[1:], shard.column("entries")[0].as_py())
+        ]
+        apart = nodes[bands[-1] :]
         own = queries.column("vec_id").to_numpy()
         q = queries.column("v").combine_chunks().flatten().to_numpy().reshape(len(own), dim)
         out = []
         for at in range(0, len(own), _BATCH):
             part = q[at : at + _BATCH]
-            flat = np.concatenate([part / _norms(part)[:, None], np.zeros((len(part), 1))], 1).astype(np.float32)
-            found, _ = _beam(lifted, edges, entry, flat, beam)
-            row, col = np.nonzero(found >= 0)
-            node = found[row, col]
+            flat, size = _unit(part), _norms(part)
+            rows, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            # The products that a further node must reach: one more than asked for, since the query may be among them.
+            best = np.full((len(part), top + 1), -np.inf)
             if len(apart):
                 exact = part @ apart.T
                 least = np.partition(exact, -(top + 1), 1)[:, [-(top + 1)]] if len(apart) > top + 1 else -np.inf  # ties stay
-                more, col = np.nonzero(exact >= least)
-                row, node = np.concatenate([row, more]), np.concatenate([node, len(edges) + col])
+                row, col = np.nonzero(exact >= least)
+                rows.append(row)
+                met.append(bands[-1] + col)
+                best = np.partition(np.concatenate([best, exact], 1), -(top + 1), 1)[:, -(top + 1) :]
+            for start, unit, longest, graph, entry in parts:
+                with np.errstate(over="ignore"):
+                    open_ = np.flatnonzero(longest * size * (1 + 1e-12) >= best.min(1))
+                if not len(open_):
+                    continue
+                found, _ = _beam(unit, graph, entry, flat[open_], beam)
+                row, col = np.nonzero(found >= 0)
+                node = start + found[row, col]
+                rows.append(open_[row])
+                met.append(node)
+                exact = np.full(found.shape, -np.inf)
+                exact[row, col] = np.einsum("nd,nd->n", part[open_[row]], nodes[node])
+                best[open_] = np.partition(np.concatenate([best[open_], exact], 1), -(top + 1), 1)[:, -(top + 1) :]
+            row, node = np.concatenate(rows), np.concatenate(met)
             count = first[node + 1] - first[node]
             pick = np.repeat(first[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             score = np.repeat(np.einsum("nd,nd->n", part[row], nodes[node]), count)
@@ -276,7 +328,7 @@ def nearest(
     shards, blocks = max(1, ceil(n / shard_rows)), max(1, ceil(asked / query_block))
     x = x.filter(F.size("v") == dim)
     index = x.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v").groupBy("shard").applyInArrow(
-        _index(top, degree, build_beam, alpha), "shard int, nodes binary, edges binary, ids binary, member binary"
+        _index(top, degree, build_beam, alpha), _SHARD
     )
     # Every block of the stated queries meets every shard.
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -325,6 +325,46 @@ def test_ann_recall_beside_outliers_of_norm(spark):
         assert np.mean([len(found[q] & {i for _, i in best}) / 20 for q, best in wanted.items()]) >= 0.95
 
 
+def _ann_set(name):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000 if name == "gaussian, two shards" else 6000, 64))
+    if name == "log-normal norms":
+        x *= np.exp(0.6 * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1)[:, None]
+    if name == "tight clusters":
+        x = (rng.normal(size=(60, 1, 64)) + 0.05 * rng.normal(size=(60, 100, 64))).reshape(-1, 64)
+    return x
+
+
+@pytest.mark.parametrize("name", ["gaussian", "gaussian, two shards", "log-normal norms", "tight clusters"])
+def test_ann_recall_of_vectors_of_differing_norms(spark, name):
+    x = _ann_set(name)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(found[q] & set(np.argpartition(-score, 20)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.5
+
+
+def test_bands_hold_all_nodes_and_similar_norms():
+    norm = np.concatenate([np.full(500, 1.0), np.full(300, 1 - 1e-16), np.linspace(3, 9, 700), [1e-300, 1e250, 55.0]])
+    order, bands = ann.norm_bands(norm)
+    assert sorted(order.tolist()) == list(range(len(norm))) and bands[0] == 0
+    for a, b in zip(bands, bands[1:]):
+        part = norm[order[a:b]]
+        assert len(part) >= ann.BAND_LEAST and part.max() / part.min() <= ann.BAND_RATIO * (1 + 1e-9)
+    assert {1e-300, 1e250, 55.0} <= set(norm[order[bands[-1] :]].tolist())
+
+
+def test_unreached_nodes_become_entry_points():
+    edges = np.array([[1, -1], [0, -1], [3, -1], [-1, -1], [2, -1]])
+    assert ann.with_unreached(edges, np.array([0])).tolist() == [0, 2, 4]
+
+
 def test_pruning_keeps_diverse_neighbours():
     line = np.array([[0.0, 0], [1, 0], [2, 0], [0, 1.5], [0, 3]], np.float32)
     kept = ann._prune(line, np.array([0]), np.array([[1, 2, 3, 4, 0, 1]]), 4, 1.0)
