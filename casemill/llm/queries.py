@@ -125,12 +125,11 @@ MIX_WEIGHTS, MIX_SHARE, MIX_MOST, MIX_SEED = (5, 2, 1), 1.5, 2, 17
 
 
 def mix_sql(seed: int = MIX_SEED) -> str:
-    """Rows (doc_id, ..., copies) of the mix of a table ``documents``, as the body of a query."""
+    """Rows (doc_id, ..., copies) of the mix of a table ``documents`` with distinct ids, as the body of a query."""
     u = f"(CAST(('0x' || substr(md5('{seed}:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296e0)"
     return rf"""
-d AS (
-  SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         {u} / (1 - {u}) / 1e0 AS rank FROM documents),
+d0 AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, {u} AS u FROM documents),
+d AS (SELECT *, least(63, CAST(floor(64 * size / CAST(size + 100 AS DOUBLE)) AS BIGINT)) + 1 AS k FROM d0),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w
@@ -143,14 +142,25 @@ f AS (
 l AS (SELECT first(level ORDER BY fill, source NULLS LAST) AS level FROM f WHERE level * w <= source_size * 2),
 t AS (
   SELECT source, source_size, least(coalesce((SELECT level FROM l) * w, 'Infinity'), source_size * 2e0) AS target FROM f),
+c AS (
+  SELECT d.source, k, CAST(sum(size) AS BIGINT) AS words, any_value(target) AS target
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, k),
+y AS (
+  SELECT *, target - coalesce(sum(words) OVER higher, 0) * 2 AS rest,
+         sum(words * k) OVER (PARTITION BY source) - coalesce(sum(words * k) OVER higher, 0) AS weighed
+  FROM c WINDOW higher AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, CASE WHEN weighed > 0 THEN rest / CAST(weighed AS DOUBLE) ELSE 0e0 END AS try FROM y),
+v AS (SELECT source, coalesce(arg_max(try, k) FILTER (try * k <= 2), 2e0) AS level FROM z GROUP BY source),
+x AS (
+  SELECT d.*, source_size, target, least(2e0, level * k) AS expected FROM d
+  JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+q AS (
+  SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS part,
+         target - sum(floor(expected) * size) OVER (PARTITION BY source) AS rest FROM x),
 r AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-m AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(whole AS BIGINT)
-         + CAST(target - whole * source_size > 0 AND earlier + size / 2e0 <= target - whole * source_size AS BIGINT) ELSE 0 END AS copies
-  FROM r)"""
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN part > 0 THEN u / (1 - u) / (part / (1 - part)) ELSE 'Infinity' END, doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q),
+m AS (SELECT *, CASE WHEN source_size > 0 THEN whole + CAST(rest > 0 AND earlier + size / 2e0 <= rest AS BIGINT) ELSE 0 END AS copies FROM r)"""
 
 
 def mixed(docs: DataFrame) -> DataFrame:

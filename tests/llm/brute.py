@@ -133,20 +133,38 @@ def mixed(docs, weights=(5, 2, 1), share=1.5, most=2, seed=17):
         open_ -= over
     rows = []
     for s in names:
-        whole = int(target[s] // size[s]) if size[s] else 0
-        rest, so_far = target[s] - whole * size[s], 0
+        mine = [r for r in sized if r[2] == s]
+        expected = expected_copies([r[1] for r in mine], target[s], most)
+        rest, so_far = target[s] - sum(int(e) * r[1] for e, r in zip(expected, mine)), 0
 
-        def rank(r):
-            u = int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:8], 16) / 2**32
-            return (u / (1 - u), r[0])
+        def rank(pair):
+            (i, _, _), e = pair
+            u, part = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) / 2**32, e - int(e)
+            return (u / (1 - u) / (part / (1 - part)) if part > 0 else float("inf"), i)
 
-        for r in sorted((r for r in sized if r[2] == s), key=rank):
+        for r, e in sorted(zip(mine, expected), key=rank):
             more = rest > 0 and so_far + r[1] / 2 <= rest
             so_far += r[1]
-            rows.append((r[0], r[1], (whole + more) if size[s] else 0))
+            rows.append((r[0], r[1], (int(e) + more) if size[s] else 0))
     return {s: (size[s], target[s]) for s in names}, rows
 
 
+def expected_copies(sizes, target, most=2):
+    """min(most, level x class) for each size; the level is found by filling classes from the top."""
+    classes = [min(63, 64 * n // (n + 100)) + 1 for n in sizes]
+    full = set()
+    while True:
+        left = target - most * sum(n for n, k in zip(sizes, classes) if k in full)
+        weight = sum(n * k for n, k in zip(sizes, classes) if k not in full)
+        level = left / weight if weight else 0.0
+        top = max((k for k in classes if k not in full), default=None)
+        if top is None:
+            return [float(most)] * len(sizes)
+        if level * top <= most:
+            return [min(float(most), level * k) for k in classes]
+        full.add(top)
+
+
 def nearest(vectors, queries, top=20):
     """vectors: {id: list}.  {query: [(score, id)]} nearest first."""
     ids = sorted(vectors)

@@ -157,16 +157,45 @@ def test_mixing(spark, sample_docs, no_docs):
     assert all(r["_taken"] <= 2 * r["_size"] for r in loose)
 
 
+def _by_source(df, cuts_of=(5, 2, 1), share=1.5):
+    got = mixing.with_copies(df, mixing.mixing_cuts(df, cuts_of, share))
+    return got, got.groupBy("source").agg(F.sum("_taken").alias("t"), F.first("_target").alias("g"), F.max("_size").alias("m")).collect()
+
+
 def test_mixing_reaches_targets(spark, folder):
     df = spark.read.parquet(f"{folder}/documents.parquet")
-    got = mixing.with_copies(df, mixing.mixing_cuts(df, (5, 2, 1), 1.5))
-    sums = got.groupBy("source").agg(F.sum("_taken").alias("t"), F.first("_target").alias("g"), F.max("_size").alias("m")).collect()
+    sums = _by_source(df)[1]
     assert sums and all(abs(r["t"] - r["g"]) <= r["m"] / 2 + 1 for r in sums)
-    # a preference of a thousandth leaves such documents for last
-    liked = df.withColumn("p", F.when(F.col("doc_id") % 40 < 20, 1.0).otherwise(1e-3))
-    cut = mixing.with_copies(liked, mixing.mixing_cuts(liked, (1,), 0.3, preference="p"), preference="p")
-    kept = {r["e"]: r["c"] for r in cut.groupBy((F.col("doc_id") % 40 < 20).alias("e")).agg(F.avg("_copies").alias("c")).collect()}
-    assert kept[True] > 3 * kept[False]
+
+
+def test_mixing_splits_blocks_of_equal_rows(spark, tmp_path):
+    text = F.concat_ws(" ", F.array_repeat(F.lit("w"), 10))
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), text.alias("text"), F.lit("a").alias("source"))
+    others = spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    nameless = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", text, F.col("id") % 900).alias("text"), F.lit("c").alias("source"))
+    copies.union(others).union(nameless).repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for share in (0.1, 0.75, 1.5):
+        got, sums = _by_source(df, share=share)
+        assert len(sums) == 3 and all(abs(r["t"] - r["g"]) <= r["m"] for r in sums), sums
+    taken = got.select("doc_id", "_copies").filter("doc_id = 7").groupBy("_copies").count().collect()
+    assert sum(r["count"] for r in taken) == 100_000
+    # Every copy of a text has the same expectation, so the counts of copies differ by one at most.
+    assert max(r["_copies"] for r in taken) - min(r["_copies"] for r in taken) <= 1
+
+
+def test_inclusion_follows_the_measure(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (4, 30, 100, 400)[i % 4]), "s") for i in range(20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for share in (0.2, 0.9, 1.3):
+        got, sums = _by_source(df, (1,), share)
+        assert abs(sums[0]["t"] - sums[0]["g"]) <= 200
+        expected = brute.expected_copies([len(t.split()) for _, t, _ in rows[:4]] * 5000, sums[0]["g"])[:4]
+        mean = {r["_size"]: r["c"] for r in got.groupBy("_size").agg(F.avg("_copies").alias("c")).collect()}
+        for n, e in zip((4, 30, 100, 400), expected):
+            assert abs(mean[n] - e) < 0.03
+        assert share > 1 or mean[4] < mean[30] < mean[100] < mean[400]
 
 
 URLS = [
