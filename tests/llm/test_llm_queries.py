@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import brute
 import corpus_pipeline
@@ -17,7 +19,7 @@ def test_matches_sql(spark, folder, name):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
 
 
@@ -66,3 +68,17 @@ def test_pipeline_on_awkward_rows(spark, sample_docs, no_docs, folder):
             docs = stage(spark, docs, folder)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.count() >= 0
+
+
+def test_near_copies_go_whatever_their_ids(spark, folder, sample_docs):
+    """Texts that share an id or have none; of each class one row stays."""
+    words = [f"word{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(w[::-1] for w in words)
+    near = b.replace("1drow", "other", 1)
+    rows = [(5, a), (5, b), (3, near), (None, b), (None, b), (5, a.upper()), (7, None), (8, None), (8, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("id", F.lit(2))
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, folder).collect()), key=str)
+    linked = [r for r in kept if r[1]]
+    assert len(linked) == 2 and (3, near) in linked and linked[0 if linked[0][0] == 5 else 1][1].lower() == a
+    assert sorted((r for r in kept if not r[1]), key=str) == sorted([(7, None), (8, None), (9, ""), (None, None)], key=str)
