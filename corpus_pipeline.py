@@ -20,34 +20,50 @@ SHARDS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told by a clear margin; texts without a letter go."""
+    """Documents whose language is told by a clear margin; texts without a letter, null and empty ones go.
+
+    Repeated rows stay or go together; an empty table stays empty; columns of any name are kept.
+    """
     known = learn_dictionaries(docs.filter(F.col("doc_id").isNotNull()))
     judged = predict_language(docs, known, carry=docs.columns)
     return judged.filter(~F.col(free_name("rejected", docs.columns))).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id.
+    """One row of each class of linked texts: that with the smallest id, ids before nulls.
 
-    Of rows that repeat an id and text one stays.  Documents without an id are not compared
-    and stay.
+    Rows are told apart by their id and text together, so texts that share an id, or have none, are
+    compared like all others; of rows that repeat both, one stays.  Rows without words are linked to
+    nothing.  An empty table stays empty; columns of any name are kept.
     """
-    kept = near_duplicates(docs).filter(F.col("id") == F.col("class_id")).select(F.col("id").alias("doc_id")).distinct()
-    rest = [F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")]
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*rest)
-    row = free_name("row", docs.columns)
-    named = docs.join(kept, "doc_id", "left_semi").withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    row, first = free_name("row", docs.columns), free_name("first", docs.columns)
+    # Null and empty differ; a hash skips nulls by itself.
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    found = near_duplicates(keyed, doc_id=row).select("id", "class_id").distinct()
+    names = keyed.select(F.col(row).alias("id"), "doc_id").distinct()
+    best = found.join(names, "id").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"].alias(row))
+    rest = [F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy(row).orderBy(*rest, F.lit(0))
+    kept = keyed.join(best.select(row), row, "left_semi").withColumn(first, F.row_number().over(one)).filter(F.col(first) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; an empty table stays empty.
+    """
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
     return found.filter(F.col(free_name("n_hit", docs.columns)) == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    ``docs`` is a table that the stage before has written.  Null and empty texts have no size and are taken
+    as often as their class says; of equal rows as many are taken as fit the target of their source; a null
+    source is one of its own; an empty table stays empty.
+    """
     mixed = with_copies(docs, mixing_cuts(docs, WEIGHTS, SHARE, MOST, seed=SEED), seed=SEED)
     copies = F.col(free_name("_copies", docs.columns)).cast("int")
     copy = free_name("copy", docs.columns)
