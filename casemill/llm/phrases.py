@@ -14,9 +14,7 @@ longer n-grams all of whose pairs are frequent; the others are never sent.
 from __future__ import annotations
 
 import json
-import re
 import struct
-import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,9 +44,9 @@ _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _BASE = 0xA0761D6478BD642F  # odd, so it has an inverse modulo 2^64
 _ENTRY = "g int, codes binary, rest binary"
 _SENT = f"bucket int, {_ENTRY}"
-#: Fingerprints are cut to 48 bits: they are compared with texts in the end, so a collision costs work, not results.
-_CODE_BITS = np.uint64(0xFFFFFFFFFFFF0000)
-_WORD = rb"[^ \t.,;:!?\n-\r]+"
+#: Bits of a fingerprint beyond those of the number of bytes of all texts.  Phrases are compared as texts in
+#: the end, so a collision costs work, not results; with these bits one n-gram in a thousand meets another.
+SPARE_BITS = 10
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -126,7 +124,7 @@ def room_of(data: np.ndarray, words: tokens.Words) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.Array, widths: Sequence[int], known: np.ndarray):
+def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.Array, widths: Sequence[int], known: np.ndarray, bits: int = 64):
     """(code, weight, place, width) of the distinct n-grams of the given widths in a group of texts.
 
     Width 0 stands for the empty phrase, once per word, so that all words of a language are counted;
@@ -139,12 +137,13 @@ def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.A
     room, text, named = room_of(data, words), words.doc, lang.dictionary_encode()
     language = named.indices.to_numpy()[text]
     mine, salts = weight[text], _salts(named.dictionary)
+    cut = np.uint64((1 << 64) - (1 << 64 - bits))
     up, down = _powers(n + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.code * up[:n])])
 
     def codes(at: np.ndarray, width: int) -> np.ndarray:
         raw = (prefix[at + width] - prefix[at]) * down[at]
-        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64))) & _CODE_BITS
+        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64))) & cut
 
     if 0 in widths:
         total = np.zeros(len(salts), np.int64)
@@ -203,7 +202,7 @@ def _cut(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:])) if len(key) else []
 
 
-def _send(buckets: int, widths: Sequence[int]):
+def _send(buckets: int, widths: Sequence[int], bits: int = 64):
     """Entries of a group's n-grams, dealt to buckets."""
 
     def run(table: pa.Table, known: np.ndarray) -> pa.Table:
@@ -213,7 +212,7 @@ def _send(buckets: int, widths: Sequence[int]):
             data, offsets = tokens.text_buffers(table.column("text"))
             if len(data) >= 1 << 32:
                 raise ValueError("the texts of one group exceed 4 GiB: places have 32 bits")
-            found = list(_grams(data, offsets, table.column("copies").to_numpy(), table.column("lang").combine_chunks(), widths, known))
+            found = list(_grams(data, offsets, table.column("copies").to_numpy(), table.column("lang").combine_chunks(), widths, known, bits))
             if found:
                 code, weight, place = (np.concatenate([f[k] for f in found]) for k in range(3))
                 width = np.concatenate([np.full(len(f[0]), f[3], np.uint8) for f in found])
@@ -256,43 +255,78 @@ def _answer(least: int):
     return run
 
 
-def _pack_phrases(rows: list[tuple[str, bytes, int]]) -> bytes:
-    """Sorted (language, phrase, count); no phrase holds a line break."""
-    langs = sorted({r[0] for r in rows})
-    number = {name: k for k, name in enumerate(langs)}
+def _joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Slices of bytes, each with a line break behind it, as one binary column; no phrase holds one."""
+    ends = np.cumsum(size + 1)
+    along = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - 1, size + 1)
+    out = data[np.minimum(np.repeat(start, size + 1) + along, len(data) - 1)]
+    out[ends - 1] = 0x0A
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(out)])
+
+
+def _phrases_at(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The folded words at each place, joined by single spaces, and a fingerprint of them."""
+    words = tokens.find_words(data, offsets, _TABLE)
+    at = np.searchsorted(words.start, place)
+    letters = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    tabs = np.concatenate([[0], np.cumsum(data == 0x09)])
+    stop = np.where(width > 0, words.end[at + np.maximum(width, 1) - 1], place)
+    size = letters[at + width] - letters[at] + np.maximum(width, 1) - 1
+    # Most stand in the text as they are written out; runs of spaces and tabs become one space first.
+    loose = np.flatnonzero((stop - place != size) | (tabs[stop] > tabs[place]))
+    folded = np.where((data >= 0x41) & (data <= 0x5A), data + 0x20, data).astype(np.uint8)
+    start = place.astype(np.int64)
+    if len(loose):
+        tidy = [b" ".join(folded[a:b].tobytes().split(None)) for a, b in zip(place[loose].tolist(), stop[loose].tolist())]
+        start[loose] = len(folded) + np.concatenate([[0], np.cumsum([len(t) for t in tidy])[:-1]])
+        folded = np.concatenate([folded, np.frombuffer(b"".join(tidy), np.uint8)])
+    mark = np.zeros(len(place), np.uint64)
+    for j in range(int(width.max(initial=0))):
+        more = width > j
+        mark[more] = mark[more] * np.uint64(_BASE) + words.code[at[more] + j]
+    return _joined(folded, start, size), tokens.mix(mark)
+
+
+def _pack_phrases(langs: list[str], lang: np.ndarray, count: np.ndarray, lines: bytes) -> bytes:
     head = json.dumps(langs).encode()
-    body = _planes(np.array([number[r[0]] for r in rows], np.uint32)) + _planes(np.array([r[2] for r in rows], np.int64)) + b"\n".join(r[1] for r in rows)
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", len(head), len(rows)) + head + body)
+    body = _planes(lang.astype(np.uint32)) + _planes(count.astype(np.int64)) + lines
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", len(head), len(lang)) + head + body)
 
 
-def _unpack_phrases(cell: bytes) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
+def _unpack_phrases(cell: bytes) -> pa.Table:
+    """(lang, phrase with its line break, f)."""
     raw = zstandard.ZstdDecompressor().decompress(cell)
     size, n = struct.unpack_from("<II", raw)
     at = 8 + size
-    lang = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
+    lang = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel()
     count = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + 4 * n).reshape(8, n).T).view(np.int64).ravel()
-    return json.loads(raw[8:at]), lang, count, raw[at + 12 * n :].split(b"\n")
+    lines = np.frombuffer(raw, np.uint8, offset=at + 12 * n)
+    ends = np.concatenate([[0], np.flatnonzero(lines == 0x0A) + 1])
+    names = pa.DictionaryArray.from_arrays(pa.array(lang), pa.array(json.loads(raw[8:at]), pa.string())).cast(pa.string())
+    texts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(lines)])
+    return pa.table({"lang": names, "phrase": texts, "f": pa.array(count)})
 
 
-def _spell(longest: int, buckets: int):
-    """Cut the phrases out of a group's texts at the places told, and count them by their words."""
-    patterns = [re.compile(b"")] + [re.compile(_WORD + rb"(?:[ \t]+" + _WORD + rb"){%d}" % (k - 1)) for k in range(1, longest + 1)]
+def _spell(buckets: int):
+    """Cut the phrases out of a group's texts at the places told, and deal them to buckets by their words."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found: dict[tuple[str, bytes], int] = {}
+        rows: list[tuple[int, bytes]] = []
         if answers.num_rows and table.num_rows:
             table = _distinct(table)
             data, offsets = tokens.text_buffers(table.column("text"))
-            raw, langs = data.tobytes(), table.column("lang").to_pylist()
+            named = table.column("lang").combine_chunks().dictionary_encode()
             weight, place, width = (np.concatenate(x) for x in zip(*_rest_of(answers.column("rest"))))
-            text = np.searchsorted(offsets, place, "right") - 1
-            for n, at, k, row, end in zip(*[x.tolist() for x in (weight, place, width, text, offsets[text + 1])]):
-                key = (langs[row], b" ".join(patterns[k].match(raw, at, end).group().lower().split()))
-                found[key] = found.get(key, 0) + n
-        dealt: dict[int, list] = {}
-        for (lang, phrase), n in sorted(found.items()):
-            dealt.setdefault(zlib.crc32(phrase) * buckets >> 32, []).append((lang, phrase, n))
-        return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "phrases": pa.array([_pack_phrases(r) for r in dealt.values()], pa.binary())})
+            text, mark = _phrases_at(data, offsets, place.astype(np.int64), width.astype(np.int64))
+            lang = named.indices.to_numpy()[np.searchsorted(offsets, place, "right") - 1]
+            found = pa.table({"b": packing.bucket_of(mark, buckets), "phrase": text, "lang": lang, "f": weight})
+            found = found.take(pc.sort_indices(found, [("b", "ascending"), ("phrase", "ascending")])).combine_chunks()
+            bucket, lang, f = (found.column(c).to_numpy() for c in ("b", "lang", "f"))
+            ordered = found.column("phrase").combine_chunks()
+            ends, lines = np.frombuffer(ordered.buffers()[1], np.int64), ordered.buffers()[2]
+            langs = named.dictionary.to_pylist()
+            rows = [(int(bucket[a]), _pack_phrases(langs, lang[a:b], f[a:b], lines[int(ends[a]) : int(ends[b])].to_pybytes())) for a, b in _cut(bucket)]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "phrases": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
@@ -301,14 +335,10 @@ def _merge(least: int):
     """Add up the counts of a bucket's phrases; those that reach the least count are materialised."""
 
     def run(told: pa.Table) -> pa.Table:
-        parts = []
-        for cell in told.column("phrases").to_pylist():
-            langs, lang, count, texts = _unpack_phrases(cell)
-            names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string())
-            parts.append(pa.table({"lang": names, "phrase": pa.array(texts, pa.binary()), "f": pa.array(count)}))
-        total = pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        parts = pa.concat_tables([_unpack_phrases(cell) for cell in told.column("phrases").to_pylist()])
+        total = parts.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
         often = total.filter(pc.greater_equal(total.column("f_sum"), least))
-        texts = often.column("phrase").to_pylist()
+        texts = [p[:-1] for p in often.column("phrase").to_pylist()]
         return pa.table(
             {
                 "lang": often.column("lang"), "width": pa.array([p.count(b" ") + 1 if p else 0 for p in texts], pa.int32()),
@@ -333,7 +363,7 @@ def frequent_phrases(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), body.alias("text")).filter(F.octet_length("text") > 0)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    groups, buckets = size // group_bytes + 1, size // bucket_bytes + 1
+    groups, buckets, bits = size // group_bytes + 1, size // bucket_bytes + 1, min(64, size.bit_length() + SPARE_BITS)
     # Copies of a text in different splits of the input go to different groups, so many copies are no hot group.
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("lang", "text", F.spark_partition_id()), F.lit(groups)).cast("int"))
     texts = dealt.groupBy("g")
@@ -341,13 +371,13 @@ def frequent_phrases(
     def told(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(_answer(least), _ENTRY)
 
-    answers = [told(texts.applyInArrow(_send(buckets, (0, 1)), _SENT))]
+    answers = [told(texts.applyInArrow(_send(buckets, (0, 1), bits), _SENT))]
     for widths in ((2,), tuple(range(3, longest + 1))):
         if widths and widths[0] <= longest:
             parts = answers[-1].select("g", "codes").groupBy("g")
-            answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths), _SENT)))
+            answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths, bits), _SENT)))
     places = reduce(DataFrame.unionByName, [a.select("g", "rest") for a in answers])
-    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(longest, buckets), "bucket int, phrases binary")
+    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(buckets), "bucket int, phrases binary")
     return spelled.groupBy("bucket").applyInArrow(_merge(least), "lang string, width int, phrase string, f long")
 
 

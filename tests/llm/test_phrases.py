@@ -82,7 +82,7 @@ def test_colliding_fingerprints_are_counted_apart(monkeypatch):
         sent = pa.concat_tables([phrases._send(4, widths)(t, *a) for t, a in zip(groups, of)])
         buckets = [sent.filter(pa.compute.equal(sent.column("bucket"), b)) for b in range(4)]
         answers = pa.concat_tables([phrases._answer(2)(b) for b in buckets if b.num_rows])
-        spelled = [phrases._spell(4, 3)(t, answers.filter(pa.compute.equal(answers.column("g"), g))) for g, t in enumerate(groups)]
+        spelled = [phrases._spell(3)(t, answers.filter(pa.compute.equal(answers.column("g"), g))) for g, t in enumerate(groups)]
         told = pa.concat_tables(spelled)
         for b in range(3):
             mine = told.filter(pa.compute.equal(told.column("bucket"), b))
@@ -119,6 +119,16 @@ def test_cells_round_trip():
     assert (phrases._codes_of(pa.chunked_array([[phrases._pack_codes(code)]]))[0] == code).all()
     back = phrases._rest_of(pa.chunked_array([[phrases._pack(*columns)]]))[0]
     assert all((a == b).all() for a, b in zip(back, columns))
-    rows = [("a\n", b"", 7), ("a\n", "é x".encode(), 1 << 40), ("b", b"y", 2)]
-    langs, lang, count, texts = phrases._unpack_phrases(phrases._pack_phrases(rows))
-    assert [(langs[i], t, n) for i, t, n in zip(lang, texts, count.tolist())] == rows
+    langs, lang, count = ["a\n", "é"], np.array([0, 0, 1], np.int32), np.array([7, 1 << 40, 2])
+    rows = phrases._unpack_phrases(phrases._pack_phrases(langs, lang, count, "\né x\ny\n".encode())).to_pylist()
+    assert [(r["lang"], r["phrase"].decode(), r["f"]) for r in rows] == [("a\n", "\n", 7), ("a\n", "é x\n", 1 << 40), ("é", "y\n", 2)]
+
+
+def test_phrases_are_cut_out_with_single_spaces():
+    texts = pa.array(["Aa  b\tC d", "", "e f\x00 G"])
+    data, offsets = tokens.text_buffers(texts)
+    starts = tokens.find_words(data, offsets, phrases._TABLE).start
+    place, width = np.concatenate([starts[[0, 0, 2, 4, 5]], starts[:1]]), np.array([4, 1, 2, 3, 2, 0])
+    found, mark = phrases._phrases_at(data, offsets, place, width)
+    assert [p[:-1] for p in found.to_pylist()] == [b"aa b c d", b"aa", b"c d", b"e f\x00 g", b"f\x00 g", b""]
+    assert len(set(mark.tolist())) == 6
