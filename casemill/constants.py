@@ -150,15 +150,15 @@ CONCEPT_STEMS = [
     ("within ", "short "),
 ]
 
-# Language drift markers.
-SPANISH_WORDS = (
-    "que de la el los las una por con para como este esta se es son "
-    "transacción transaccion importe riesgo fraude caso"
-).split()
-ENGLISH_WORDS = (
-    "the and is are of to with for this that was were amount "
-    "transaction risk fraud case suspicious"
-).split()
+# Words that mark a language, for the language drift of a report.
+SPANISH_WORDS = [
+    "que", "de", "la", "el", "los", "las", "una", "por", "con", "para", "como", "este", "esta", "se", "es", "son",
+    "transacción", "transaccion", "importe", "riesgo", "fraude", "caso",
+]
+ENGLISH_WORDS = [
+    "the", "and", "is", "are", "of", "to", "with", "for", "this", "that", "was", "were", "amount",
+    "transaction", "risk", "fraud", "case", "suspicious",
+]
 
 # The two families of the "test charge, then a larger one" pattern.
 PROBE_PATTERN = (

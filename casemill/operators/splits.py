@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill import constants as K
@@ -129,20 +129,32 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def shifts(df: DataFrame, time: str, start: float, hours: float, offsets: list[float]) -> DataFrame:
-    """Overlapping shifts; a row appears once for every shift it belongs to."""
-    x = F.col(time)
-    inside = [
-        F.when(
-            (x >= start + o * 3600) & (x < start + (o + hours) * 3600),
-            F.lit(float(o)),
-        )
-        for o in offsets
-    ]
-    lo, hi = start + min(offsets) * 3600, start + (max(offsets) + hours) * 3600
-    return df.filter((x >= lo) & (x < hi)).withColumn(
-        "offset_h", F.explode(F.array_compact(F.array(*inside)))
-    )
+def shift_table(spark: SparkSession, start: float, hours: float, offsets_h: Sequence[float]) -> DataFrame:
+    """(offset_h, lo, hi): half-open shifts of ``hours`` at each offset after ``start`` seconds."""
+    rows = [(float(o), start + o * 3600, start + (o + hours) * 3600) for o in offsets_h]
+    return spark.createDataFrame(rows, "offset_h double, lo double, hi double")
+
+
+def shifts(df: DataFrame, time: str, table: DataFrame, lo: str = "lo", hi: str = "hi", bin_seconds: float | None = None) -> DataFrame:
+    """Rows with the columns of every shift of ``table`` they fall into, by an interval join.
+
+    Time is cut into bins: a shift is copied into the bins it meets, a row stands in one, and rows
+    meet shifts of their own bin, where the bounds are checked exactly.  A bin is as long as the mean
+    shift unless given, so shifts are copied two or three times, however many overlap; the rows
+    are not copied.  The span of all shifts is a filter on the rows.  Bounds that are null or not
+    finite, and empty shifts, hold no rows.
+    """
+    some = table.filter(F.abs(F.col(lo)) + F.abs(F.col(hi)) < float("inf")).filter(F.col(lo) < F.col(hi))
+    first, last, mean = some.agg(F.min(lo), F.max(hi), F.avg(F.col(hi) - F.col(lo))).first()
+    if first is None:
+        first = last = 0.0
+    size = float(bin_seconds or mean or 1.0)
+    met = F.sequence(F.floor((F.col(lo) - F.lit(first)) / size), F.floor((F.col(hi) - F.lit(first)) / size))
+    binned = some.withColumn("_bin", F.explode(met))
+    inside = df.filter((F.col(time) >= F.lit(first)) & (F.col(time) < F.lit(last)))
+    rows = inside.withColumn("_bin", F.floor((F.col(time) - F.lit(first)) / size))
+    joined = rows.join(binned, "_bin").filter((F.col(time) >= F.col(lo)) & (F.col(time) < F.col(hi)))
+    return joined.drop("_bin")
 
 
 def leak_guard(df: DataFrame, time: str, limit: float) -> DataFrame:

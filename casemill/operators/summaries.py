@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill import constants as K
@@ -78,3 +78,23 @@ def distinct_counts(
     return df.agg(
         *[count(F.col(c)).alias(f"n_{c}") for c in cols], F.min(time).alias("first"), F.max(time).alias("last")
     )
+
+
+def distinct_sketches(df: DataFrame, period: Column, cols: Sequence[str], lg_size: int = 14) -> DataFrame:
+    """(period, n_rows, and per column the HLL sketch of its values): kept, they answer any range of periods."""
+    return df.groupBy(period.alias("period")).agg(
+        F.count("*").alias("n_rows"), *[F.hll_sketch_agg(F.col(c), F.lit(lg_size)).alias(f"hll_{c}") for c in cols]
+    )
+
+
+def distinct_between(sketches: DataFrame, ranges: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct values per column over each range (columns first, last) of periods, from the sketches alone.
+
+    Sketches are merged, so a value that occurs in several periods counts once.  The standard error
+    is 1.04 / sqrt(2 ** lg_size): 0.8 % at the default size.
+    """
+    met = ranges.join(sketches, F.col("period").between(F.col("first"), F.col("last")))
+    return met.groupBy(*ranges.columns).agg(
+        F.sum("n_rows").alias("n_rows"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(F.col(f"hll_{c}"))).alias(f"n_{c}") for c in cols],
+    )

@@ -315,7 +315,24 @@ def d7_multi_shift(spark, d):
     tx = transactions(spark, d)
     start = splits.time_cut(tx, "t_sec", "tx_id")[0]
     near = transactions(spark, d, (start, start + 7 * 3600))
-    rows = splits.shifts(near, "t_sec", start, 4.0, [0.0, 1.0, 2.0, 3.0])
+    rows = splits.shifts(near, "t_sec", splits.shift_table(spark, start, 4.0, [0.0, 1.0, 2.0, 3.0]))
+    return rows.groupBy("offset_h").agg(
+        F.count("*").alias("n_rows"), F.sum("label").alias("positives"), R(F.sum("amount"), 6).alias("amount")
+    )
+
+
+@query(
+    "d7_shift_table",
+    f"""{_START}, v AS (SELECT i / 10e0 AS offset_h, s + i / 10e0 * 3600 AS lo, s + (i / 10e0 + 4) * 3600 AS hi FROM range(1000) r(i), st)
+      SELECT offset_h, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, round(sum(amount), 6) AS amount
+      FROM o JOIN v ON t_sec >= lo AND t_sec < hi GROUP BY offset_h""",
+)
+def d7_shift_table(spark, d):
+    # A thousand overlapping shifts of four hours, one every six minutes.
+    start = splits.time_cut(transactions(spark, d), "t_sec", "tx_id")[0]
+    table = splits.shift_table(spark, start, 4.0, [i / 10 for i in range(1000)])
+    near = transactions(spark, d, (start, start + 104 * 3600))
+    rows = splits.shifts(near.select("t_sec", "label", "amount"), "t_sec", table)
     return rows.groupBy("offset_h").agg(
         F.count("*").alias("n_rows"), F.sum("label").alias("positives"), R(F.sum("amount"), 6).alias("amount")
     )

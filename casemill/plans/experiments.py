@@ -101,6 +101,33 @@ def a11_distincts(spark, d):
     return summaries.distinct_counts(transactions(spark, d), ["card", "category", "k"], "t_sec")
 
 
+_RANGES = [(0, 0), (0, 6), (3, 19), (0, 29)]
+
+
+@query(
+    "a11_period_distincts",
+    f"""WITH {TX}, v(first, last) AS (VALUES {', '.join(f'({a}, {b})' for a, b in _RANGES)})
+      SELECT first, last, count(*) AS n_rows, count(DISTINCT card) AS n_card, count(DISTINCT amount) AS n_amount, TRUE AS within
+      FROM v JOIN tx ON floor(t_sec / 86400e0) BETWEEN first AND last GROUP BY first, last""",
+)
+def a11_period_distincts(spark, d):
+    """Distinct cards and amounts of ranges of days, from sketches kept per day; exact counts beside them."""
+    day = F.floor(F.col("t_sec") / 86400.0).cast("int")
+    tx = transactions(spark, d)
+    path = f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    named = tx.withColumn("cents", F.col("amount").cast("string"))
+    summaries.distinct_sketches(named, day, ["card", "cents"]).write.parquet(path)
+    ranges = spark.createDataFrame(_RANGES, "first int, last int")
+    told = summaries.distinct_between(spark.read.parquet(path), ranges, ["card", "cents"])
+    exact = ranges.join(named.withColumn("_day", day), F.col("_day").between(F.col("first"), F.col("last"))).groupBy("first", "last").agg(
+        F.count("*").alias("n"), F.count_distinct("card").alias("card"), F.count_distinct("amount").alias("amount")
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b)
+    return told.join(exact, ["first", "last"]).select(
+        "first", "last", "n_rows", F.col("card").alias("n_card"), F.col("amount").alias("n_amount"), (near("n_card", "card") & near("n_cents", "amount")).alias("within")
+    )
+
+
 # ---- the run log derived from events -----------------------------------------------
 
 RUNLOG_SQL = f"""{TX},

@@ -139,3 +139,43 @@ def test_leak_guard_and_empty_shift(spark):
         splits.assert_no_leak(df, "t", 5.0)
     with pytest.raises(ValueError):
         splits.require_rows(splits.shift(df, "t", 100.0), "shift")
+
+
+@pytest.mark.parametrize("bin_seconds", [None, 1.0, 1e6])
+def test_shifts_by_interval_join(spark, bin_seconds):
+    rng = np.random.default_rng(4)
+    times = np.concatenate([rng.uniform(-50, 300, 200), [0.0, 10.0, 20.0]]).tolist()
+    bounds = [(0.0, 10.0), (10.0, 20.0), (-5.5, 0.0), (3.25, 250.5), (7.0, 7.0), (9.0, 1.0), (None, 5.0), (0.0, float("inf"))]
+    bounds += [(float(a), float(a + 40)) for a in rng.uniform(-60, 280, 30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*times, None])], "id bigint, t double")
+    table = spark.createDataFrame([(k, *b) for k, b in enumerate(bounds)], "shift int, lo double, hi double")
+    got = sorted((r["id"], r["shift"]) for r in splits.shifts(df, "t", table, bin_seconds=bin_seconds).collect())
+    real = [(k, lo, hi) for k, (lo, hi) in enumerate(bounds) if lo is not None and hi != float("inf")]
+    assert got == sorted((i, k) for i, t in enumerate(times) for k, lo, hi in real if lo <= t < hi)
+    assert splits.shifts(df, "t", table.filter("false")).count() == 0
+
+
+def test_a_shift_is_copied_into_the_bins_it_meets_only(spark):
+    df = spark.range(2000).select(F.col("id").cast("double").alias("t"))
+    table = splits.shift_table(spark, 0.0, 0.01, [k / 200 for k in range(100)])
+    joined = splits.shifts(df, "t", table)
+    assert joined.count() == sum(lo <= t < hi for _, lo, hi in table.collect() for t in range(2000))
+    # Bins are as long as a shift, so each of the hundred meets two or three.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "CartesianProduct" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_values_of_any_range_from_sketches(spark):
+    from casemill.operators import summaries
+
+    rng = np.random.default_rng(5)
+    rows = [(int(p), int(v)) for p, v in zip(rng.integers(0, 20, 30_000), rng.integers(0, 9000, 30_000))]
+    df = spark.createDataFrame([*rows, (3, None)], "p int, v int")
+    kept = summaries.distinct_sketches(df, F.col("p"), ["v"])
+    ranges = [(0, 19), (5, 5), (2, 11), (19, 40), (50, 60)]
+    told = summaries.distinct_between(kept, spark.createDataFrame(ranges, "first int, last int"), ["v"]).collect()
+    assert {(r["first"], r["last"]) for r in told} == set(ranges[:-1])
+    for r in told:
+        exact = {v for p, v in rows if r["first"] <= p <= r["last"]}
+        assert abs(r["n_v"] - len(exact)) <= 0.03 * len(exact)
+        assert r["n_rows"] == sum(r["first"] <= p <= r["last"] for p, _ in rows) + (r["first"] <= 3 <= r["last"])
