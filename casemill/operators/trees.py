@@ -1,10 +1,11 @@
 """Exact additive contributions of a boosted tree model.
 
-The trees are read back from the saved model, a table bounded by the model's size.
-Inside tasks each leaf is a small product game over the features on its path: a
-feature either meets its interval or counts with the share of training cover that
-does.  Shapley values of such a game follow from the coefficients of a polynomial
-with one factor per other feature; leaf values add up to the tree's.
+The trees are read back from the saved model, a table bounded by the model's size.  Inside tasks
+every tree is walked once for a whole batch of rows.  On the way down a path is a polynomial with
+one factor per feature: the share of training cover that goes the path's way, plus one power for
+rows that go it themselves.  Leaves below a node share the polynomial of its path; a split adds a
+factor, a feature that is met again has its factor taken out first, and at a leaf the factor of
+each feature is divided out in turn, which gives its Shapley value.
 """
 
 from __future__ import annotations
@@ -25,79 +26,96 @@ from casemill.session import shared_dir
 
 
 @dataclass
-class Leaf:
-    """Value, and per path feature its index, interval (low, high] and cover share."""
+class Tree:
+    """Nodes by number: children (-1 at leaves), split feature and threshold, training cover, value of a leaf."""
 
-    value: float
+    left: np.ndarray
+    right: np.ndarray
     feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    threshold: np.ndarray
     cover: np.ndarray
+    value: np.ndarray
 
+    def expected(self) -> float:
+        """Mean value over the training cover."""
+        leaf = self.left < 0
+        return float((self.value[leaf] * self.cover[leaf]).sum() / self.cover[0])
 
-def read_leaves(model: Model, spark) -> tuple[list[Leaf], float]:
-    """All leaves, scaled to log-odds, and the expected margin."""
+
+def read_trees(model: Model, spark) -> list[Tree]:
+    """The trees of a model, scaled to log-odds.  Splits on categories are an error."""
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     node = "nodeData."
     table = spark.read.parquet(f"{path}/data").select(
         "treeID", f"{node}id", f"{node}prediction", F.col(f"{node}impurityStats")[0].alias("cover"),
         f"{node}leftChild", f"{node}rightChild", F.col(f"{node}split.featureIndex").alias("f"),
-        F.get(F.col(f"{node}split.leftCategoriesOrThreshold"), F.lit(0)).alias("t"),
+        F.get(F.col(f"{node}split.leftCategoriesOrThreshold"), F.lit(0)).alias("t"), F.col(f"{node}split.numCategories").alias("categories"),
     ).toPandas()
-    # The probability is the logistic function of twice the weighted sum.
-    scale = {i: 2.0 * w for i, w in enumerate(model.treeWeights)}
-    leaves, bias = [], 0.0
-    for tree, rows in table.groupby("treeID"):
-        nodes = {r.id: r for r in rows.itertuples()}
-        root_cover = nodes[0].cover
-        stack: list[tuple[int, dict]] = [(0, {})]
-        while stack:
-            at, path_ = stack.pop()
-            n = nodes[at]
-            if n.leftChild < 0:
-                value = scale[tree] * n.prediction
-                bias += value * n.cover / root_cover
-                if path_:
-                    cols = [np.array(c) for c in zip(*[(f, *v) for f, v in path_.items()])]
-                    leaves.append(Leaf(value, cols[0].astype(int), *cols[1:]))
-                continue
-            lo, hi, share = path_.get(n.f, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((n.leftChild, (lo, min(hi, n.t))), (n.rightChild, (max(lo, n.t), hi))):
-                stack.append((child, {**path_, n.f: (*bounds, share * nodes[child].cover / n.cover)}))
-    return leaves, bias
-
-
-def leaf_contributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
-    """Contribution of every feature for every row of ``x``."""
+    if ((table["leftChild"] >= 0) & (table["categories"] >= 0)).any():
+        raise ValueError("the model splits on categories: only thresholds have intervals")
+    trees = []
+    for number, rows in table.sort_values(["treeID", "id"]).groupby("treeID"):
+        # The probability is the logistic function of twice the weighted sum.
+        value = 2.0 * model.treeWeights[number] * rows["prediction"].to_numpy()
+        left, right, feature = (rows[c].to_numpy(dtype=np.int64) for c in ("leftChild", "rightChild", "f"))
+        trees.append(Tree(left, right, feature, rows["t"].fillna(0.0).to_numpy(dtype=float), rows["cover"].to_numpy(dtype=float), value))
+    return trees
+
+
+def _extend(poly: np.ndarray, cover: float, met: np.ndarray) -> np.ndarray:
+    """Times one factor more: ``cover``, and for rows that meet it a power."""
+    out = np.zeros((len(poly), poly.shape[1] + 1))
+    out[:, :-1] = poly * cover
+    out[:, 1:] += poly * met[:, None]
+    return out
+
+
+def _unwind(poly: np.ndarray, cover: float, met: np.ndarray) -> np.ndarray:
+    """Without one of its factors: division from the top where the factor has a power, else by the cover."""
+    m = poly.shape[1] - 1
+    out = np.empty((len(poly), m))
+    out[:, m - 1] = poly[:, m]
+    for k in range(m - 1, 0, -1):
+        out[:, k - 1] = poly[:, k] - cover * out[:, k]
+    return np.where(met[:, None], out, poly[:, :m] / cover)
+
+
+def tree_values(x: np.ndarray, tree: Tree) -> np.ndarray:
+    """Shapley value of every feature for every row of ``x``."""
     phi = np.zeros_like(x)
-    for leaf in leaves:
-        m = len(leaf.feature)
-        seen = x[:, leaf.feature]
-        met = ((seen > leaf.low) & (seen <= leaf.high)).astype(float)
-        share = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-        for i in range(m):
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for j in (j for j in range(m) if j != i):
-                shifted = poly[:, :-1] * met[:, j : j + 1]
-                poly = poly * leaf.cover[j]
-                poly[:, 1:] += shifted
-            phi[:, leaf.feature[i]] += leaf.value * (met[:, i] - leaf.cover[i]) * (poly @ share)
+
+    def walk(node: int, path: dict[int, tuple[float, np.ndarray]], poly: np.ndarray) -> None:
+        if tree.left[node] < 0:
+            m = len(path)
+            share = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
+            for f, (cover, met) in path.items():
+                phi[:, f] += tree.value[node] * (met - cover) * (_unwind(poly, cover, met) @ share)
+            return
+        f = int(tree.feature[node])
+        goes_left = x[:, f] <= tree.threshold[node]
+        for child, way in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+            cover, met, rest = tree.cover[child] / tree.cover[node], way, poly
+            if f in path:
+                rest = _unwind(poly, *path[f])
+                cover, met = cover * path[f][0], way & path[f][1]
+            walk(int(child), {**path, f: (cover, met)}, _extend(rest, cover, met))
+
+    walk(0, {}, np.ones((len(x), 1)))
     return phi
 
 
 def tree_contributions(model: Model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``contributions`` (var, value, contrib) and ``bias``; with the bias they sum to the log-odds."""
-    leaves, bias = read_leaves(model, df.sparkSession)
-    names = list(cols)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(leaves)
+    spark, names = df.sparkSession, list(cols)
+    trees = read_trees(model, spark)
+    bias = sum(t.expected() for t in trees)
+    shared = spark.sparkContext.broadcast(trees)  # bounded by the model
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=float)
-            yield pdf.assign(_phi=list(leaf_contributions(x, shared.value)))
+            yield pdf.assign(_phi=list(sum((tree_values(x, t) for t in shared.value), np.zeros_like(x))))
 
     schema = StructType([*df.schema.fields, StructField("_phi", ArrayType(DoubleType()))])
     out = df.mapInPandas(explain, schema)

@@ -88,31 +88,49 @@ def test_oversampling_balances_and_interpolates(spark):
     ) <= 1
 
 
-def test_leaf_contributions_are_shapley_values():
-    leaves = [
-        trees.Leaf(2.0, np.array([0, 1]), np.array([-np.inf, 0.5]), np.array([1.0, np.inf]), np.array([0.3, 0.6])),
-        trees.Leaf(-1.0, np.array([2, 0, 1]), np.array([0.0, 1.0, -np.inf]), np.array([np.inf, np.inf, 0.5]), np.array([0.5, 0.7, 0.4])),
-    ]
-    x = np.array([[0.4, 0.9, 0.2], [1.5, 0.1, 0.7], [2.0, 0.6, -1.0]])
-
-    def game(row, subset):
-        total = 0.0
-        for leaf in leaves:
-            part = leaf.value
-            for f, lo, hi, c in zip(leaf.feature, leaf.low, leaf.high, leaf.cover):
-                part *= float(lo < row[f] <= hi) if f in subset else c
-            total += part
-        return total
-
-    got = trees.leaf_contributions(x, leaves)
-    for r, row in enumerate(x):
-        for f in range(3):
-            others = [g for g in range(3) if g != f]
-            phi = 0.0
-            for k in range(3):
-                for s in itertools.combinations(others, k):
-                    phi += (game(row, {*s, f}) - game(row, set(s))) / (3 * comb(2, k))
-            assert got[r, f] == pytest.approx(phi)
+def _random_tree(rng, depth, features):
+    """A tree whose covers are consistent; features repeat along paths."""
+    left, right, feature, threshold, cover, value = [], [], [], [], [], []
+
+    def grow(d, n):
+        k = len(left)
+        for column, v in ((left, -1), (right, -1), (feature, -1), (threshold, 0.0), (cover, n), (value, rng.normal())):
+            column.append(v)
+        if d and rng.random() < 0.9:
+            part = n * rng.uniform(0.02, 0.98)
+            feature[k], threshold[k] = int(rng.integers(features)), rng.normal()
+            left[k] = grow(d - 1, part)
+            right[k] = grow(d - 1, n - part)
+        return k
+
+    grow(depth, 100.0)
+    return trees.Tree(*map(np.array, (left, right, feature, threshold, cover, value)))
+
+
+def test_tree_values_are_shapley_values():
+    rng = np.random.default_rng(21)
+    for depth in (0, 1, 3, 5):
+        tree, x = _random_tree(rng, depth, 4), rng.normal(size=(6, 4))
+
+        def game(row, subset, node=0):
+            if tree.left[node] < 0:
+                return tree.value[node]
+            f = tree.feature[node]
+            sides = tree.left[node], tree.right[node]
+            if f in subset:
+                return game(row, subset, sides[0] if row[f] <= tree.threshold[node] else sides[1])
+            return sum(tree.cover[c] / tree.cover[node] * game(row, subset, c) for c in sides)
+
+        got = trees.tree_values(x, tree)
+        for r, row in enumerate(x):
+            for f in range(4):
+                others = [g for g in range(4) if g != f]
+                phi = sum(
+                    (game(row, {*s, f}) - game(row, set(s))) / (4 * comb(3, k))
+                    for k in range(4) for s in itertools.combinations(others, k)
+                )
+                assert got[r, f] == pytest.approx(phi, abs=1e-9)
+            assert got[r].sum() + tree.expected() == pytest.approx(game(row, set(range(4))), abs=1e-9)
 
 
 def test_tree_contributions_add_up(spark, folder):
