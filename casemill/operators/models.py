@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -49,7 +50,9 @@ def train_boosted(
 ) -> Model:
     """Boosted trees with the positive class weighted neg/pos unless told otherwise.
 
-    Columns are subsampled per node, not per tree, which is what MLlib offers.
+    ``colsample`` is the published share of columns per tree; MLlib subsamples them per node.
+    ``min_child_weight`` and ``gamma`` become the least rows of a node and the least gain of a split,
+    which is what MLlib offers: rows are counted, not their weights, and the gain is that of its impurity.
     """
     ensure_checkpoints(train.sparkSession)
     ratio = positive_weight(train, label) if pos_weight is None else pos_weight
@@ -142,17 +145,25 @@ def random_search(
     base: Mapping = K.SEARCH_BASE,
     n_draws: int = 50,
     seed: int = K.SEED,
+    parallelism: int = 4,
 ) -> dict:
-    """Search on training data only, refit the best draw, compare on the held-out test."""
+    """Search on training data only, refit the best draw, compare on the held-out test.
+
+    The fold table is written once; every (draw, fold) is a fit of its own, and ``parallelism`` of them
+    run side by side, under either scheme of folds.  Equal means go to the earlier draw.
+    """
     ratio = positive_weight(train, label)
     full = {**space, "pos_weight": [1.0, round(ratio**0.5, 1), round(ratio, 1)]}
-    tried = []
-    for params in draws(full, n_draws, seed):
-        values = [
-            average_precision(train_boosted(tr, cols, label, **params), va, cols, label)
-            for tr, va in folds_of(folded, k, fold_col, past_only)
-        ]
-        tried.append((sum(values) / len(values), params))
+    kept = durable(folded.select(fold_col, label, *cols))
+    sides = list(folds_of(kept, k, fold_col, past_only))
+
+    def fit(params: dict, side: tuple[DataFrame, DataFrame]) -> float:
+        return average_precision(train_boosted(side[0], cols, label, **params), side[1], cols, label)
+
+    drawn = list(draws(full, n_draws, seed))
+    with ThreadPool(parallelism) as pool:
+        values = pool.starmap(fit, [(params, side) for params in drawn for side in sides])
+    tried = [(sum(values[i * len(sides) : (i + 1) * len(sides)]) / len(sides), params) for i, params in enumerate(drawn)]
     best_cv, best = max(tried, key=lambda t: t[0])
     reference = average_precision(train_boosted(train, cols, label, **base), test, cols, label)
     tuned = average_precision(train_boosted(train, cols, label, **best), test, cols, label)
