@@ -19,7 +19,7 @@ from casemill.llm.registry import query
 from casemill.llm.rules import judge_quality
 from casemill.llm.sharding import shard_table
 from casemill.llm.substrings import remove_repeats
-from casemill.llm.urls import Rule, judge_urls
+from casemill.llm.urls import MARGIN, Rule, judge_urls
 from casemill.llm.warc import page_number, read_archives, write_archives
 from casemill.session import shared_dir
 
@@ -185,7 +185,8 @@ URL_RULES = (
 )
 
 
-def _url_sql(rounds: int = 12) -> str:
+def url_sql(rounds: int = 300) -> str:
+    """Scores as the series of what seeds pass on, to a tail of 0.85 ** rounds."""
     def fits(r: Rule) -> str:
         return f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
 
@@ -193,15 +194,8 @@ def _url_sql(rounds: int = 12) -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN rule = '{r.text}' THEN '{r.verdict}'" for r in ordered) + " END"
     host = "translate(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    turns = ",\n".join(
-        f"""t{i} AS MATERIALIZED (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT t{i - 1}.kind, share.dst AS host, 0.85e0 * score * share AS score FROM t{i - 1} JOIN share ON t{i - 1}.kind = share.kind AND t{i - 1}.host = share.src
-    UNION ALL SELECT kind, host, (1 - 0.85e0) * score FROM t0) GROUP BY ALL)"""
-        for i in range(1, rounds + 1)
-    )
     return rf"""
-WITH p0 AS (
+WITH RECURSIVE p0 AS (
   SELECT page_id, html, coalesce({host.format('url')}, '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 p1 AS (SELECT *, {rule} AS rule FROM p0),
@@ -218,14 +212,20 @@ l AS (SELECT src, dst, count(*) AS n FROM l0 WHERE src <> '' AND dst <> '' AND s
 share AS MATERIALIZED (
   SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM l
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM l),
-{turns},
-e AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM t{rounds} GROUP BY host)
+flow AS (
+  SELECT kind, host, score, 0 AS turn FROM t0
+  UNION ALL
+  SELECT flow.kind, share.dst, sum(0.85e0 * score * share), turn + 1
+  FROM flow JOIN share ON flow.kind = share.kind AND flow.host = share.src WHERE turn < {rounds} GROUP BY flow.kind, share.dst, turn),
+e AS (
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM flow GROUP BY host)
 SELECT page_id, p.host, path, rule,
-       coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) + 1e-12 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(ruled, CASE WHEN distrust > 0 AND distrust > trust * (1 + {MARGIN}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN e ON p.host = e.host"""
 
 
-@query("op2_url_filter", _url_sql())
+@query("op2_url_filter", url_sql())
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 

@@ -82,3 +82,22 @@ def test_near_copies_go_whatever_their_ids(spark, folder, sample_docs):
     linked = [r for r in kept if r[1]]
     assert len(linked) == 2 and (3, near) in linked and linked[0 if linked[0][0] == 5 else 1][1].lower() == a
     assert sorted((r for r in kept if not r[1]), key=str) == sorted([(7, None), (8, None), (9, ""), (None, None)], key=str)
+
+
+def test_url_sql_agrees_on_a_graph_of_links(spark, tmp_path):
+    """Chains behind a blocked and a trusted host, a cycle, hubs, and a host that both reach."""
+    import duckdb
+
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(0, "http://evil.com/de/1", ""), (1, "http://good.org/", link("t0.net", "hub.net"))]
+    rows += [(10 + k, f"http://b{k}.net/", link(f"b{k - 1}.net" if k else "evil.com")) for k in range(21)]
+    rows += [(40 + k, f"http://t{k}.net/", link(f"t{k + 1}.net", f"b{k}.net")) for k in range(15)]
+    rows += [(70, "http://hub.net/", link("c0.net", "c1.net", "b20.net")), (71, "http://c0.net/", link("c1.net")), (72, "http://c1.net/", link("c0.net", "evil.com"))]
+    rows += [(100 + k, f"http://z{k}.net/", link(f"z{k - 1}.net" if k else "evil.com")) for k in range(21)]
+    rows += [(80, None, "x"), (81, "http://alone.net/", None), (82, "http://b3.net/two", link("alone.net", "alone.net", "good.org"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert compare(catalog.QUERIES["op2_url_filter"](spark, str(tmp_path)), con, catalog.SQL["op2_url_filter"]) is None
+    verdicts = dict(con.execute(f"SELECT page_id, verdict FROM ({catalog.SQL['op2_url_filter']})").fetchall())
+    assert verdicts[120] == "block" and verdicts[81] == "allow"  # twenty links behind the blocked host
