@@ -33,6 +33,10 @@ HEADLINE = [
     "x4_latency",
     "x5_occupancy",
     "x2s_window_cases",
+    "m2_random_forest",
+    "m4_trained_triage",
+    "d11_smote",
+    "d7_shift_table",
 ]
 
 

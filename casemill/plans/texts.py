@@ -552,7 +552,7 @@ def j3_missed_positives(spark, d):
 
 @query(
     "j4_missed_digest",
-    f"""WITH {CASES_SQL}, file AS (SELECT * FROM cases WHERE case_no <= 1),
+    f"""WITH {CASES_SQL}, file AS (SELECT * FROM runs WHERE prob >= 0.8e0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY prob DESC, tx_id) <= 10),
       missed AS (SELECT CAST(floor(run_id / 40e0) AS BIGINT) AS block, * FROM runs WHERE label = 1 AND NOT EXISTS
         (SELECT 1 FROM file c WHERE c.run_id = runs.run_id AND c.tx_id = runs.tx_id)),
       r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY amount DESC, tx_id) AS rk FROM missed)
@@ -560,9 +560,9 @@ def j3_missed_positives(spark, d):
       count(*) FILTER (rk > 8) AS n_rest, round(coalesce(sum(amount) FILTER (rk > 8), 0), 6) AS rest, round(sum(amount), 6) AS total FROM r GROUP BY block""",
 )
 def j4_missed_digest(spark, d):
-    # One case per run only, so that many positives are missed and the rest is not empty.
+    # The case file of the high tier, at the full capacity of a run: what lies below the threshold is missed.
     batch = with_run(transactions(spark, d))
-    file = selection.select_cases_by(batch, ["run_id"], "prob", "tx_id", 1, 0.4)
+    file = selection.select_cases_by(batch, ["run_id"], "prob", "tx_id", 10, 0.8)
     missed = system.missed_positives(batch, file, ["run_id"]).withColumn("block", F.floor(F.col("run_id") / 40.0))
     digest = system.missed_digest(missed, ["block"], "amount")
     return digest.select(
