@@ -10,6 +10,10 @@ import pytest
 from casemill.llm import phrases, tokens
 
 
+def _dealt(rows):
+    return pa.Table.from_batches(phrases._deal(iter(pa.Table.from_pylist(rows).to_batches())))
+
+
 def counts_of(df):
     return {(r["lang"], tuple(r["phrase"].split(" ")) if r["width"] else ()): r["f"] for r in df.collect()}
 
@@ -75,7 +79,7 @@ def test_colliding_fingerprints_are_counted_apart(monkeypatch):
     gen = random.Random(1)
     rows = [(" ".join(gen.choices("abcdefg", k=30)), gen.choice(["x", "y"])) for _ in range(12)]
     whole = [dict(lang=lang, text=text, g=k % 3) for k, (text, lang) in enumerate(rows)] * 2
-    groups = [pa.Table.from_pylist([r for r in whole if r["g"] == g]) for g in range(3)]
+    groups = [_dealt([r for r in whole if r["g"] == g]) for g in range(3)]
     found, answers = {}, None
     for widths in ((0, 1), (2,), (3, 4)):
         of = [answers and (answers.filter(pa.compute.equal(answers.column("g"), g)),) or () for g in range(3)]
@@ -104,7 +108,7 @@ def test_only_frequent_fingerprints_are_answered():
 
 
 def test_rare_parts_keep_longer_phrases_at_home():
-    table = pa.table({"lang": ["x"], "text": ["a b c a b d"], "g": [0]})
+    table = _dealt([{"lang": "x", "text": "a b c a b d", "g": 0}])
     words = phrases._send(1, (0, 1))(table)
     assert sorted(phrases._rest_of(words.column("rest"))[0][2].tolist()) == [0, 1, 1, 1, 1]
     pairs = phrases._send(1, (2,))(table, phrases._answer(2)(words))
