@@ -177,3 +177,40 @@ def test_draws_are_reproducible():
     space = {"a": [1, 2, 3], "b": [4, 5]}
     assert list(models.draws(space, 4)) == list(models.draws(space, 4))
     assert all(p["a"] in space["a"] and p["b"] in space["b"] for p in models.draws(space, 20))
+
+
+def _labelled(spark, n):
+    rng = np.random.default_rng(21)
+    a, k, f = rng.exponential(50, n).round(2), rng.integers(0, 100, n), rng.integers(0, 2, n)
+    data = [(int(f1 and a1 + k1 >= 150), float(a1), int(k1), float(f1)) for a1, k1, f1 in zip(a, k, f)]
+    return spark.createDataFrame(data, "y int, a double, k int, f double").repartition(4).localCheckpoint()
+
+
+def test_training_rows_are_bounded_by_cells(spark):
+    rows = _labelled(spark, 6_000)
+    cells = models.training_cells(rows, ["a", "k", "f"], "y", cell_rows=500)
+    assert models._class_rows(cells, "y") == {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    assert all(cells.select(c).distinct().count() <= 32 for c in ("a", "k", "f"))
+    many = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    more = models.training_cells(many, ["a", "k", "f"], "y", cell_rows=500)
+    assert more.agg(F.sum("_rows")).first()[0] == pytest.approx(120_000)
+    assert more.count() <= cells.select("y", "a", "k", "f").distinct().count() + 500 + 32  # no growth with the rows
+    plain = models.training_cells(rows, ["a", "k", "f"], "y")
+    assert plain.count() == 6_000 and plain.filter("_rows <> 1").isEmpty()
+
+
+def test_cells_train_like_rows(spark, monkeypatch):
+    cols, rows = ["a", "k", "f"], _labelled(spark, 6_000)
+    size = {"n_estimators": 5, "max_depth": 4, "subsample": 1.0, "colsample": 1.0}
+    found = []
+    for most in (1 << 17, 500):
+        monkeypatch.setattr(models, "CELL_ROWS", most)
+        found.append(models.average_precision(models.train_boosted(rows, cols, "y", **size), rows, cols, "y"))
+    assert min(found) > 0.9 and abs(found[0] - found[1]) < 0.03
+
+
+def test_cells_leave_nulls_to_the_assembler(spark):
+    rows = _labelled(spark, 800).withColumn("a", F.when(F.col("k") == 7, None).otherwise(F.col("a")))
+    cells = models.training_cells(rows, ["a", "k", "f"], "y", cell_rows=100)
+    held = cells.filter("a IS NULL").agg(F.sum("_rows")).first()[0]
+    assert held == rows.filter("a IS NULL").count() > 0
