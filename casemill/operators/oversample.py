@@ -25,8 +25,9 @@ from casemill.operators.ranks import before, order_statistics
 from casemill.operators.splits import class_counts
 from casemill.session import durable
 
-#: Blocks of the exact method.
+#: Blocks of the exact method, and rows of a block that meet another one at once, which bounds a task's memory.
 BLOCK_ROWS = 4096
+CHUNK_ROWS = 256
 #: Hash tables, and rows from which a bucket is cut again.  Recall beside the exact method, 10^5 rows of
 #: 30 columns: 0.97 for independent columns of one variance, 0.99 where variances fall as those of
 #: principal components do.
@@ -37,20 +38,41 @@ FAN_OUT = 10_000
 _MET = "id bigint, nb bigint, d double"
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, differences summed per column for full precision."""
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j : j + 1] - b[:, j]) ** 2
-    return np.sqrt(total)
+def _best(mine: np.ndarray, ids: np.ndarray, theirs: np.ndarray, others: np.ndarray, k: int, by_place: bool = False) -> pd.DataFrame:
+    """The k nearest of ``theirs`` for each of ``mine`` by (distance, id), the row itself left out.
 
-
-def _best(mine: np.ndarray, ids: np.ndarray, theirs: np.ndarray, others: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of ``theirs`` for each of ``mine`` by (distance, id), the row itself left out."""
-    d = _distances(mine, theirs)
-    d[ids[:, None] == others[None, :]] = np.inf
-    best = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-    out = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "nb": others[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()})
+    A row is told by its id, or by its place where both sides are the same rows.  Rows that are not
+    finite are near to none.
+    """
+    left, right = (np.flatnonzero(np.isfinite(x).all(axis=1)) for x in (mine, theirs))
+    if not len(left) or not len(right):
+        return pd.DataFrame({"id": [], "nb": [], "d": []})
+    right = right[np.argsort(others[right], kind="stable")]
+    one, two = (left, right) if by_place else (ids[left], others[right])
+    mine, ids, theirs, others = mine[left], ids[left], theirs[right], others[right]
+    middle = theirs.mean(axis=0)
+    near, far = mine - middle, theirs - middle
+    size, far_size = (near**2).sum(axis=1), (far**2).sum(axis=1)
+    parts = []
+    for a in range(0, len(ids), CHUNK_ROWS):
+        here = slice(a, a + CHUNK_ROWS)
+        rough = size[here, None] + far_size - 2 * near[here] @ far.T
+        own = one[here, None] == two
+        rough[own] = np.inf
+        last = min(k, len(others)) - 1
+        # One product ranks roughly; whatever may be among the k nearest is measured exactly.
+        reach = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (size[here] + far_size.max())
+        row, col = np.nonzero((rough <= reach[:, None]) & ~own)
+        # Differences are summed per column for full precision.
+        d = np.zeros(len(row))
+        for j in range(mine.shape[1]):
+            d += (mine[row + a, j] - theirs[col, j]) ** 2
+        d = np.sqrt(d)
+        best = np.lexsort((col, d, row))
+        start = np.searchsorted(row[best], np.arange(len(rough)))
+        kept = best[np.arange(len(best)) - start[row[best]] < k]
+        parts.append(pd.DataFrame({"id": ids[row[kept] + a], "nb": others[col[kept]], "d": d[kept]}))
+    out = pd.concat(parts)
     return out[np.isfinite(out["d"])]
 
 
@@ -129,31 +151,8 @@ def _bucket_meetings(buckets: DataFrame, k: int) -> DataFrame:
     """All rows of a bucket by exact distance, k candidates per row and bucket."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf["id"].to_numpy(), kind="stable")
-        ids, x = pdf["id"].to_numpy()[order], np.stack(pdf["x"].to_numpy())[order]
-        near = x - x.mean(axis=0)
-        size = (near**2).sum(axis=1)
-        parts = []
-        for a in range(0, len(ids), BUCKET_ROWS):
-            mine = slice(a, min(a + BUCKET_ROWS, len(ids)))
-            rough = size[mine, None] + size[None, :] - 2 * near[mine] @ near.T
-            here = np.arange(rough.shape[0])
-            rough[here, here + a] = np.inf
-            last = min(k, len(ids) - 1) - 1
-            if last < 0:
-                continue
-            # One product ranks roughly; whatever may be among the k nearest is measured exactly.
-            reach = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (size[mine] + size.max())
-            row, col = np.nonzero(rough <= reach[:, None])
-            d = np.zeros(len(row))
-            for j in range(x.shape[1]):
-                d += (x[row + a, j] - x[col, j]) ** 2
-            d = np.sqrt(d)
-            best = np.lexsort((col, d, row))
-            start = np.searchsorted(row[best], here)
-            kept = best[np.arange(len(best)) - start[row[best]] < k]
-            parts.append(pd.DataFrame({"id": ids[row[kept] + a], "nb": ids[col[kept]], "d": d[kept]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "nb": [], "d": []})
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["x"].to_numpy())
+        return _best(x, ids, x, ids, k, by_place=True)
 
     return buckets.groupBy("table", "bucket").applyInPandas(meet, _MET)
 

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 from math import comb
 
 import numpy as np
@@ -214,3 +215,32 @@ def test_cells_leave_nulls_to_the_assembler(spark):
     cells = models.training_cells(rows, ["a", "k", "f"], "y", cell_rows=100)
     held = cells.filter("a IS NULL").agg(F.sum("_rows")).first()[0]
     assert held == rows.filter("a IS NULL").count() > 0
+
+
+def test_a_tree_walks_one_row_of_a_cell(monkeypatch):
+    node = trees.Tree(
+        np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), np.array([0, 1, -1, -1, -1]),
+        np.array([0.5, 2.0, 0.0, 0.0, 0.0]), np.array([10.0, 6.0, 4.0, 2.0, 4.0]), np.array([0.0, 0.0, 1.0, -2.0, 3.0]),
+    )
+    x = np.random.default_rng(5).normal(size=(5_000, 3))
+    x[:4] = [[0.5, 2.0, 0], [np.nan, 2.0, 0], [0.5, np.nan, 0], [np.inf, -np.inf, 0]]
+    whole, seen, walk = trees._walk(x, node), [], trees._walk
+    monkeypatch.setattr(trees, "_walk", lambda rows, tree: seen.append(len(rows)) or walk(rows, tree))
+    assert (trees.tree_values(x, node) == whole).all() and max(seen) <= 4
+    assert trees.tree_values(x[:0], node).shape == (0, 3)
+
+
+def test_blocks_meet_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 3_000, 6))
+    b[5], b[6] = np.nan, b[7]
+    tracemalloc.start()
+    got = oversample._best(a, np.arange(3_000), b, np.arange(1_000, 4_000), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    found = got.groupby("id")["nb"].apply(list)
+    for i in range(0, 3_000, 50):
+        d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((np.arange(3_000), d)) if j + 1_000 != i and np.isfinite(d[j])][:3]
+        assert found[i] == [j + 1_000 for j in near]
