@@ -5,7 +5,8 @@ every tree is walked once for a whole batch of rows.  On the way down a path is
 one factor per feature: the share of training cover that goes the path's way, plus one power for
 rows that go it themselves.  Leaves below a node share the polynomial of its path; a split adds a
 factor, a feature that is met again has its factor taken out first, and at a leaf the factor of
-each feature is divided out in turn, which gives its Shapley value.
+each feature is divided out in turn, which gives its Shapley value.  Rows between the same
+thresholds of a tree share its values, so of a batch it walks one row for each such cell.
 """
 
 from __future__ import annotations
@@ -81,8 +82,25 @@ def _unwind(poly: np.ndarray, cover: float, met: np.ndarray) -> np.ndarray:
     return np.where(met[:, None], out, poly[:, :m] / cover)
 
 
+def _cells(x: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """One row of every cell between the thresholds of ``tree``, and the cell of every row."""
+    inner = tree.left >= 0
+    code = np.zeros(len(x), np.int64)
+    for f in np.unique(tree.feature[inner]):
+        cuts = np.unique(tree.threshold[inner & (tree.feature == f)])
+        place = np.searchsorted(cuts, x[:, f], side="left")  # a value at a threshold goes left
+        # Codes met so far are numbered anew, which keeps them below the number of rows.
+        code = np.unique(code, return_inverse=True)[1] * (len(cuts) + 1) + place
+    return np.unique(code, return_index=True, return_inverse=True)[1:]
+
+
 def tree_values(x: np.ndarray, tree: Tree) -> np.ndarray:
     """Shapley value of every feature for every row of ``x``."""
+    first, cell = _cells(x, tree)
+    return _walk(x[first], tree)[cell]
+
+
+def _walk(x: np.ndarray, tree: Tree) -> np.ndarray:
     phi = np.zeros_like(x)
 
     def walk(node: int, path: dict[int, tuple[float, np.ndarray]], poly: np.ndarray) -> None:
