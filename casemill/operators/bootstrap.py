@@ -32,6 +32,7 @@ PRIME = 2_147_483_647
 STEPS = [int(sum(exp(-1) / factorial(i) for i in range(j + 1)) * PRIME) for j in range(11)]
 
 CHUNK = 128  # replicates weighed at once
+PIECE = 512  # rows weighed at once, so that their weights stay in a core's cache
 
 
 def multipliers(b: int, seed: int = K.SEED) -> list[tuple[int, int]]:
@@ -43,12 +44,28 @@ def multipliers(b: int, seed: int = K.SEED) -> list[tuple[int, int]]:
     return [(max(draw("mul", r), 1), draw("add", r)) for r in range(b)]
 
 
+def _leading() -> np.ndarray:
+    """Weight of each stretch of 2^15 numbers below 2^32, remainders taken; -1 where it changes within."""
+    ends = (np.arange(1 << 17) << 15)[:, None] + [0, (1 << 15) - 1]
+    w = np.searchsorted(STEPS, ends % PRIME, side="right")
+    return np.where((w[:, 0] == w[:, 1]) & (ends // PRIME == ends[:, :1] // PRIME).all(axis=1), w[:, 0], -1).astype(np.int8)
+
+
+_LEADING = _leading()
+
+
 def _weights(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    u = ((h[:, None] * mul + add) % PRIME).astype(np.int32)
-    w = np.zeros(u.shape, np.int8)
-    for step in STEPS:
-        w += u >= step
-    return w.astype(float)
+    u = np.multiply(h[:, None], mul)
+    u += add
+    # The upper bits added to the lower ones keep the remainder by 2^31 - 1.
+    high = np.right_shift(u, 31)
+    u &= PRIME
+    u += high
+    w = _LEADING.take(np.right_shift(u, 15, out=high))
+    near = np.flatnonzero(w.ravel() < 0)
+    if len(near):
+        w.ravel()[near] = np.searchsorted(STEPS, u.ravel()[near] % PRIME, side="right")
+    return w.astype(np.float32)  # sums of a piece stay whole numbers below 2^24
 
 
 def _long(df: DataFrame, scores: Mapping[str, str], label: str, row_id: str, seed: int) -> DataFrame:
@@ -139,9 +156,9 @@ class _Precision(_Segment):
             self.sum[part] += self._share(part, self.pos[part], *self.run[:, part])
 
     def between(self, part: slice, s: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        starts = score_steps(s, y)
-        pos = np.add.reduceat(w * y[:, None], starts, axis=0)
-        neg = np.add.reduceat(w, starts, axis=0) - pos
+        if part.start == 0:
+            self.steps = _Steps(s, y)
+        pos, neg = self.steps.sums(w)
         run_pos, run_neg = self.run[0, part] + pos.cumsum(0), self.run[1, part] + neg.cumsum(0)
         self.sum[part] += self._share(part, pos, run_pos, run_neg).sum(0)
         self.run[:, part] = run_pos[-1], run_neg[-1]
@@ -150,6 +167,31 @@ class _Precision(_Segment):
         pass
 
 
+class _Steps:
+    """Sums of weights over the steps of a piece; labels other than 0 and 1 count as they are."""
+
+    def __init__(self, s: np.ndarray, y: np.ndarray):
+        self.y, self.starts = y, score_steps(s, y)
+        self.plain = bool(((y == 0) | (y == 1)).all())
+        # Few rows are positive; every step but the last has some.
+        self.found = np.flatnonzero(y)
+        at = np.searchsorted(self.found, self.starts)
+        self.some = at[at < len(self.found)]
+        step = np.searchsorted(self.starts, np.arange(len(y)), side="right") - 1
+        few = len(self.starts) <= 64
+        self.member = (step == np.arange(len(self.starts))[:, None]).astype(y.dtype) if few else None
+
+    def sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = self.member @ w if self.member is not None else np.add.reduceat(w, self.starts, axis=0)
+        if not self.plain:
+            pos = np.add.reduceat(w * self.y[:, None], self.starts, axis=0)
+            return pos, every - pos
+        pos = np.zeros_like(every)
+        if len(self.some):
+            pos[: len(self.some)] = np.add.reduceat(w[self.found], self.some, axis=0)
+        return pos, every - pos
+
+
 def score_steps(score: np.ndarray, positive: np.ndarray) -> np.ndarray:
     """First row of every step of whole scores in falling order; a step ends with a score that has a positive."""
     starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
@@ -157,6 +199,11 @@ def score_steps(score: np.ndarray, positive: np.ndarray) -> np.ndarray:
     return starts[np.append(True, closes[:-1])]
 
 
+def _pieces(r: slice) -> Iterator[slice]:
+    for a in range(r.start, r.stop, PIECE):
+        yield slice(a, min(a + PIECE, r.stop))
+
+
 def _runs(*keys: np.ndarray) -> Iterator[slice]:
     """Stretches of rows with equal keys; none of an empty batch."""
     if not len(keys[0]):
@@ -185,7 +232,8 @@ def _sums(pairs: np.ndarray):
                     if segment:
                         yield out()
                     at, segment = (p[r][0], m[r][0]), _Sums(pairs)
-                segment.add(s[r], y[r].astype(float), h[r])
+                for piece in _pieces(r):
+                    segment.add(s[piece], y[piece].astype(np.float32), h[piece])
         if segment:
             yield out()
 
@@ -208,9 +256,8 @@ def _inner_precision(pairs: np.ndarray):
                         yield out()
                     of = np.stack(start[k]).astype(float)
                     at, segment, k = (p[k], m[k]), _Precision(pairs, of[:2], of[2:4], of[4]), k + 1
-                rest = slice(k, r.stop)
-                if k < r.stop:
-                    segment.add(s[rest], y[rest].astype(float), h[rest].astype(np.int64))
+                for piece in _pieces(slice(k, r.stop)):
+                    segment.add(s[piece], y[piece].astype(np.float32), h[piece].astype(np.int64))
         if segment:
             yield out()
 

@@ -1,6 +1,8 @@
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,29 @@ def test_run_table_single_run_has_zero_deviation(spark):
 
 def test_grid(spark):
     assert runs.experiment_grid(spark, ["a", "b"], ["x", "y"], [1, 2, 3], 2).count() == 24
+
+
+def test_weights_are_those_of_the_remainders():
+    from casemill.operators import bootstrap
+
+    rng = np.random.default_rng(3)
+    h = np.append(rng.integers(0, bootstrap.PRIME, 500), [0, 1, bootstrap.PRIME - 1])
+    mul, add = rng.integers(1, bootstrap.PRIME, 70), rng.integers(0, bootstrap.PRIME, 70)
+    mul[:3], add[:3] = [1, 1, bootstrap.PRIME - 1], [0, bootstrap.PRIME - 1, bootstrap.PRIME - 1]
+    add[3:14], mul[3:14] = np.array(bootstrap.STEPS), 1
+    u = (h[:, None] * mul + add) % bootstrap.PRIME
+    assert (bootstrap._weights(h, mul, add) == np.searchsorted(bootstrap.STEPS, u, side="right")).all()
+
+
+def test_rows_are_weighed_in_pieces(monkeypatch):
+    from casemill.operators import bootstrap
+
+    seen, weigh = [], bootstrap._weights
+    monkeypatch.setattr(bootstrap, "_weights", lambda h, *of: seen.append(len(h)) or weigh(h, *of))
+    n = 3_000
+    rows = pd.DataFrame({"p": 0, "m": "a", "s": np.arange(n)[::-1] // 2 / n, "y": np.arange(n) % 40 == 0, "h": np.arange(n) * 7919})
+    pairs = np.array(bootstrap.multipliers(10), dtype=np.int64)
+    out = pd.concat(bootstrap._sums(pairs)(iter([rows])))
+    assert max(seen) <= 1024
+    w = weigh(rows["h"].to_numpy(), pairs[:, 0], pairs[:, 1])
+    assert (np.sum(out["pos"].tolist(), axis=0) == w[rows["y"].to_numpy()].sum(axis=0)).all()
