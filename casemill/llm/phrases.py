@@ -1,11 +1,10 @@
 """Frequent word sequences and how strongly their words belong together.
 
 Groups of texts, in which equal ones are counted once and weighted, hash n-grams by prefix polynomials
-over the codes of their words and send (fingerprint, weight, place of one occurrence) to buckets of
-fingerprints.  A bucket adds the weights up and, for fingerprints that reach the least count,
-tells each group the places to look at.  In the end the groups cut the words out of the texts there, so
-that phrases, not fingerprints, are counted: phrases that share a fingerprint come apart, and only
-frequent ones are ever written out.
+over the codes of their words and send (fingerprint, weight) to buckets of fingerprints.  A bucket adds
+the weights up and tells each group which of its fingerprints reach the least count.  In the end the
+groups find those again in their texts and cut the words out, so that phrases, not fingerprints, are
+counted: phrases that share a fingerprint come apart, and only frequent ones are ever written out.
 
 A phrase cannot be more frequent than its parts.  So words go first, then pairs of frequent words, then
 longer n-grams all of whose pairs are frequent; the others are never sent.
@@ -46,9 +45,10 @@ _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _BASE = 0xA0761D6478BD642F  # odd, so it has an inverse modulo 2^64
 _ENTRY = "g int, codes binary, rest binary"
 _SENT = f"bucket int, {_ENTRY}"
-#: Bits of a fingerprint beyond those of the number of bytes of all texts.  Phrases are compared as texts in
-#: the end, so a collision costs work, not results; with these bits one n-gram in a thousand meets another.
-SPARE_BITS = 10
+#: Bits of a fingerprint beyond those of the number of bytes of all texts.  Phrases are compared as texts in the
+#: end, so a collision costs work, not results: a rare n-gram that meets a frequent one is written out and dropped.
+#: Texts hold two n-grams a byte at most, one in ``LEAST`` of them frequent, so that is one n-gram in 15 at worst.
+SPARE_BITS = 0
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -80,7 +80,7 @@ def _codes_of(cells: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _rest_of(cells: pa.ChunkedArray) -> list[list[np.ndarray]]:
-    """(weight, place, width) of each cell."""
+    """(weight, place, width) of each cell; the place is 0 where a group is to find it again."""
     return [_unpack(c, np.int64, np.uint32, np.uint8) for c in cells.to_pylist()]
 
 
@@ -126,64 +126,105 @@ def room_of(data: np.ndarray, words: tokens.Words) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, lang: pa.Array, widths: Sequence[int], known: np.ndarray, bits: int = 64):
-    """(code, weight, place, width) of the distinct n-grams of the given widths in a group of texts.
+class _Group:
+    """The words of a group's texts, and fingerprints of its n-grams by first word and width."""
+
+    def __init__(self, table: pa.Table):
+        self.data, self.offsets = tokens.text_buffers(table.column("text"))
+        self.words = tokens.find_words(self.data, self.offsets, _TABLE)
+        named, text = table.column("lang").combine_chunks().dictionary_encode(), self.words.doc
+        self.language, self.weight = named.indices.to_numpy()[text], table.column("copies").to_numpy()[text]
+        self.room, self._salts = room_of(self.data, self.words), _salts(named.dictionary)
+        up, self._down = _powers(len(self.words.code) + 1)
+        self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words.code * up[:-1])])
+
+    def codes(self, at: np.ndarray, width: int) -> np.ndarray:
+        raw = (self._prefix[at + width] - self._prefix[at]) * self._down[at]
+        return tokens.mix(raw ^ self._salts[self.language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64)))
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each language and the number of its words."""
+        total = np.zeros(len(self._salts), np.int64)
+        np.add.at(total, self.language, self.weight)
+        held, first = np.unique(self.language, return_index=True)
+        return first, total[held]
+
+
+def _cut_to(bits: int) -> np.uint64:
+    return np.uint64((1 << 64) - (1 << 64 - bits))
+
+
+def _grams(group: _Group, widths: Sequence[int], known: np.ndarray, bits: int = 64):
+    """(code, weight, width) of the distinct fingerprints of a group's n-grams of the given widths.
 
     Width 0 stands for the empty phrase, once per word, so that all words of a language are counted;
     from width 2 on, an n-gram counts only if the codes of its words are ``known``, from 3 on its pairs.
     """
-    words = tokens.find_words(data, offsets, _TABLE)
-    n = len(words.code)
+    n, cut = len(group.words.code), _cut_to(bits)
     if not n:
         return
-    room, text, named = room_of(data, words), words.doc, lang.dictionary_encode()
-    language = named.indices.to_numpy()[text]
-    mine, salts = weight[text], _salts(named.dictionary)
-    cut = np.uint64((1 << 64) - (1 << 64 - bits))
-    up, down = _powers(n + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.code * up[:n])])
-
-    def codes(at: np.ndarray, width: int) -> np.ndarray:
-        raw = (prefix[at + width] - prefix[at]) * down[at]
-        return tokens.mix(raw ^ salts[language[at]] ^ tokens.mix(np.full(1, width + 1, np.uint64))) & cut
-
     if 0 in widths:
-        total = np.zeros(len(salts), np.int64)
-        np.add.at(total, language, mine)
-        _, first = np.unique(language, return_index=True)
-        yield codes(first, 0), total[language[first]], words.start[first], 0
+        first, total = group.totals()
+        yield group.codes(first, 0) & cut, total, 0
     base = min(max(widths) - 1, 2)  # the width of the parts that must be known
-    good = room >= max(base, 1)
+    good = group.room >= max(base, 1)
     if base:
         at = np.flatnonzero(good)
-        good[at] = packing.find(known, codes(at, base))[0]
+        good[at] = packing.find(known, group.codes(at, base) & cut)[0]
     for width in widths:
         if not width:
             continue
-        fits = room >= width
+        fits = group.room >= width
         for j in range(width - base + 1 if base else 0):
             fits[: n - j] &= good[j:]
         at = np.flatnonzero(fits)
         if not len(at):
             continue
-        used = np.flatnonzero(tokens.spread_marks(at, width, n))
-        ids = np.full(n, -1, np.int64)
-        ids[used] = word_ids(data, words.code[used], words.start[used], words.end[used])
-        code = codes(at, width)
+        code = group.codes(at, width) & cut
+        order = np.argsort(code)
+        code = code[order]
+        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        yield code[head], np.add.reduceat(group.weight[at[order]], head), width
+
+
+def _located(group: _Group, asked: dict[int, np.ndarray], bits: int = 64):
+    """(weight, place, width) of the distinct n-grams of a group whose codes are asked for, by their width.
+
+    The parts of a frequent n-gram are frequent, so where they are asked for too, only their places are looked at.
+    """
+    words, n, cut, marks, used = group.words, len(group.words.code), _cut_to(bits), {}, np.zeros(len(group.words.code), bool)
+    if not n:
+        return
+    if 0 in asked:
+        first, total = group.totals()
+        yield total, words.start[first], 0
+    for width in sorted(set(asked) - {0}):
+        marks[width] = group.room >= width
+        if width - 1 in marks:
+            marks[width][:-1] &= marks[width - 1][:-1] & marks[width - 1][1:]
+        at = np.flatnonzero(marks[width])
+        marks[width][at] = packing.find(asked[width], group.codes(at, width) & cut)[0]
+        for j in range(width):
+            used[j:] |= marks[width][: n - j]
+    used, ids = np.flatnonzero(used), np.full(n, -1, np.int64)
+    ids[used] = word_ids(group.data, words.code[used], words.start[used], words.end[used])
+    for width, mark in marks.items():
+        at = np.flatnonzero(mark)
+        if not len(at):
+            continue
+        code = group.codes(at, width)
         order = np.argsort(code, kind="stable")
         at, code = at[order], code[order]
         first = np.concatenate([[True], code[1:] != code[:-1]])
         head = np.flatnonzero(first)
         rep = at[head][np.cumsum(first) - 1]
         # Equal fingerprints of unequal words or languages stay apart.
-        differ = language[at] != language[rep]
+        differ = group.language[at] != group.language[rep]
         for j in range(width):
             differ |= ids[at + j] != ids[rep + j]
-        total = np.add.reduceat(np.where(differ, 0, mine[at]), head)
-        yield (
-            np.concatenate([code[head], code[differ]]), np.concatenate([total, mine[at[differ]]]),
-            np.concatenate([words.start[at[head]], words.start[at[differ]]]), width,
-        )
+        mine = group.weight[at]
+        total = np.add.reduceat(np.where(differ, 0, mine), head)
+        yield np.concatenate([total, mine[differ]]), words.start[np.concatenate([at[head], at[differ]])], width
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +277,14 @@ def _send(buckets: int, widths: Sequence[int], bits: int = 64):
     def run(table: pa.Table, known: np.ndarray) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows and (len(known) or min(widths) < 2):
-            name, table = table.column("g")[0].as_py(), _distinct(table)
-            data, offsets = tokens.text_buffers(table.column("text"))
-            if len(data) >= 1 << 32:
-                raise ValueError("the texts of one group exceed 4 GiB: places have 32 bits")
-            found = list(_grams(data, offsets, table.column("copies").to_numpy(), table.column("lang").combine_chunks(), widths, known, bits))
+            name = table.column("g")[0].as_py()
+            found = list(_grams(_Group(_distinct(table)), widths, known, bits))
             if found:
-                code, weight, place = (np.concatenate([f[k] for f in found]) for k in range(3))
-                width = np.concatenate([np.full(len(f[0]), f[3], np.uint8) for f in found])
+                code, weight = (np.concatenate([f[k] for f in found]) for k in range(2))
+                width = np.concatenate([np.full(len(f[0]), f[2], np.uint8) for f in found])
                 order = np.argsort(code, kind="stable")
-                code, weight, place, width = code[order], weight[order], place[order].astype(np.uint32), width[order]
-                bucket = packing.bucket_of(code, buckets)
+                code, weight, width = code[order], weight[order], width[order]
+                bucket, place = packing.bucket_of(code, buckets), np.zeros(len(code), np.uint32)
                 rows = [(int(bucket[a]), name, _pack_codes(code[a:b]), _pack(weight[a:b], place[a:b], width[a:b])) for a, b in _cut(bucket)]
         kinds = {"bucket": pa.int32(), "g": pa.int32(), "codes": pa.binary(), "rest": pa.binary()}
         return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())})
@@ -292,9 +330,11 @@ def _joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(out)])
 
 
-def _phrases_at(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def _phrases_at(
+    data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: np.ndarray, words: tokens.Words | None = None
+) -> tuple[pa.Array, np.ndarray]:
     """The folded words at each place, joined by single spaces, and a fingerprint of them."""
-    words = tokens.find_words(data, offsets, _TABLE)
+    words = words or tokens.find_words(data, offsets, _TABLE)
     at = np.searchsorted(words.start, place)
     letters = np.concatenate([[0], np.cumsum(words.end - words.start)])
     tabs = np.concatenate([[0], np.cumsum(data == 0x09)])
@@ -335,17 +375,22 @@ def _unpack_phrases(cell: bytes) -> pa.Table:
     return pa.table({"lang": names, "phrase": texts, "f": pa.array(count)})
 
 
-def _spell(buckets: int):
-    """Cut the phrases out of a group's texts at the places told, and deal them to buckets by their words."""
+def _spell(buckets: int, bits: int = 64):
+    """Find the fingerprints told in a group's texts, cut the phrases out and deal them to buckets by their words."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple[int, bytes]] = []
         if answers.num_rows and table.num_rows:
             table = _distinct(table)
-            data, offsets = tokens.text_buffers(table.column("text"))
             named = table.column("lang").combine_chunks().dictionary_encode()
-            weight, place, width = (np.concatenate(x) for x in zip(*_rest_of(answers.column("rest"))))
-            text, mark = _phrases_at(data, offsets, place.astype(np.int64), width.astype(np.int64))
+            code, width = np.concatenate(_codes_of(answers.column("codes"))), np.concatenate([r[2] for r in _rest_of(answers.column("rest"))])
+            group = _Group(table)
+            located = list(_located(group, {int(w): np.unique(code[width == w]) for w in np.unique(width)}, bits))
+            data, offsets, words = group.data, group.offsets, group.words
+            del group
+            weight, place = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in located]]) for k in range(2))
+            width = np.repeat([x[2] for x in located], [len(x[0]) for x in located]).astype(np.int64)
+            text, mark = _phrases_at(data, offsets, place, width, words)
             lang = named.indices.to_numpy()[np.searchsorted(offsets, place, "right") - 1]
             found = pa.table({"b": packing.bucket_of(mark, buckets), "phrase": text, "lang": lang, "f": weight})
             found = found.take(pc.sort_indices(found, [("b", "ascending"), ("phrase", "ascending")])).combine_chunks()
@@ -404,8 +449,8 @@ def frequent_phrases(
         if widths and widths[0] <= longest:
             parts = answers[-1].select("g", "codes").groupBy("g")
             answers.append(told(texts.cogroup(parts).applyInArrow(_send(buckets, widths, bits), _SENT)))
-    places = reduce(DataFrame.unionByName, [a.select("g", "rest") for a in answers])
-    spelled = texts.cogroup(places.groupBy("g")).applyInArrow(_spell(buckets), "bucket int, phrases binary")
+    frequent = reduce(DataFrame.unionByName, answers)
+    spelled = texts.cogroup(frequent.groupBy("g")).applyInArrow(_spell(buckets, bits), "bucket int, phrases binary")
     return spelled.groupBy("bucket").applyInArrow(_merge(least), "lang string, width int, phrase string, f long")
 
 

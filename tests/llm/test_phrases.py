@@ -116,6 +116,26 @@ def test_rare_parts_keep_longer_phrases_at_home():
     assert phrases._send(1, (3, 4))(table, phrases._answer(2)(pairs)).num_rows == 0
 
 
+def test_an_entry_costs_little_more_than_its_fingerprint():
+    """Places, of as many bits as the text is long, stay at home, and a fingerprint is no longer than it must be."""
+    text = " ".join(map(str, np.random.default_rng(5).integers(0, 400, 100_000)))
+    table, bits = _dealt([{"lang": "x", "text": text, "g": 0}]), len(text).bit_length() + phrases.SPARE_BITS
+    pairs = phrases._send(1, (2,), bits)(table, phrases._answer(1)(phrases._send(1, (0, 1), bits)(table)))
+    n = len(phrases._codes_of(pairs.column("codes"))[0])
+    assert n > 50_000 and sum(len(cell) for c in ("codes", "rest") for cell in pairs.column(c).to_pylist()) < 2 * n
+
+
+@pytest.mark.parametrize("bits", [1, 9, 64])
+def test_phrases_are_found_again_by_short_fingerprints(bits):
+    gen = random.Random(8)
+    rows = [(" ".join(gen.choices("abcdef", k=25)) + ". a  b", gen.choice(["x", "y"])) for _ in range(8)] * 2
+    table, answers = _dealt([{"lang": lang, "text": text, "g": 0} for text, lang in rows]), []
+    for widths in ((0, 1), (2,), (3, 4)):
+        answers.append(phrases._answer(4)(phrases._send(3, widths, bits)(table, *answers[-1:])))
+    found = phrases._merge(4)(phrases._spell(1, bits)(table, pa.concat_tables(answers))).to_pylist()
+    assert {(r["lang"], tuple(r["phrase"].split(" ")) if r["width"] else ()): r["f"] for r in found} == expected(rows, 4)
+
+
 def test_cells_round_trip():
     gen = np.random.default_rng(1)
     code = np.sort(gen.integers(0, 1 << 63, 1000).astype(np.uint64))
