@@ -91,14 +91,53 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _cut_to(bits: int) -> np.uint64:
+    """A mask of the leading bits."""
+    return np.uint64((1 << 64) - (1 << 64 - bits))
+
+
+def _order(code: np.ndarray) -> np.ndarray:
+    """Positions in order of codes, ties by position; those of short codes ride in the bits left free."""
+    free = np.uint64((1 << len(code).bit_length()) - 1)
+    if (code & free).any():
+        return np.argsort(code, kind="stable")
+    key = code | np.arange(len(code), dtype=np.uint64)
+    key.sort()
+    return (key & free).astype(np.int64)
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array are the first of their kind."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
+
+
+def _among(known: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which codes are among the sorted, distinct known ones: leading bits name the few to compare with."""
+    lead = min(len(known).bit_length() + 1, 24)
+    slot = np.uint64(64 - lead)
+    starts = np.concatenate([[0], np.cumsum(np.bincount((known >> slot).astype(np.int64), minlength=1 << lead))])
+    most = int(np.diff(starts).max())
+    if most > 16:
+        return packing.find(known, code)[0]
+    held = (code >> slot).astype(np.int64)
+    at, stop, hit = starts[held], starts[held + 1], np.zeros(len(code), bool)
+    for j in range(most):
+        hit |= (known[np.minimum(at + j, len(known) - 1)] == code) & (at + j < stop)
+    return hit
+
+
 def word_ids(data: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """A number per word that is equal only for words of equal folded bytes.
 
     Words of one fingerprint are compared byte by byte with the first of them, ``step`` words at a time;
     one that differs, or is of another length, gets a number of its own.
     """
-    _, first, ids = np.unique(code, return_index=True, return_inverse=True)
-    ids = ids.astype(np.int64)
+    code = code & _cut_to(64 - len(code).bit_length())
+    order = _order(code)
+    head, ids = _heads(code[order]), np.empty(len(code), np.int64)
+    first, ids[order] = order[head], np.cumsum(head) - 1
     size, like = end - start, first[ids]
     same = size == size[like]
     for a in range(0, len(code), step):
@@ -114,10 +153,17 @@ def word_ids(data: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndar
     return ids
 
 
+def _before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each position, and in all."""
+    out = np.zeros(len(marks) + 1, np.uint32 if len(marks) < 1 << 32 else np.int64)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
 def room_of(data: np.ndarray, words: tokens.Words) -> np.ndarray:
     """How many words, itself included, follow each word within its piece and text."""
     n = len(words.code)
-    broken = np.concatenate([[0], np.cumsum(_IS_BREAK[data])])
+    broken = _before(_IS_BREAK[data])
     apart = np.ones(n, bool)  # the next word is in another piece or text
     apart[:-1] = broken[words.start[1:]] > broken[words.end[:-1]]
     inner = words.first[1:-1]
@@ -150,10 +196,6 @@ class _Group:
         return first, total[held]
 
 
-def _cut_to(bits: int) -> np.uint64:
-    return np.uint64((1 << 64) - (1 << 64 - bits))
-
-
 def _grams(group: _Group, widths: Sequence[int], known: np.ndarray, bits: int = 64):
     """(code, weight, width) of the distinct fingerprints of a group's n-grams of the given widths.
 
@@ -170,7 +212,7 @@ def _grams(group: _Group, widths: Sequence[int], known: np.ndarray, bits: int =
     good = group.room >= max(base, 1)
     if base:
         at = np.flatnonzero(good)
-        good[at] = packing.find(known, group.codes(at, base) & cut)[0]
+        good[at] = _among(known, group.codes(at, base) & cut)
     for width in widths:
         if not width:
             continue
@@ -181,9 +223,9 @@ def _grams(group: _Group, widths: Sequence[int], known: np.ndarray, bits: int =
         if not len(at):
             continue
         code = group.codes(at, width) & cut
-        order = np.argsort(code)
+        order = _order(code)
         code = code[order]
-        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        head = np.flatnonzero(_heads(code))
         yield code[head], np.add.reduceat(group.weight[at[order]], head), width
 
 
@@ -203,7 +245,7 @@ def _located(group: _Group, asked: dict[int, np.ndarray], bits: int = 64):
         if width - 1 in marks:
             marks[width][:-1] &= marks[width - 1][:-1] & marks[width - 1][1:]
         at = np.flatnonzero(marks[width])
-        marks[width][at] = packing.find(asked[width], group.codes(at, width) & cut)[0]
+        marks[width][at] = _among(asked[width], group.codes(at, width) & cut)
         for j in range(width):
             used[j:] |= marks[width][: n - j]
     used, ids = np.flatnonzero(used), np.full(n, -1, np.int64)
@@ -212,10 +254,9 @@ def _located(group: _Group, asked: dict[int, np.ndarray], bits: int = 64):
         at = np.flatnonzero(mark)
         if not len(at):
             continue
-        code = group.codes(at, width)
-        order = np.argsort(code, kind="stable")
-        at, code = at[order], code[order]
-        first = np.concatenate([[True], code[1:] != code[:-1]])
+        code = group.codes(at, width) & _cut_to(64 - len(at).bit_length())
+        order = _order(code)
+        at, first = at[order], _heads(code[order])
         head = np.flatnonzero(first)
         rep = at[head][np.cumsum(first) - 1]
         # Equal fingerprints of unequal words or languages stay apart.
@@ -282,7 +323,7 @@ def _send(buckets: int, widths: Sequence[int], bits: int = 64):
             if found:
                 code, weight = (np.concatenate([f[k] for f in found]) for k in range(2))
                 width = np.concatenate([np.full(len(f[0]), f[2], np.uint8) for f in found])
-                order = np.argsort(code, kind="stable")
+                order = _order(code)
                 code, weight, width = code[order], weight[order], width[order]
                 bucket, place = packing.bucket_of(code, buckets), np.zeros(len(code), np.uint32)
                 rows = [(int(bucket[a]), name, _pack_codes(code[a:b]), _pack(weight[a:b], place[a:b], width[a:b])) for a, b in _cut(bucket)]
@@ -337,7 +378,7 @@ def _phrases_at(
     words = words or tokens.find_words(data, offsets, _TABLE)
     at = np.searchsorted(words.start, place)
     letters = np.concatenate([[0], np.cumsum(words.end - words.start)])
-    tabs = np.concatenate([[0], np.cumsum(data == 0x09)])
+    tabs = _before(data == 0x09)
     stop = np.where(width > 0, words.end[at + np.maximum(width, 1) - 1], place)
     size = letters[at + width] - letters[at] + np.maximum(width, 1) - 1
     # Most stand in the text as they are written out; runs of spaces and tabs become one space first.
