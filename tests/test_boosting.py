@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,17 @@ def test_the_search_has_its_published_size(spark, folder, monkeypatch):
     plans.m7_param_search(spark, folder)
     size = {"space": K.SEARCH_SPACE, "base": K.SEARCH_BASE, "n_draws": 50}
     assert seen == [(3, False, size, True), (3, True, size, True)]
+
+
+def test_the_imbalance_ablation_trains_at_its_published_size(spark, folder, monkeypatch):
+    fit, seen = models.train_boosted, []
+
+    def note(*args, **kwargs):
+        given = inspect.signature(fit).bind(*args, **kwargs)
+        given.apply_defaults()
+        seen.append((given.arguments["n_estimators"], given.arguments["max_depth"], given.arguments["pos_weight"]))
+        return fit(*args, **kwargs | {"n_estimators": 2})
+
+    monkeypatch.setattr(models, "train_boosted", note)
+    assert plans.m9_imbalance_ablation(spark, folder).count() == 5
+    assert sorted(seen, key=str) == [(400, 5, 1.0)] * 3 + [(400, 5, None)]
